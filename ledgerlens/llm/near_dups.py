@@ -28,12 +28,12 @@ ROWS, BANDS = 3, 12
 SAMPLES = ROWS * BANDS
 #: Buckets of the document frequency sketch.
 SKETCH_BITS = 18
-#: Pairs that agree in fewer samples are not verified: at similarity 0.8 that is under 1 in 10,000.
-LEAST_AGREEMENT = 20
+#: Pairs that agree in fewer samples are not verified: at similarity 0.8 that is 1 in 1,000.
+LEAST_AGREEMENT = 21
 #: Rows of two longs that are broadcast rather than shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Members of a bucket that are put in order together.
-SLICE = 10_000
+#: Rounds of comparisons inside buckets, after the first against each text's least neighbour.
+ROUNDS = 2
 
 
 def node_of(text: Column) -> Column:
@@ -197,9 +197,9 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links (u, v, similarity) between different texts, enough to join each class of them.
 
     First every text is held against the least node that it shares a bucket
-    with. Then, as long as that finds links, members of buckets that still lie
-    in several components are held against their bucket's least node and the
-    three members before them, in an order that changes with band and round.
+    with. Then, in each of ROUNDS rounds, members of buckets that still lie in
+    several components are held against those beside them and the first among
+    the members that agree in a second band too, which changes with the round.
     """
     spark = docs.sparkSession
     texts = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id"), F.col("text")).where("text is not null")
@@ -209,30 +209,28 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = written(signed.dropDuplicates(["node"]), "signatures")
     banded = signed.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(buckets, "buckets")
-    first = banded.join(buckets, ["band", "hash"]).groupBy("node").agg(F.min("head").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
+    # From here on only members of shared buckets move.
+    grouped = written(banded.join(buckets, ["band", "hash"]), "buckets")
+    first = grouped.groupBy("node").agg(F.min("head").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
     found = written(_verified(written(first, "pairs"), nodes, texts, idf, least), "links")
-    rounds = 0
-    while True:
+    for shift in range(1, ROUNDS + 1):
         label = components(found)
-        named = banded.join(buckets, ["band", "hash"]).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = grouped.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "hash")
-        members = named.join(mixed, ["band", "hash"]).join(signed.select("node", "sig"), "node")
-        part = F.pmod(F.xxhash64("node", F.lit(rounds)), F.ceil(F.col("size") / SLICE))
-        order = Window.partitionBy("band", "hash", part).orderBy(F.xxhash64("node", "band", F.lit(rounds)), "node")
+        second = F.get("bands", F.pmod(F.col("band") + shift, F.lit(BANDS)))
+        members = named.join(mixed, ["band", "hash"]).join(signed, "node").select("band", "hash", "node", "component", "sig", second.alias("second"))
+        # Members that also agree in a second band, in order.
+        order = Window.partitionBy("band", "hash", "second").orderBy("component", "node")
         me = F.struct("node", "component", "sig")
-        rivals = F.array(*(F.lag(me, k).over(order) for k in (1, 2, 3)), F.first(me).over(order))
-        tried = members.select("node", "component", "sig", rivals.alias("rivals")).select("node", "component", "sig", F.explode("rivals").alias("o")).where("o is not null and o.component != component")
+        pairs = members.select("node", "component", "sig", F.array(F.lag(me, 1).over(order), F.first(me).over(order)).alias("rivals"))
+        pairs = pairs.select("node", "component", "sig", F.explode("rivals").alias("o")).where("o is not null and o.component != component")
         agree = F.aggregate(F.zip_with("sig", "o.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        tried = tried.where(agree >= LEAST_AGREEMENT).select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct()
-        tried = written(tried, "pairs")
-        if tried.isEmpty():
-            return found
-        more = written(_verified(tried, nodes, texts, idf, least), "links")
-        if more.isEmpty():
-            return found
+        pairs = written(pairs.where(agree >= LEAST_AGREEMENT).select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        more = written(_verified(pairs, nodes, texts, idf, least), "links")
         found = found.union(more)
-        rounds += 1
+    return found
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
