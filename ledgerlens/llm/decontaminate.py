@@ -16,6 +16,8 @@ from ledgerlens.llm.common import table
 
 #: Everything that separates words, as a character class.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same in a text that isn't lower-cased.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most windows, and item ids in them, that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 300_000
@@ -139,10 +141,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     """All rows, their texts without the words of verified hits and the separators after them."""
     keyed = docs.select(*_text_key(F.col("text")), "text")
     spans = _hits(keyed, ["_key1", "_key2"], benchmark, n, keep_all=False).groupBy("_key1", "_key2").agg(F.collect_set(F.struct("place", "length")).alias("_spans"))
-    word = SEPARATORS.replace("[", "[^", 1)
-    units = F.regexp_extract_all("text", F.lit(f"({word}+{SEPARATORS}*)"), F.lit(1))
+    word = RAW_SEPARATORS.replace("[", "[^", 1)
+    units = F.regexp_extract_all("text", F.lit(f"({word}+{RAW_SEPARATORS}*)"), F.lit(1))
     kept = F.filter(units, lambda u, i: ~F.exists("_spans", lambda s: (i + 1 >= s["place"]) & (i + 1 < s["place"] + s["length"])))
-    cleaned = F.concat(F.regexp_extract("text", f"^{SEPARATORS}*", 0), F.array_join(kept, ""))
+    cleaned = F.concat(F.regexp_extract("text", f"^{RAW_SEPARATORS}*", 0), F.array_join(kept, ""))
     left = docs.select(F.struct("*").alias("_doc"), *_text_key(F.col("text")), "text")
     joined = left.join(spans, ["_key1", "_key2"], "left")
     return joined.select(F.col("_doc").withField("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned)).alias("_doc")).select("_doc.*")
