@@ -13,11 +13,11 @@ def clean_text(df: DataFrame, separator: str = "\x01") -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, separator: str = "\x01", mode: str = "overwrite") -> None:
-    clean_text(df, separator).write.mode(mode).option("sep", separator).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    clean_text(df, separator).write.mode(mode).option("sep", separator).option("nullValue", "\\N").csv(path)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, separator: str = "\x01") -> DataFrame:
-    return spark.read.schema(schema).option("sep", separator).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("sep", separator).option("nullValue", "\\N").csv(path)
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
