@@ -8,7 +8,6 @@ sorted, no blanks).
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,27 +60,42 @@ def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 without dependencies, else one more than the highest of them; null in a cycle and after it.
 
     ``calls`` has call_id and after, an array of call_ids; ids that don't
-    exist, nulls and repeats in it are passed over. Each round settles the
-    calls whose dependencies are settled, so there are as many rounds as
-    levels, whatever the number of calls.
+    exist, nulls and repeats in it are passed over. A call keeps the least
+    level known for it and the calls it still waits for, each with a distance.
+    In a round, every call that waits for one with at most one wait of its own
+    takes over that wait and adds the distances. So chains halve their length
+    in each round, and the waits of a call never become more.
     """
-    nodes = calls.where("call_id is not null").groupBy("call_id").agg(F.array_distinct(F.flatten(F.collect_list("after"))).alias("after"))
-    nodes = written(nodes, "calls")
-    edges = nodes.select(F.col("call_id").alias("child"), F.explode("after").alias("parent")).join(nodes.select(F.col("call_id").alias("parent")), "parent")
-    edges = written(edges, "call-edges")
-    waits = edges.groupBy(F.col("child").alias("call_id")).agg(F.count("*").alias("waits"))
-    pending = written(nodes.select("call_id").join(waits, "call_id", "left").fillna(0, ["waits"]), "calls-pending")
-    settled, level = [], 0
-    while True:
-        ready = pending.where("waits = 0").select("call_id", F.lit(level).cast("long").alias("level"))
-        if ready.isEmpty():
-            break
-        settled.append(ready)
-        met = edges.join(ready, edges.parent == ready.call_id).groupBy("child").agg(F.count("*").alias("met"))
-        left = pending.where("waits > 0")
-        pending = written(left.join(met, left.call_id == met.child, "left").select("call_id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "calls-pending")
-        level += 1
-    return reduce(DataFrame.unionByName, settled, pending.select("call_id", F.lit(None).cast("long").alias("level")))
+    nodes = written(calls.where("call_id is not null").groupBy("call_id").agg(F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")), "calls")
+    # A longest way has n - 1 steps at most: a longer distance is one round a cycle.
+    most = nodes.count()
+    edges = nodes.select(F.col("call_id").alias("child"), F.explode("after").alias("parent")).join(nodes.select(F.col("call_id").alias("parent"), F.col("after").alias("before")), "parent")
+    # A wait for a call that another of the child's calls waits for adds nothing. In a cycle each may stand in
+    # for another, so only those that a call which stays stands in for are left out.
+    parents = F.col("e.parent")
+    direct = F.array_distinct(F.flatten(F.transform("e", lambda x: F.array_remove(x["before"], x["parent"]))))
+    kept = F.filter("e", lambda x: ~F.array_contains("direct", x["parent"]))
+    implied = F.flatten(F.transform("kept", lambda x: x["before"]))
+    waits = edges.groupBy("child").agg(F.collect_list(F.struct("parent", "before")).alias("e")).withColumn("direct", direct).withColumn("kept", kept)
+    waits = waits.select(F.col("child").alias("call_id"), F.array_union(F.col("kept.parent"), F.array_except(parents, implied)).alias("parents"))
+    none = F.expr("array()").cast("array<struct<p:string,w:bigint>>")
+    steps = F.transform("parents", lambda p: F.struct(p.alias("p"), F.lit(1).cast("long").alias("w")))
+    state = nodes.select("call_id").join(waits, "call_id", "left").select("call_id", F.lit(0).cast("long").alias("base"), F.coalesce(steps, none).alias("waits"), F.lit(True).alias("moved"))
+    state = written(state, "calls-levels")
+    while not state.where((F.size("waits") > 0) & F.col("moved")).isEmpty():
+        # Calls that pass on what they wait for; those that a cycle holds don't.
+        passing = state.where((F.size("waits") == 0) | (F.size("waits") == 1) & (F.get("waits", F.lit(0))["w"] <= most)).select(F.col("call_id").alias("p"), F.col("base").alias("p_base"), F.get("waits", F.lit(0)).alias("next"))
+        met = state.where(F.size("waits") > 0).select("call_id", "base", F.explode("waits").alias("wait")).select("call_id", "base", "wait.p", "wait.w").join(passing, "p", "left")
+        met = met.withColumn("moves", F.col("p_base").isNotNull() & (F.col("w") <= most))
+        further = F.when(F.col("next").isNotNull(), F.struct(F.col("next.p").alias("p"), (F.col("next.w") + F.col("w")).alias("w")))
+        met = met.groupBy("call_id").agg(
+            F.max(F.greatest("base", F.when(F.col("moves"), F.col("p_base") + F.col("w")))).alias("base"),
+            F.collect_list(F.when(F.col("moves"), further).otherwise(F.struct("p", "w"))).alias("waits"),
+            F.max("moves").alias("moved"),
+        )
+        farthest = F.transform(F.array_distinct(F.col("waits.p")), lambda p: F.struct(p.alias("p"), F.array_max(F.transform(F.filter("waits", lambda x: x["p"] == p), lambda x: x["w"])).alias("w")))
+        state = written(state.where(F.size("waits") == 0).union(met.select("call_id", "base", farthest.alias("waits"), "moved")), "calls-levels")
+    return state.select("call_id", F.when(F.size("waits") == 0, F.col("base")).alias("level"))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

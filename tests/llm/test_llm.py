@@ -132,6 +132,26 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.where("false"), results.where("false"), {"ask": {}}).count() == 0
 
 
+def test_levels_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    after = {f"line{i}": [f"line{i - 1}", f"line{i - 2}"] for i in range(150)}
+    after |= {f"d{i}": [f"d{rng.randrange(i)}" for _ in range(rng.randrange(4))] if i else [] for i in range(60)}
+    after |= {"r1": ["r2"], "r2": ["r3"], "r3": ["r1"], "r4": ["r3", "d5"], "r5": ["r4"], "s": ["s"], "t": ["s", "d1"]}
+    after |= {"k1": ["k2", "k3"], "k2": ["k1", "k3"], "k3": ["k1", "k2"], "k4": ["k1"], "k5": ["k4", "d9"], "none": None}
+    after |= {"k6": ["k1", "k2", "k3", "d3"], "r6": ["r1", "r2", "r3", "d3"]}
+
+    depth = {}
+    while True:
+        ready = {c: 1 + max((depth[p] for p in ps or [] if p in after), default=-1) for c, ps in after.items() if c not in depth and all(p in depth for p in ps or [] if p in after)}
+        if not ready:
+            break
+        depth |= ready
+    rows = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(rows).collect()} == {c: depth.get(c) for c in after}
+
+
 def test_media_round_trip(odd, none, spark):
     from ledgerlens.llm.common import shared_dir
 
