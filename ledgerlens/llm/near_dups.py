@@ -10,7 +10,8 @@ candidates, and each candidate pair is verified on the whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SKETCH_BITS = 18
 LEAST_AGREEMENT = 21
 #: Rows of two longs that are broadcast rather than shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rounds of comparisons inside buckets, after the first against each text's least neighbour.
-ROUNDS = 2
+#: Members of a bucket that meet the others in one task.
+BLOCK = 1024
 
 
 def node_of(text: Column) -> Column:
@@ -193,13 +194,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf, least:
     return arrow_job(both, partial(_verify, idf=idf, least=least), "u long, v long, similarity double").groupBy("u", "v").agg(F.max("similarity").alias("similarity"))
 
 
+def _agreement(a: Column, b: Column) -> Column:
+    """In how many samples two signatures agree, as a sum that is compiled."""
+    return reduce(add, ((a[i] == b[i]).cast("int") for i in range(SAMPLES)))
+
+
+def _mixed(grouped: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
+    """(band, hash, n, node, component, bands, sig) of the members of buckets whose n members lie in several components."""
+    named = grouped.join(label, "node", "left").select("band", "hash", "node", F.coalesce("component", "node").alias("component"))
+    spread = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return written(named.join(spread.where("low != high").select("band", "hash", "n"), ["band", "hash"]).join(signed, "node"), "mixed")
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """(u, v) of members of a bucket in different components that agree in LEAST_AGREEMENT samples.
+
+    A bucket is split into blocks, each of which meets all members in a task
+    of its own; pairs that don't agree never leave the join.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    side = lambda x, block: members.select("band", "hash", F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}"), F.col("sig").alias(f"sig_{x}"), block.alias("block"))
+    a = side("a", F.pmod(F.xxhash64("node"), blocks))
+    b = side("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = a.join(b, ["band", "hash", "block"]).where((F.col("component_a") > F.col("component_b")) & (_agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREEMENT))
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+
+
 def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links (u, v, similarity) between different texts, enough to join each class of them.
 
     First every text is held against the least node that it shares a bucket
-    with. Then, in each of ROUNDS rounds, members of buckets that still lie in
-    several components are held against those beside them and the first among
-    the members that agree in a second band too, which changes with the round.
+    with, then members of buckets that lie in several components against the
+    one beside them and the first of those that agree in a second band. What
+    is left, every pair that shares a bucket, lies in different components and
+    agrees in LEAST_AGREEMENT samples, is verified by :func:`_rest`.
     """
     spark = docs.sparkSession
     texts = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id"), F.col("text")).where("text is not null")
@@ -213,24 +241,16 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     grouped = written(banded.join(buckets, ["band", "hash"]), "buckets")
     first = grouped.groupBy("node").agg(F.min("head").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
     found = written(_verified(written(first, "pairs"), nodes, texts, idf, least), "links")
-    for shift in range(1, ROUNDS + 1):
-        label = components(found)
-        named = grouped.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "hash")
-        second = F.get("bands", F.pmod(F.col("band") + shift, F.lit(BANDS)))
-        members = named.join(mixed, ["band", "hash"]).join(signed, "node").select("band", "hash", "node", "component", "sig", second.alias("second"))
-        # Members that also agree in a second band, in order.
-        order = Window.partitionBy("band", "hash", "second").orderBy("component", "node")
-        me = F.struct("node", "component", "sig")
-        pairs = members.select("node", "component", "sig", F.array(F.lag(me, 1).over(order), F.first(me).over(order)).alias("rivals"))
-        pairs = pairs.select("node", "component", "sig", F.explode("rivals").alias("o")).where("o is not null and o.component != component")
-        agree = F.aggregate(F.zip_with("sig", "o.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = written(pairs.where(agree >= LEAST_AGREEMENT).select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = written(_verified(pairs, nodes, texts, idf, least), "links")
-        found = found.union(more)
-    return found
+    members = _mixed(grouped, components(found), signed)
+    # Members that also agree in a second band, in order.
+    order = Window.partitionBy("band", "hash", F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))).orderBy("component", "node")
+    me = F.struct("node", "component", "sig")
+    pairs = members.select("node", "component", "sig", F.array(F.lag(me, 1).over(order), F.first(me).over(order)).alias("rivals"))
+    pairs = pairs.select("node", "component", "sig", F.explode("rivals").alias("o")).where(F.col("o").isNotNull() & (F.col("o.component") != F.col("component")) & (_agreement(F.col("sig"), F.col("o.sig")) >= LEAST_AGREEMENT))
+    pairs = written(pairs.select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct(), "pairs")
+    found = written(found.union(_verified(pairs, nodes, texts, idf, least)), "links")
+    pairs = written(_rest(_mixed(grouped, components(found), signed)), "pairs")
+    return found.union(written(_verified(pairs, nodes, texts, idf, least), "links"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -121,6 +121,20 @@ def test_near_duplicates(spark, odd, none):
     assert near_dups.classes(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """60 texts share most of a passage, but only each one's twin is a near duplicate: every twin is found."""
+    rng = np.random.default_rng(4)
+    passage, rows, want = [f"p{n}" for n in range(170)], [], {}
+    for k in range(60):
+        own = [*passage, *(f"o{k}x{n}" for n in range(60))]
+        twin = list(own)
+        twin[int(rng.integers(0, 170))] = f"changed{k}"
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(twin))]
+        want |= {k: k, 1000 + k: k}
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([("g", "a", "ask", '{"turn": 1, "text": "x"}', ["b", "zz"]), ("g", "b", "ask", "{", []), ("g", "c", "no", "{}", ["d"]), ("g", "d", "ask", None, ["c"]), ("g", None, "ask", "{}", None)], "group_id string, call_id string, name string, arguments string, after array<string>")
     results = spark.createDataFrame([("a", "done"), ("q", "lost")], "call_id string, content string")
