@@ -64,7 +64,9 @@ def levels(calls: DataFrame) -> DataFrame:
     level known for it and the calls it still waits for, each with a distance.
     In a round, every call that waits for one with at most one wait of its own
     takes over that wait and adds the distances. So chains halve their length
-    in each round, and the waits of a call never become more.
+    in each round, and the waits of a call never become more. A round in which
+    no call moved changes nothing, so it is the last; a call that has just
+    been settled counts as moved, since others may wait for it.
     """
     nodes = written(calls.where("call_id is not null").groupBy("call_id").agg(F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")), "calls")
     # A longest way has n - 1 steps at most: a longer distance is one round a cycle.
@@ -82,7 +84,7 @@ def levels(calls: DataFrame) -> DataFrame:
     steps = F.transform("parents", lambda p: F.struct(p.alias("p"), F.lit(1).cast("long").alias("w")))
     state = nodes.select("call_id").join(waits, "call_id", "left").select("call_id", F.lit(0).cast("long").alias("base"), F.coalesce(steps, none).alias("waits"), F.lit(True).alias("moved"))
     state = written(state, "calls-levels")
-    while not state.where((F.size("waits") > 0) & F.col("moved")).isEmpty():
+    while all(state.agg(F.bool_or(F.size("waits") > 0), F.bool_or("moved")).first()):
         # Calls that pass on what they wait for; those that a cycle holds don't.
         passing = state.where((F.size("waits") == 0) | (F.size("waits") == 1) & (F.get("waits", F.lit(0))["w"] <= most)).select(F.col("call_id").alias("p"), F.col("base").alias("p_base"), F.get("waits", F.lit(0)).alias("next"))
         met = state.where(F.size("waits") > 0).select("call_id", "base", F.explode("waits").alias("wait")).select("call_id", "base", "wait.p", "wait.w").join(passing, "p", "left")
@@ -94,7 +96,7 @@ def levels(calls: DataFrame) -> DataFrame:
             F.max("moves").alias("moved"),
         )
         farthest = F.transform(F.array_distinct(F.col("waits.p")), lambda p: F.struct(p.alias("p"), F.array_max(F.transform(F.filter("waits", lambda x: x["p"] == p), lambda x: x["w"])).alias("w")))
-        state = written(state.where(F.size("waits") == 0).union(met.select("call_id", "base", farthest.alias("waits"), "moved")), "calls-levels")
+        state = written(state.where(F.size("waits") == 0).withColumn("moved", F.lit(False)).union(met.select("call_id", "base", farthest.alias("waits"), "moved")), "calls-levels")
     return state.select("call_id", F.when(F.size("waits") == 0, F.col("base")).alias("level"))
 
 

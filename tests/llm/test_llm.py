@@ -166,6 +166,12 @@ def test_levels_against_brute_force(spark):
     assert {r.call_id: r.level for r in tool_calls.levels(rows).collect()} == {c: depth.get(c) for c in after}
 
 
+def test_levels_behind_a_call_settled_last(spark):
+    """P has two waits that settle at once; C waits for P alone, and nothing else keeps the rounds going."""
+    rows = spark.createDataFrame([("a", None), ("b", None), ("p", ["a", "b"]), ("c", ["p"])], "call_id string, after array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(rows).collect()} == {"a": 0, "b": 0, "p": 1, "c": 2}
+
+
 def test_media_round_trip(odd, none, spark):
     from ledgerlens.llm.common import shared_dir
 
