@@ -3,8 +3,9 @@
 Shingles are five consecutive words. Their weight is the number of times they
 occur in the text by an inverse document frequency between 1 and 2, taken from
 a count sketch over all documents. Consistent weighted samples agree with the
-probability of the weighted Jaccard similarity; bands of samples make
-candidates, and each candidate pair is verified on the whole texts.
+probability of the weighted Jaccard similarity; samples of the same shingles
+with unit weights agree with that of the plain one. Bands of samples of either
+kind make candidates, and each candidate pair is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from ledgerlens.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Samples per band and bands. A pair of similarity 0.8 meets in a band with probability 0.9998.
+#: Kinds of samples: weighted, and of unit weights.
+KINDS = 2
+#: Samples per band and bands of a kind. A pair of similarity 0.8 meets in a band with probability 0.9998.
 ROWS, BANDS = 3, 12
 SAMPLES = ROWS * BANDS
 #: Buckets of the document frequency sketch.
 SKETCH_BITS = 18
-#: Pairs that agree in fewer samples are not verified: at similarity 0.8 that is 1 in 1,000.
+#: Pairs that agree in fewer samples of each kind are not verified: at similarity 0.8 that is 1 in 1,000.
 LEAST_AGREEMENT = 21
 #: Rows of two longs that are broadcast rather than shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -130,7 +133,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
     weights_of, seen = idf.value, set()
-    band_salt = kernels.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    band_salt = kernels.mix(np.arange(1, KINDS * BANDS + 1, dtype=np.uint64))
     for batch in batches:
         node = batch["node"].to_numpy(zero_copy_only=False)
         rows, bands, sigs = [], [], []
@@ -139,7 +142,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBat
                 continue
             if len(seen) < 1_000_000:
                 seen.add(node[row])
-            picked = samples(*weighted(shingles, weights_of)).reshape(BANDS, ROWS)
+            distinct, weights = weighted(shingles, weights_of)
+            picked = np.concatenate([samples(distinct, weights), samples(distinct, np.ones(len(distinct)))]).reshape(KINDS * BANDS, ROWS)
             h = band_salt
             for c in range(ROWS):
                 h = kernels.mix(h + picked[:, c])
@@ -148,7 +152,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBat
             sigs.append(picked.ravel().astype(np.uint32).view(np.int32))
         if rows:
             flat = lambda parts, n: pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(parts) + 1, n, dtype=np.int32)), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), flat(bands, BANDS), flat(sigs, SAMPLES)], ["node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), flat(bands, KINDS * BANDS), flat(sigs, KINDS * SAMPLES)], ["node", "bands", "sig"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -195,8 +199,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf, least:
 
 
 def _agreement(a: Column, b: Column) -> Column:
-    """In how many samples two signatures agree, as a sum that is compiled."""
-    return reduce(add, ((a[i] == b[i]).cast("int") for i in range(SAMPLES)))
+    """In how many samples of one kind two signatures agree at most, as sums that are compiled."""
+    of_kind = lambda k: reduce(add, ((a[i] == b[i]).cast("int") for i in range(k * SAMPLES, (k + 1) * SAMPLES)))
+    return F.greatest(*(of_kind(k) for k in range(KINDS)))
 
 
 def _mixed(grouped: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
@@ -207,7 +212,7 @@ def _mixed(grouped: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """(u, v) of members of a bucket in different components that agree in LEAST_AGREEMENT samples.
+    """(u, v) of members of a bucket in different components that agree in LEAST_AGREEMENT samples of a kind.
 
     A bucket is split into blocks, each of which meets all members in a task
     of its own; pairs that don't agree never leave the join.
@@ -227,7 +232,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     with, then members of buckets that lie in several components against the
     one beside them and the first of those that agree in a second band. What
     is left, every pair that shares a bucket, lies in different components and
-    agrees in LEAST_AGREEMENT samples, is verified by :func:`_rest`.
+    agrees in LEAST_AGREEMENT samples of a kind, is verified by :func:`_rest`.
     """
     spark = docs.sparkSession
     texts = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id"), F.col("text")).where("text is not null")
@@ -242,8 +247,9 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = grouped.groupBy("node").agg(F.min("head").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
     found = written(_verified(written(first, "pairs"), nodes, texts, idf, least), "links")
     members = _mixed(grouped, components(found), signed)
-    # Members that also agree in a second band, in order.
-    order = Window.partitionBy("band", "hash", F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))).orderBy("component", "node")
+    # Members that also agree in a second band of the same kind, in order.
+    second = F.col("band") - F.pmod("band", F.lit(BANDS)) + F.pmod(F.col("band") + 1, F.lit(BANDS))
+    order = Window.partitionBy("band", "hash", F.get("bands", second)).orderBy("component", "node")
     me = F.struct("node", "component", "sig")
     pairs = members.select("node", "component", "sig", F.array(F.lag(me, 1).over(order), F.first(me).over(order)).alias("rivals"))
     pairs = pairs.select("node", "component", "sig", F.explode("rivals").alias("o")).where(F.col("o").isNotNull() & (F.col("o.component") != F.col("component")) & (_agreement(F.col("sig"), F.col("o.sig")) >= LEAST_AGREEMENT))

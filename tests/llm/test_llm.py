@@ -166,6 +166,14 @@ def test_levels_against_brute_force(spark):
     assert {r.call_id: r.level for r in tool_calls.levels(rows).collect()} == {c: depth.get(c) for c in after}
 
 
+def test_near_duplicates_by_plain_similarity(spark):
+    """A passage 10 times and 100 times: plain similarity 1, weighted 0.1."""
+    lines = [" ".join(f"l{k}w{n}" for n in range(40)) for k in range(20)]
+    rows = [(k + 100 * many, " ".join([line] * times)) for k, line in enumerate(lines) for many, times in enumerate((10, 100))]
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {doc_id: doc_id % 100 for doc_id, _ in rows}
+
+
 def test_levels_behind_a_call_settled_last(spark):
     """P has two waits that settle at once; C waits for P alone, and nothing else keeps the rounds going."""
     rows = spark.createDataFrame([("a", None), ("b", None), ("p", ["a", "b"]), ("c", ["p"])], "call_id string, after array<string>")
