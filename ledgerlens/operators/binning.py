@@ -85,3 +85,46 @@ def greedy_groups(counts: DataFrame, least: int) -> DataFrame:
 
     finish = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["low"].alias("low"), acc["high"].alias("high"), acc["n"].alias("n"))))).otherwise(acc["done"])
     return pairs.select(F.posexplode(F.aggregate("a", start, step, finish)).alias("grp", "g")).select(F.col("grp").cast("long").alias("grp"), "g.low", "g.high", "g.n")
+
+
+def optimal_groups(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """(grp, low, high, n): the finest split of :func:`greedy_groups` into at most ``bins`` groups. ``counts`` is (value, n).
+
+    With no more distinct values than ``bins``, or ``bins`` of -1, a group has
+    as many rows as the rarest value. Else ceil(n/b) rows, b going up from
+    ``bins`` until more groups appear; the first step up asks for one row
+    more, as in the reference. Groups never become fewer as b grows, so the
+    last b is found by halving. Nulls and NaN are a first group, which counts
+    among the groups but not in n.
+    """
+    counts = counts.select(F.when(~F.isnan("value"), F.col("value")).alias("value"), "n").cache()
+    known = F.col("value").isNotNull()
+    about = counts.agg(F.count("value").alias("kinds"), F.sum(F.when(known, F.col("n"))).alias("n"), F.min(F.when(known, F.col("n"))).alias("rarest"), F.sum(F.when(~known, F.col("n"))).alias("nulls")).first()
+    sizes = counts.where(known).agg(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))), lambda x: x["n"]).alias("a")).cache()
+    first = 1 if about["nulls"] else 0
+
+    def few(least: int) -> bool:
+        start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("n"))
+        step = lambda acc, x: F.when(acc["n"] + x >= least, F.struct((acc["g"] + 1).alias("g"), F.lit(0).cast("long").alias("n"))).otherwise(F.struct(acc["g"].alias("g"), (acc["n"] + x).alias("n")))
+        return sizes.select(F.aggregate("a", start, step, lambda acc: acc["g"] + (acc["n"] > 0).cast("long"))).first()[0] + first <= bins
+
+    if about["kinds"] <= bins or bins == -1:
+        least = about["rarest"] or 1
+    else:
+        size = lambda b: -(-about["n"] // b)
+        least = size(bins)
+        if few(size(bins + 1) + 1):
+            least = size(bins + 1) + 1
+            low, high = bins + 1, bins + 2
+            while few(size(high)):
+                low, high = high, 2 * high
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if few(size(mid)) else (low, mid)
+            if low > bins + 1:
+                least = size(low)
+    groups = greedy_groups(counts, least).withColumn("grp", F.col("grp") + first)
+    if not first:
+        return groups
+    none = F.lit(None).cast("double")
+    return counts.where(~known).agg(F.sum("n").alias("n")).select(F.lit(0).cast("long").alias("grp"), none.alias("low"), none.alias("high"), "n").union(groups)

@@ -179,8 +179,7 @@ def dt_cut_points(spark, d):
 @register()
 def optimal_split(spark, d):
     counts = lines(spark, d).groupBy(F.col("l_quantity").cast("double").alias("value")).agg(F.count("*").alias("n"))
-    least = counts.agg(F.ceil(F.sum("n") / 10)).first()[0]
-    return binning.greedy_groups(counts, int(least))
+    return binning.optimal_groups(counts)
 
 
 _KEYS = ["feature"]

@@ -27,6 +27,32 @@ def test_greedy_groups(spark):
     assert [(r.low, r.high, r.n) for r in binning.greedy_groups(counts, 5).orderBy("grp").collect()] == [(1.0, 2.0, 6), (3.0, 3.0, 10), (4.0, 4.0, 1)]
 
 
+def test_optimal_groups_against_a_search_of_every_size(spark):
+    def fold(ns, least):
+        out, n = [], 0
+        for x in ns:
+            n += x
+            if n >= least:
+                out, n = [*out, n], 0
+        return [*out, n] if n else out
+
+    def search(ns, nulls, bins):
+        first, size = [nulls] if nulls else [], lambda b: -(-sum(ns) // b)
+        if len(ns) <= bins:
+            return first + fold(ns, min(ns))
+        best, b, least = first + fold(ns, size(bins)), bins + 1, size(bins + 1) + 1
+        while len(got := first + fold(ns, least)) <= bins:
+            best, b = got, b + 1
+            least = size(b)
+        return best
+
+    for ns, nulls, bins in [([900, 5, 5, 5, 5, 5, 5, 5, 5, 60], 0, 4), ([3, 1, 2], 0, 5), ([7, 2, 9, 4, 1, 8, 3, 6], 5, 3), ([10] * 8, 0, 4)]:
+        rows = [(float(i), n) for i, n in enumerate(ns)] + ([(None, nulls - 1), (float("nan"), 1)] if nulls else [])
+        got = binning.optimal_groups(spark.createDataFrame(rows, "value double, n long"), bins).orderBy("grp").collect()
+        assert [r.n for r in got] == search(ns, nulls, bins) and [r.grp for r in got] == list(range(len(got)))
+        assert bool(nulls) == (got[0].low is None)
+
+
 def test_auc_of_ties_is_half(spark):
     df = spark.createDataFrame([(1.0, 1), (1.0, 0)], "x double, y int")
     row = evaluate.ks_auc(evaluate.value_counts(df, ["x"], "y"), ["feature"]).first()
