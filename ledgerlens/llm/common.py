@@ -7,13 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerlens.session import ship, table
 
-__all__ = ["arrow_job", "checkpoint_dir", "crc_of_id", "sample_of", "shared_dir", "table", "written"]
+__all__ = ["arrow_job", "checkpoint_dir", "crc_of_id", "discard", "labelled_sample", "measured", "sample_of", "shared_dir", "table", "written"]
 
 
 def arrow_job(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -23,18 +23,17 @@ def arrow_job(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where that setting is missing, as in tests on one machine, a temporary
-    folder is made and set as the checkpoint folder.
-    """
+    """A new folder below spark.checkpoint.dir, which all executors share."""
     top = checkpoint_dir(spark)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a local master only, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.sparkContext.setCheckpointDir(top)
     elif not spark.sparkContext.getCheckpointDir():
@@ -49,34 +48,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates over the rows that the same job works out."""
+    seen = Observation()
+    found = written(df.observe(seen, *(c.alias(k) for k, c in figures.items())), name)
+    return found, seen.get
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folders of a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    top, path_of = checkpoint_dir(spark).rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        where = path_of(folder)
+        if where.toUri().getPath().startswith(path_of(top).toUri().getPath() + "/"):
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of an id's decimal digits; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def sample_of(df: DataFrame, most: int, by: str = "doc_id") -> DataFrame:
-    """About ``most`` rows, chosen by a hash of their id alone; all rows if there are fewer."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-
-
 def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its id modulo ``modulus``; false for a null id."""
     return F.coalesce(F.pmod(crc_of_id(column), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, most_bytes: int) -> pa.Table:
-    """(text, label) of about ``most`` labelled rows for training, half of each class, none of them held out.
+def sample_of(df: DataFrame, most: int, by: str = "doc_id", kind: str | None = None) -> DataFrame:
+    """About ``most`` rows, or ``most`` of each ``kind``, chosen by a hash of ``by`` alone; all rows if there are fewer.
 
-    Rows are chosen by a hash of their id among those of at most ``most_bytes``
-    bytes, so what reaches the driver is bounded. An id with several labels
-    takes the highest; null labels and texts don't count.
+    ``by`` must not repeat (within a kind), else what is chosen has no bound.
+    """
+    counts = {r[0]: r[1] for r in (df.groupBy(kind).count() if kind else df.select(F.lit(0), F.lit(df.count())).limit(1)).collect()}
+    chance = lambda n: int(1_000_000 * min(1.0, most / n)) if n else 1_000_000
+    draw = F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.lit(1_000_000))
+    if not kind:
+        return df.where(draw < chance(counts.get(0, 0)))
+    least = F.lit(0)
+    for value, n in counts.items():
+        least = F.when(F.col(kind).eqNullSafe(F.lit(value)), chance(n)).otherwise(least)
+    return df.where(draw < least)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int) -> pa.Table:
+    """(text, label) of about ``most`` labelled ids for training, half of each class, none of them held out.
+
+    Ids are chosen by their hash alone, whatever their texts, so the number of
+    texts that reach the driver is bounded. An id with several labels takes
+    the highest, an id with several texts that of the least hash; null labels
+    and texts don't count.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder))
     per_id = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = sample_of(per_id.where("label = 1"), most // 2).union(sample_of(per_id.where("label = 0"), most // 2))
-    rows = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    # At most about `most` ids and labels.
-    return rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").select("text", "label").toArrow()
+    chosen = sample_of(per_id.where("label in (0, 1)"), most // 2, kind="label")
+    # At most about `most` ids and labels are broadcast.
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").select("t.text", "label").toArrow()

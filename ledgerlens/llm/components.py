@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import discard, measured
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of links (u, v), the least node that it is connected with.
 
     Nulls and links of a node with itself are left out; nodes without links
-    don't appear. Each round is written to the shared folder; there are about
+    don't appear. Each round is one job that writes the edges to the shared
+    folder and sums them up; the round before is then deleted. There are about
     as many rounds as the logarithm of a component's diameter.
     """
-    edges = written(links.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("c")).distinct())
-        before = tuple(state)
-        edges = written(_small_star(_large_star(edges)).distinct(), "edges")
+    figures = {"n": F.count(F.lit(1)), "mark": F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))}
+    edges, before = measured(links.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **figures)
+    while before["n"]:
+        further, now = measured(_small_star(_large_star(edges)).distinct(), "edges", **figures)
+        discard(edges)
+        edges = further
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("c")).distinct())

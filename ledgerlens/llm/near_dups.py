@@ -1,59 +1,59 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five consecutive words. Their weight is the number of times they
-occur in the text by an inverse document frequency between 1 and 2, taken from
-a count sketch over all documents. Consistent weighted samples agree with the
-probability of the weighted Jaccard similarity; samples of the same shingles
-with unit weights agree with that of the plain one. Bands of samples of either
-kind make candidates, and each candidate pair is verified on the whole texts.
+Shingles are five consecutive words. A shingle's weight is the number of times
+it occurs in the text by an inverse document frequency between 1 and 2.
+Consistent weighted samples of two texts agree with the probability of their
+weighted Jaccard similarity. Bands of samples make candidates, and candidates
+are verified on whole texts by their weighted Jaccard similarity.
+
+Texts are held against each other in blocks: a task gets each text of a block
+once and gives back links only, never pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial, reduce
-from operator import add
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import kernels
-from ledgerlens.llm.common import arrow_job, table, written
+from ledgerlens.llm.common import arrow_job, measured, table, written
 from ledgerlens.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Kinds of samples: weighted, and of unit weights.
-KINDS = 2
-#: Samples per band and bands of a kind. A pair of similarity 0.8 meets in a band with probability 0.9998.
-ROWS, BANDS = 3, 12
+#: Samples per band, and bands. A pair of similarity 0.8 meets in a band with probability 0.998.
+ROWS, BANDS = 4, 12
 SAMPLES = ROWS * BANDS
-#: Buckets of the document frequency sketch.
+#: Pairs that agree in fewer samples are not verified after the first round: at similarity 0.8 that is 4 in 10,000.
+LEAST_AGREEMENT = 29
+#: Shingles of a smaller share of all documents weigh alike; so at most (mean shingles of a document) / COMMON have another weight.
+COMMON = 0.005
+#: Buckets of the sketch that tells which shingles can be that common.
 SKETCH_BITS = 18
-#: Pairs that agree in fewer samples of each kind are not verified: at similarity 0.8 that is 1 in 1,000.
-LEAST_AGREEMENT = 21
-#: Rows of two longs that are broadcast rather than shuffled.
-BROADCAST_ROWS = 1_000_000
-#: Members of a bucket that meet the others in one task.
-BLOCK = 1024
+#: Rows of a few longs that are broadcast rather than shuffled.
+BROADCAST_ROWS = 100_000
+#: Members and shingles of a block, in the mean.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 
-def node_of(text: Column) -> Column:
-    """64 bits of a text: equal texts are one node; null for null."""
-    return F.when(text.isNotNull(), F.xxhash64(text))
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text, as columns k1 and k2: equal texts are one."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+KEY = ["k1", "k2"]
 
 
 # --- numpy side ------------------------------------------------------------------------------------------------------
 
 
 def _shingles(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, distinct sorted-by-hash shingles with repeats) of each text of a batch."""
+    """(row, shingles with repeats) of each text of a batch."""
     raw, at = kernels.utf8(batch[column])
     for lo, hi in kernels.chunks(at):
         words, begin = kernels.word_hashes(raw, at[lo : hi + 1])
@@ -66,12 +66,12 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, documents = np.zeros(1 << SKETCH_BITS, np.int64), 0
+    counts, documents, place = np.zeros(1 << SKETCH_BITS, np.int64), 0, np.zeros(1 << SKETCH_BITS, np.int32)
     for batch in batches:
         for _, shingles in _shingles(batch, "text"):
             if len(shingles):
                 documents += 1
-                counts[np.unique(_bucket(shingles))] += 1
+                counts[kernels.once(_bucket(shingles), place)] += 1
     full = np.flatnonzero(counts)
     for lo in range(0, len(full), 65_536):
         part = full[lo : lo + 65_536]
@@ -79,14 +79,56 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "n": pa.array([documents], pa.int64())})
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """The weight of each sketch bucket: 1 + ln((1+N)/(1+df)) / ln(1+N), between 1 and 2."""
-    rows = arrow_job(docs.select("text"), _sketch, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def _frequencies(batches: Iterator[pa.RecordBatch], heavy) -> Iterator[pa.RecordBatch]:
+    """(shingle, documents) of the shingles in heavy buckets, summed up before they leave the task."""
+    wanted, parts, size = heavy.value, [], 0
+
+    def summed() -> pa.RecordBatch:
+        shingle, n = np.unique(np.concatenate([*parts, np.empty(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    for batch in batches:
+        for _, shingles in _shingles(batch, "text"):
+            parts.append(np.unique(shingles[wanted[_bucket(shingles)]]))
+            size += len(parts[-1])
+            if size > 1 << 22:
+                yield summed()
+                parts, size = [], 0
+    yield summed()
+
+
+def idf_table(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of at least a share COMMON of all documents, sorted, and their weights.
+
+    A weight is 1 + ln(N/df) / ln(1/COMMON), and 2 for all other shingles. So
+    it depends on relative frequencies alone, and is the same at every size.
+    Frequencies are exact: a sketch over all documents only leaves out buckets
+    in which no shingle can be that common.
+    """
+    rows = arrow_job(texts.select("text"), _sketch, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    documents = max(1, int(n[bucket < 0].sum()))
-    df = np.zeros(1 << SKETCH_BITS)
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    return (1 + np.log((1 + documents) / (1 + np.minimum(df, documents))) / np.log(1 + documents)).astype(np.float32)
+    documents = int(n[bucket < 0].sum())
+    heavy = np.zeros(1 << SKETCH_BITS, bool)
+    heavy[bucket[(bucket >= 0) & (n >= COMMON * documents)]] = True
+    if not heavy.any():
+        return np.empty(0, np.uint64), np.empty(0)
+    shared = texts.sparkSession.sparkContext.broadcast(heavy)
+    found = arrow_job(texts.select("text"), partial(_frequencies, heavy=shared), "shingle long, n long")
+    rows = found.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * documents).toArrow()
+    shared.destroy()
+    shingle = rows["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], (1 + np.log(documents / rows["n"].to_numpy()) / np.log(1 / COMMON))[order]
+
+
+def weighted(shingles: np.ndarray, idf: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles in order, and their weights."""
+    common, weight_of = idf
+    distinct, times = np.unique(shingles, return_counts=True)
+    if not len(common):
+        return distinct, times * 2.0
+    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+    return distinct, times * np.where(common[at] == distinct, weight_of[at], 2.0)
 
 
 _draws: list[tuple[np.ndarray, ...]] = []
@@ -101,12 +143,6 @@ def _tables() -> tuple[np.ndarray, ...]:
     return _draws[0]
 
 
-def weighted(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles and their weights."""
-    distinct, times = np.unique(shingles, return_counts=True)
-    return distinct, times * idf[_bucket(distinct)]
-
-
 def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """SAMPLES consistent weighted samples of a non-empty weighted set, as 64-bit hashes of (shingle, t)."""
     r, inverse, lnc, beta = _tables()
@@ -131,28 +167,33 @@ def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def _lists(parts: list[np.ndarray], size: int, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(parts) + 1, size, dtype=np.int32)), pa.array(np.concatenate(parts), kind))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
     weights_of, seen = idf.value, set()
-    band_salt = kernels.mix(np.arange(1, KINDS * BANDS + 1, dtype=np.uint64))
+    band_salt = kernels.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        node = batch["node"].to_numpy(zero_copy_only=False)
-        rows, bands, sigs = [], [], []
+        keys = list(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), strict=True))
+        rows, bands, sigs, sizes = [], [], [], []
         for row, shingles in _shingles(batch, "text"):
-            if not len(shingles) or node[row] in seen:
+            # Copies within a task are left out as far as memory goes; the rest go when signatures meet.
+            if not len(shingles) or keys[row] in seen:
                 continue
-            if len(seen) < 1_000_000:
-                seen.add(node[row])
-            distinct, weights = weighted(shingles, weights_of)
-            picked = np.concatenate([samples(distinct, weights), samples(distinct, np.ones(len(distinct)))]).reshape(KINDS * BANDS, ROWS)
+            if len(seen) < 200_000:
+                seen.add(keys[row])
+            picked = samples(*weighted(shingles, weights_of))
             h = band_salt
             for c in range(ROWS):
-                h = kernels.mix(h + picked[:, c])
+                h = kernels.mix(h + picked.reshape(BANDS, ROWS)[:, c])
             rows.append(row)
             bands.append(h.view(np.int64))
-            sigs.append(picked.ravel().astype(np.uint32).view(np.int32))
+            sigs.append(picked.astype(np.uint32).view(np.int32))
+            sizes.append(len(shingles))
         if rows:
-            flat = lambda parts, n: pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(parts) + 1, n, dtype=np.int32)), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), flat(bands, KINDS * BANDS), flat(sigs, KINDS * SAMPLES)], ["node", "bands", "sig"])
+            kept = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["k1"].take(kept), batch["k2"].take(kept), pa.array(sizes, pa.int64()), _lists(bands, BANDS, pa.int64()), _lists(sigs, SAMPLES, pa.int32())], ["k1", "k2", "shingles", "bands", "sig"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -164,146 +205,265 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return (common / total if total else 0.0), (len(i) / every if every else 0.0)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], idf, least: float) -> Iterator[pa.RecordBatch]:
-    weights_of, last = idf.value, (None, None)
+class Block:
+    """The weighted shingle sets of a block, laid end to end, so that one text is held against many at once."""
+
+    def __init__(self, texts: pa.Array, idf: tuple[np.ndarray, np.ndarray]):
+        sets = [weighted(s, idf) for _, s in _shingles(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+        self.size = np.array([len(s) for s, _ in sets], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.total = np.array([w.sum() for _, w in sets])
+        self.weight = np.concatenate([w for _, w in sets])
+        vocabulary, ids = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        self.dense = np.zeros(len(vocabulary))
+
+    def similarities(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted and plain Jaccard similarity of a text to each of the others, none of them without words."""
+        own = slice(self.begin[one], self.begin[one + 1])
+        self.dense[self.ids[own]] = self.weight[own]
+        sizes = self.size[others]
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.repeat(self.begin[others] - first, sizes) + np.arange(sizes.sum())
+        common = np.minimum(self.dense[self.ids[at]], self.weight[at])
+        meet = np.add.reduceat(common, first)
+        both = np.add.reduceat((common > 0).astype(np.int64), first)
+        self.dense[self.ids[own]] = 0
+        return meet / (self.total[one] + self.total[others] - meet), both / (self.size[one] + sizes - both)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that have the same keys, in input that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch[k][row].as_py() for k in keys)
+
     for batch in batches:
-        a = _shingles(batch, "text_a")
-        b = _shingles(batch, "text_b")
-        v = batch["v"].to_pylist()
-        keep, found = [], []
-        for (row, own), (_, other) in zip(a, b, strict=True):
-            if last[0] != v[row]:
-                last = (v[row], weighted(other, weights_of))
-            similar, plain = similarity(weighted(own, weights_of), last[1])
-            if max(similar, plain) >= least:
-                keep.append(row)
-                found.append(similar)
-        kept = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["u"].take(kept), batch["v"].take(kept), pa.array(found, pa.float64())], ["u", "v", "similarity"])
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            column = batch[k].to_numpy(zero_copy_only=False)
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and lo == 0 and key(held[-1], held[-1].num_rows - 1) != key(batch, 0) or held and lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("similarity", pa.float64()), ("plain", pa.float64())])
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_LINK.types)], schema=_LINK)
+
+
+def _against_head(batches: Iterator[pa.RecordBatch], idf, least: float) -> Iterator[pa.RecordBatch]:
+    """Blocks of members of one head (head, block, node, text): the head itself is among the rows of each."""
+    for group in _groups(batches, ["head", "block"]):
+        node, head = group["node"].to_numpy(), group["head"][0].as_py()
+        _, alone = np.unique(node, return_index=True)
+        node = node[alone]
+        block = Block(group["text"].combine_chunks().take(pa.array(alone)), idf.value)
+        at, others = np.flatnonzero(node == head), np.flatnonzero(node != head)
+        if len(at) and len(others):
+            near, plain = block.similarities(int(at[0]), others)
+            yield _links([(int(node[o]), head, float(s), float(p)) for o, s, p in zip(others, near, plain, strict=True) if s >= least])
+
+
+class _Joined:
+    """Disjoint sets of small whole numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _pending(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, others, agreement) of a block's pairs that are not joined yet and may be near.
+
+    A pair counts if its labels differ, if this band is the first in which it
+    meets, and if it agrees in LEAST_AGREEMENT samples. In a block of two
+    sides only pairs of both sides count.
+    """
+    band, across = group["band"][0].as_py(), group["i"][0].as_py() != group["j"][0].as_py()
+    label, side = group["label"].to_numpy(), group["side"].to_numpy()
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    sig = group["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+    n = len(label)
+    for row in np.flatnonzero(side == 0) if across else range(n - 1):
+        rest = np.flatnonzero(side == 1) if across else np.arange(row + 1, n)
+        rest = rest[label[rest] != label[row]]
+        if len(rest):
+            rest = rest[~(bands[rest, :band] == bands[row, :band]).any(axis=1)]
+        if len(rest):
+            agree = (sig[rest] == sig[row]).sum(axis=1)
+            near = agree >= LEAST_AGREEMENT
+            if near.any():
+                yield row, rest[near], agree[near]
+
+
+_PLACE = ["band", "hash", "i", "j"]
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks (band, hash, i, j, ...) that take part in a pending pair, without texts."""
+    for group in _groups(batches, _PLACE):
+        label = group["label"].to_numpy()
+        if (label != label[0]).any():
+            part = np.zeros(len(label), bool)
+            for row, others, _ in _pending(group):
+                part[row] = True
+                part[others] = True
+            if part.any():
+                yield from group.take(pa.array(np.flatnonzero(part))).combine_chunks().to_batches()
+
+
+def _settle(batches: Iterator[pa.RecordBatch], idf, least: float) -> Iterator[pa.RecordBatch]:
+    """Verifies the pending pairs of blocks (band, hash, i, j, ..., text); gives links that join what isn't joined yet."""
+    for group in _groups(batches, _PLACE):
+        _, alone = np.unique(np.array([group["node"].to_numpy(), group["side"].to_numpy()]), axis=1, return_index=True)
+        group = group.take(pa.array(np.sort(alone)))
+        node, block = group["node"].to_numpy(), Block(group["text"].combine_chunks(), idf.value)
+        _, label = np.unique(group["label"].to_numpy(), return_inverse=True)
+        joined, found = _Joined(len(label)), []
+        for row, others, agree in _pending(group):
+            others = others[np.argsort(-agree, kind="stable")]
+            own = joined.find(int(label[row]))
+            others = others[[joined.find(int(label[o])) != own for o in others]]
+            if len(others):
+                for o, s, p in zip(others, *block.similarities(row, others), strict=True):
+                    if s >= least and joined.join(int(label[row]), int(label[o])):
+                        found.append((int(node[row]), int(node[o]), float(s), float(p)))
+        if found:
+            yield _links(found)
 
 
 # --- Spark side ------------------------------------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """Links (u, v, similarity) of the candidate pairs (u, v) that pass on their whole texts.
-
-    ``nodes`` names one document for each node; only texts of candidates move.
-    """
-    owners = nodes.select(F.col("node"), F.col("first_id"))
-    left = texts.join(bounded_broadcast(pairs.join(owners, pairs.u == owners.node).select("u", "v", F.col("first_id").alias("id"))), (F.col("node") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("u", "v", F.col("text").alias("text_a"))
-    heads = pairs.select("v").distinct().join(owners, F.col("v") == owners.node).select(F.col("v").alias("head_node"), F.col("first_id").alias("id"))
-    right = texts.join(bounded_broadcast(heads), (F.col("node") == F.col("head_node")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("head_node", F.col("text").alias("text_b"))
-    both = left.join(right, left.v == right.head_node).select("u", "v", "text_a", "text_b")
-    return arrow_job(both, partial(_verify, idf=idf, least=least), "u long, v long, similarity double").groupBy("u", "v").agg(F.max("similarity").alias("similarity"))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    """In how many samples of one kind two signatures agree at most, as sums that are compiled."""
-    of_kind = lambda k: reduce(add, ((a[i] == b[i]).cast("int") for i in range(k * SAMPLES, (k + 1) * SAMPLES)))
-    return F.greatest(*(of_kind(k) for k in range(KINDS)))
+def _with_texts(members: DataFrame, rows: int, texts: DataFrame) -> DataFrame:
+    """The members (k1, k2, first_id, ...) with their text, which moves once for each of them."""
+    members = members.withColumnsRenamed({"k1": "m1", "k2": "m2", "first_id": "m_id"})
+    on = (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    return texts.join(_small(members, rows), on).drop("k1", "k2", "m1", "m2", "doc_id", "m_id")
 
 
-def _mixed(grouped: DataFrame, label: DataFrame, signed: DataFrame) -> DataFrame:
-    """(band, hash, n, node, component, bands, sig) of the members of buckets whose n members lie in several components."""
-    named = grouped.join(label, "node", "left").select("band", "hash", "node", F.coalesce("component", "node").alias("component"))
-    spread = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    return written(named.join(spread.where("low != high").select("band", "hash", "n"), ["band", "hash"]).join(signed, "node"), "mixed")
+def _in_order(df: DataFrame, keys: list[str], work: Callable, schema: str | None = None) -> DataFrame:
+    return arrow_job(df.repartition(*keys).sortWithinPartitions(*keys), work, schema or "u long, v long, similarity double, plain double")
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """(u, v) of members of a bucket in different components that agree in LEAST_AGREEMENT samples of a kind.
-
-    A bucket is split into blocks, each of which meets all members in a task
-    of its own; pairs that don't agree never leave the join.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK)
-    side = lambda x, block: members.select("band", "hash", F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}"), F.col("sig").alias(f"sig_{x}"), block.alias("block"))
-    a = side("a", F.pmod(F.xxhash64("node"), blocks))
-    b = side("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = a.join(b, ["band", "hash", "block"]).where((F.col("component_a") > F.col("component_b")) & (_agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREEMENT))
-    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(k1, k2, first_id, n_rows, node): every text that isn't null once, with a number of its own."""
+    keys = docs.where("text is not null").select(*text_key(F.col("text")), "doc_id")
+    keys = keys.groupBy(*KEY).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"))
+    return written(keys.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
-def links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Verified links (u, v, similarity) between different texts, enough to join each class of them.
+def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Verified links (u, v, similarity, plain) between nodes of different texts, enough to join each class of them.
 
     First every text is held against the least node that it shares a bucket
-    with, then members of buckets that lie in several components against the
-    one beside them and the first of those that agree in a second band. What
-    is left, every pair that shares a bucket, lies in different components and
-    agrees in LEAST_AGREEMENT samples of a kind, is verified by :func:`_rest`.
+    with. Then, in each bucket whose members were not all joined so, every
+    pair that still lies apart and agrees in LEAST_AGREEMENT samples is
+    verified, in blocks of the bucket.
     """
     spark = docs.sparkSession
-    texts = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id"), F.col("text")).where("text is not null")
-    nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
+    texts = docs.where("text is not null").select(*text_key(F.col("text")), "doc_id", "text")
     idf = spark.sparkContext.broadcast(idf_table(texts))
-    signed = arrow_job(texts.select("node", "text"), partial(_signatures, idf=idf), "node long, bands array<long>, sig array<int>")
-    signed = written(signed.dropDuplicates(["node"]), "signatures")
-    banded = signed.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
+    signed = arrow_job(texts.select(*KEY, "text"), partial(_signatures, idf=idf), "k1 long, k2 long, shingles long, bands array<long>, sig array<int>")
+    signed = written(signed.dropDuplicates(KEY).join(nodes, KEY).select("node", *KEY, "first_id", "shingles", "bands", "sig"), "signatures")
+    banded = signed.select("node", "shingles", F.posexplode("bands").alias("band", "hash"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size"), blocks).where("size > 1").drop("size")
     # From here on only members of shared buckets move.
     grouped = written(banded.join(buckets, ["band", "hash"]), "buckets")
-    first = grouped.groupBy("node").agg(F.min("head").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
-    found = written(_verified(written(first, "pairs"), nodes, texts, idf, least), "links")
-    members = _mixed(grouped, components(found), signed)
-    # Members that also agree in a second band of the same kind, in order.
-    second = F.col("band") - F.pmod("band", F.lit(BANDS)) + F.pmod(F.col("band") + 1, F.lit(BANDS))
-    order = Window.partitionBy("band", "hash", F.get("bands", second)).orderBy("component", "node")
-    me = F.struct("node", "component", "sig")
-    pairs = members.select("node", "component", "sig", F.array(F.lag(me, 1).over(order), F.first(me).over(order)).alias("rivals"))
-    pairs = pairs.select("node", "component", "sig", F.explode("rivals").alias("o")).where(F.col("o").isNotNull() & (F.col("o.component") != F.col("component")) & (_agreement(F.col("sig"), F.col("o.sig")) >= LEAST_AGREEMENT))
-    pairs = written(pairs.select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct(), "pairs")
-    found = written(found.union(_verified(pairs, nodes, texts, idf, least)), "links")
-    pairs = written(_rest(_mixed(grouped, components(found), signed)), "pairs")
-    return found.union(written(_verified(pairs, nodes, texts, idf, least), "links"))
+    names = signed.select("node", *KEY, "first_id")
+
+    first = grouped.groupBy("node").agg(F.min("head").alias("head"), F.first("shingles").alias("shingles")).where("node != head")
+    sizes = first.groupBy("head").agg(blocks)
+    dealt = first.join(sizes, "head").select("node", "head", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    heads = sizes.select(F.col("head").alias("node"), "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    asked, seen = measured(dealt.union(heads).join(names, "node"), "pairs", n=F.count(F.lit(1)))
+    found = written(_in_order(_with_texts(asked, seen["n"], texts), ["head", "block"], partial(_against_head, idf=idf, least=least)), "links")
+
+    # A node's label: what it was joined with, two steps far.
+    star = found.select(F.col("u").alias("node"), F.col("v").alias("near"))
+    label = star.join(star.select(F.col("node").alias("near"), F.col("near").alias("far")), "near", "left").select("node", F.coalesce("far", "near").alias("label"))
+    named = grouped.join(label, "node", "left").select("band", "hash", "blocks", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "hash")
+    members = named.join(mixed, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
+    rows = "band int, hash long, i long, j long, side int, node long, label long, k1 long, k2 long, first_id " + dict(nodes.dtypes)["first_id"] + ", bands array<long>, sig array<int>"
+    asked, seen = measured(_in_order(members.join(signed.drop("shingles"), "node").select(*(c.split()[0] for c in rows.split(", "))), _PLACE, _unsettled, rows), "pending", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return found
+    return found.union(written(_in_order(_with_texts(asked, seen["n"], texts), _PLACE, partial(_settle, idf=idf, least=least)), "links"))
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """(k1, k2, first_id, n_rows, class): every text that isn't null, and the node that names its class."""
+    nodes = nodes_of(docs)
+    return nodes.join(components(links(docs, nodes, least)), "node", "left").select(*KEY, "first_id", "n_rows", F.coalesce("component", "node").alias("class"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size, n_links) of every row: classes of copies and of linked texts.
-
-    A class is named by its least doc_id. Equal texts, also empty ones, are
-    one class; texts without words are linked with nothing else; a null text
-    is alone. A shorter text than five words is one shingle. Repeated rows are
-    copies. A link is a weighted or plain similarity of at least ``least``; of
-    a class's links, those that were needed to find it are counted. Null ids
-    stay null and never name a class that has others. Other columns are left out.
+    """(doc_id, class_id, class_size) of every row: classes of copies and of linked texts.
+
+    A class is named by its least doc_id. Two texts are linked if their
+    weighted Jaccard similarity is at least ``least``. Equal texts, also empty
+    ones, are one class; texts without words are linked with nothing else; a
+    null text is alone. A shorter text than five words is one shingle.
+    Repeated rows are copies. Null ids stay null and never name a class that
+    has others. Other columns are left out. An empty table has no classes.
     """
-    found = written(links(docs, least).select("u", "v"), "links")
-    label = components(found)
-    count = found.select(F.col("u").alias("node")).union(found.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = docs.select(node_of(F.col("text")).alias("node"), "doc_id").withColumn("n_rows", F.lit(1))
-    per_node = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    per_node = written(per_node.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(count, "node", "left"), "node-classes")
-    named = per_node.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    of_node = per_node.join(named, "component").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = ids.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return ids.where("node is not null").join(of_node, "node").select("doc_id", "class_id", "class_size", "n_links").union(alone)
+    rows = written(_classes(docs, least), "node-classes")
+    named = rows.groupBy("class").agg(F.min("first_id").alias("class_id"), F.sum("n_rows").alias("class_size"))
+    of_text = rows.join(named, "class").select(*KEY, "class_id", "class_size")
+    known = docs.where("text is not null").select(*text_key(F.col("text")), "doc_id").join(of_text, KEY).select("doc_id", "class_id", "class_size")
+    return known.union(docs.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs without those that repeat another: the least doc_id of each class stays.
 
     All columns are kept. Of repeated rows (equal id and text) one stays;
-    null texts all stay.
+    null texts all stay, and so does a class whose ids are all null, by one of
+    its rows. Empty and wordless texts are classes of equal texts.
     """
-    found = written(links(docs, least).select("u", "v"), "links")
-    ids = docs.where("text is not null").select(node_of(F.col("text")).alias("_node"), F.col("doc_id").alias("_id"))
-    label = components(found).select(F.col("node").alias("_node"), "component")
-    rows = ids.groupBy("_node", "_id").agg(F.count("*").alias("_n")).join(label, "_node", "left").withColumn("_class", F.coalesce("component", "_node"))
-    rows = written(rows.select("_node", "_id", "_n", "_class"), "rows")
+    rows = written(_classes(docs, least), "node-classes")
     # Null ids sort last, so that an id of the class stays where there is one.
-    key = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_node").alias("c"))
-    best = rows.groupBy("_class").agg(F.min(key).alias("_best"))
-    judged = rows.join(best, "_class").select("_node", "_id", "_n", (key == F.col("_best")).alias("_stays"))
-    judged = written(judged, "judged")
-    full = docs.select(F.struct("*").alias("_doc"), node_of(F.col("text")).alias("_row_node"), F.col("doc_id").alias("_row_id"))
-    same = lambda other: (F.col("_row_node") == other["_node"]) & F.col("_row_id").eqNullSafe(other["_id"])
-    gone = bounded_broadcast(judged.where("not _stays or _n > 1").select("_node", "_id"))
-    once = full.join(gone, same(gone), "left_anti").select("_doc.*")
-    again = bounded_broadcast(judged.where("_stays and _n > 1").select("_node", "_id"))
-    repeated = full.join(again, same(again), "left_semi").dropDuplicates(["_row_node", "_row_id"]).select("_doc.*")
-    return once.union(repeated)
+    key = F.struct(F.col("first_id").isNull().alias("a"), F.col("first_id").alias("b"), F.col("k1").alias("c"), F.col("k2").alias("d"))
+    best = rows.groupBy("class").agg(F.min(key).alias("best"), F.sum("n_rows").alias("size"), F.count("*").alias("texts"))
+    crowded = best.where("size > 1")
+    stays = crowded.select(F.col("best.c").alias("k1"), F.col("best.d").alias("k2"), F.col("best.b").alias("_id"))
+    # Every text of a class of several rows, with the id that stays of it, if any.
+    judged = rows.join(crowded.select("class"), "class").select(*KEY).join(stays.withColumn("_kept", F.lit(True)), KEY, "left")
+    judged, seen = measured(judged.withColumnsRenamed({"k1": "_m1", "k2": "_m2"}), "judged", n=F.count(F.lit(1)))
+    full = docs.where("text is not null").select(F.struct("*").alias("_doc"), *(c.alias(f"_{k}") for k, c in zip(KEY, text_key(F.col("text")), strict=True)), F.col("doc_id").alias("_doc_id"))
+    met = full.join(_small(judged, seen["n"]), (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
+    alone = met.where("_m1 is null").select("_doc.*")
+    kept = met.where(F.col("_kept") & F.col("_doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_k1", "_k2"]).select("_doc.*")
+    return docs.where("text is null").union(alone).union(kept)
 
 
 def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

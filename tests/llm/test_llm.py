@@ -116,6 +116,9 @@ def test_near_duplicates(spark, odd, none):
     docs = spark.createDataFrame([*rows, (5, base)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
     assert got == {5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 10: 10, 11: 11, 12: 11}
+    nulls = spark.createDataFrame([(None, base), (None, near), (None, base), (None, ""), (4, "")], "doc_id long, text string")
+    assert [r.class_id for r in near_dups.classes(nulls).collect() if r.class_size == 3] == [None] * 3
+    assert sorted(str(r.doc_id) for r in near_dups.one_of_each(nulls).collect()) == ["4", "None"]
     assert sorted(r.doc_id for r in near_dups.one_of_each(docs).collect()) == [5, 8, 9, 10, 11]
     assert near_dups.classes(odd).count() == odd.count() and near_dups.one_of_each(odd).columns == odd.columns
     assert near_dups.classes(none).count() == 0
@@ -166,12 +169,78 @@ def test_levels_against_brute_force(spark):
     assert {r.call_id: r.level for r in tool_calls.levels(rows).collect()} == {c: depth.get(c) for c in after}
 
 
-def test_near_duplicates_by_plain_similarity(spark):
-    """A passage 10 times and 100 times: plain similarity 1, weighted 0.1."""
-    lines = [" ".join(f"l{k}w{n}" for n in range(40)) for k in range(20)]
-    rows = [(k + 100 * many, " ".join([line] * times)) for k, line in enumerate(lines) for many, times in enumerate((10, 100))]
+def brute_classes(rows, least):
+    """Classes of (id, text) by weighted Jaccard similarity of every pair with a common shingle, in plain Python."""
+    import math
+    from collections import Counter
+
+    def bag(text):
+        w = WORD.findall(lower(text))
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    bags = [bag(t) for _, t in rows]
+    n = sum(1 for b in bags if b)
+    frequency = Counter(s for b in bags for s in b)
+    weight = {s: 1 + math.log(n / k) / math.log(1 / near_dups.COMMON) if k >= near_dups.COMMON * n else 2.0 for s, k in frequency.items()}
+    holders = {}
+    for k, b in enumerate(bags):
+        for s in b:
+            holders.setdefault(s, []).append(k)
+    up, near = list(range(len(rows))), set()
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    total = [sum(t * weight[s] for s, t in b.items()) for b in bags]
+    for i, (_, text) in enumerate(rows):
+        meet = Counter()
+        for s, t in bags[i].items():
+            for j in holders[s]:
+                if j < i:
+                    meet[j] += weight[s] * min(t, bags[j][s])
+        for j, common in meet.items():
+            if common / (total[i] + total[j] - common) >= least:
+                near.add((rows[j][0], rows[i][0]))
+                up[max(find(i), find(j))] = min(find(i), find(j))
+        for j in range(i):
+            if not bags[i] and rows[j][1] == text:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc_id)
+    return {d: min(g) for g in groups.values() for d in g}, near
+
+
+def test_near_duplicates_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, near = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()], 0.8)
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert len(near) > 50 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    assert all(want[d] == want[c] for d, c in got.items())
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """A crowd around one passage, pairwise between 0.5 and 1: nothing is joined that brute force leaves apart, 0.98 of the rest is."""
+    rng = np.random.default_rng(11)
+    passage, rows = [f"p{n}" for n in range(150)], []
+    for k in range(120):
+        words = list(passage)
+        for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            words[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(words)))
+    want, near = brute_classes(rows, 0.8)
     got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {doc_id: doc_id % 100 for doc_id, _ in rows}
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    """With blocks of seven members the crowd falls into the same classes."""
+    monkeypatch.setattr(near_dups, "BLOCK", 7)
+    test_near_duplicates_in_a_crowd(spark)
+    test_near_duplicates_at_the_threshold(spark)
 
 
 def test_levels_behind_a_call_settled_last(spark):
