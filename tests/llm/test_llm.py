@@ -138,17 +138,47 @@ def test_near_duplicates_in_a_crowd(spark):
     assert got == want
 
 
+CALL = "group_id string, call_id string, name string, arguments string, after array<string>, position long, extra int"
+
+
 def test_tool_calls(spark):
-    calls = spark.createDataFrame([("g", "a", "ask", '{"turn": 1, "text": "x"}', ["b", "zz"]), ("g", "b", "ask", "{", []), ("g", "c", "no", "{}", ["d"]), ("g", "d", "ask", None, ["c"]), ("g", None, "ask", "{}", None)], "group_id string, call_id string, name string, arguments string, after array<string>")
-    results = spark.createDataFrame([("a", "done"), ("q", "lost")], "call_id string, content string")
-    got = {r.call_id: r for r in tool_calls.link_tool_calls(calls, results, {"ask": {"text": {"type": "string", "required": True}, "turn": {"type": "integer", "minimum": 0}}}).collect()}
-    assert (got["a"].level, got["a"].status, got["a"].valid) == (1, "linked", True)
+    calls = [("g", "a", "ask", '{"turn": 1, "text": "x"}', ["b", "zz"]), ("g", "b", "ask", "{", []), ("g", "c", "no", "{}", ["d"]), ("g", "d", "ask", None, ["c"]), ("g", None, "ask", "{}", None)]
+    calls += [("g", "e", "ask", '{"text": "first"}', None), ("g", "e", "ask", '{"text": "other"}', None), ("g", "e", "ask", '{"text": "other"}', None)]
+    calls = spark.createDataFrame([(*c, i, 0) for i, c in enumerate(calls[:6])] + [(*c, 5, 0) for c in calls[6:]], CALL)
+    results = spark.createDataFrame([("a", "done"), ("q", "lost"), ("e", "one"), ("e", "two"), ("e", None), (None, "?")], "call_id string, content string")
+    rows = tool_calls.link_tool_calls(calls, results, {"ask": {"text": {"type": "string", "required": True}, "turn": {"type": "integer", "minimum": 0}}}).collect()
+    got = {r.call_id: r for r in rows if r.call_id != "e"}
+    assert (got["a"].level, got["a"].status, got["a"].valid, got["a"].position) == (1, "linked", True, 0)
     assert got["a"].line == '{"arguments":{"text":"x","turn":1},"id":"a","name":"ask","result":"done"}'
     assert (got["b"].level, got["b"].valid, got["b"].problems) == (0, False, "arguments: not JSON")
-    assert got["c"].level is None and got["d"].level is None and got["q"].status == "orphan" and got[None].status == "unidentified"
+    assert got["c"].level is None and got["d"].level is None and got["q"].status == "orphan" and got["q"].level is None
+    assert sum(r.status == "unidentified" for r in rows) == 2
+    repeats = sorted((r.status, r.n_calls, r.n_results, r.line.split('"result":')[1], r.valid) for r in rows if r.call_id == "e")
+    assert repeats == [("linked", 3, 3, '"one"}', True), ("repeated_call", 2, 0, "null}", False), ("repeated_result", 0, 1, '"two"}', False), ("repeated_result", 0, 1, "null}", False)]
     assert tool_calls.link_tool_calls(calls.where("false"), results.where("false"), {"ask": {}}).count() == 0
 
 
+def test_arguments_against_schemas(spark):
+    from pyspark.sql import functions as F
+
+    rule = {"t": {"type": "string", "min_length": 2, "max_length": 3}, "n": {"type": ["number", "null"], "minimum": 1, "maximum": 2.5}, "e": {"enum": ["a", 1]}, "b": {"type": "boolean"}, "l": {"type": "array"}, "o": {"type": "object", "required": True}}
+    cases = {
+        '{"o": {}}': "",
+        '{"o": {}, "t": "abc", "n": 2.5, "e": "a", "b": true, "l": []}': "",
+        '{"o": {}, "n": null, "e": 1}': "",
+        '{"t": "a", "n": 3, "e": "1", "b": "true", "l": {}, "z": 1}': "b: not boolean; e: not one of enum; l: not array; n: too large; o: missing; t: too short; z: unknown",
+        '{"o": [], "t": "abcd", "n": 0.5}': "n: too small; o: not object; t: too long",
+        '{"o": null, "t": null}': "o: not object; t: not string",
+        "[]": "o: missing",
+        "nope": "arguments: not JSON",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "a string").withColumn("p", F.try_parse_json("a"))
+    got = {r.a: r.w for r in df.select("a", F.concat_ws("; ", tool_calls.problems(F.lit("f"), F.col("p"), {"f": rule}, F.col("a"))).alias("w")).collect()}
+    assert got == cases
+    with pytest.raises(ValueError, match="unknown schema types"):
+        tool_calls.problems(F.lit("f"), F.col("p"), {"f": {"x": {"type": "date"}}})
+
+
 def test_levels_against_brute_force(spark):
     import random
 
@@ -158,6 +188,9 @@ def test_levels_against_brute_force(spark):
     after |= {"r1": ["r2"], "r2": ["r3"], "r3": ["r1"], "r4": ["r3", "d5"], "r5": ["r4"], "s": ["s"], "t": ["s", "d1"]}
     after |= {"k1": ["k2", "k3"], "k2": ["k1", "k3"], "k3": ["k1", "k2"], "k4": ["k1"], "k5": ["k4", "d9"], "none": None}
     after |= {"k6": ["k1", "k2", "k3", "d3"], "r6": ["r1", "r2", "r3", "d3"]}
+    for width in (2, 3, 4, 7):
+        after |= {f"w{width}.{k}.{i}": [f"w{width}.{k - 1}.{j}" for j in range(width)] if k else None for k in range(14) for i in range(width)}
+    after |= {f"fan{i}": [f"d{j}" for j in range(40)] + [f"fan{i - 1}"] for i in range(5)}
 
     depth = {}
     while True:
