@@ -314,18 +314,92 @@ def test_held_out_toxicity(spark):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def fuzzy_ends(part, text):
+    """Edits of ``part`` against the best stretch of text that ends at each place, by dynamic programming over all of them."""
+    before = [0] * (len(text) + 1)
+    for i, c in enumerate(part, 1):
+        now = [i]
+        for j, d in enumerate(text, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (c != d)))
+        before = now
+    return before
+
+
+def least_edits(marked, text):
+    """The fewest edits with which a notice stands in a text, its words in braces unedited; None if nowhere."""
+    if "{" not in marked:
+        return min(fuzzy_ends(marked, text))
+    left, word, right = (x.strip() for x in re.fullmatch(r"([^{]*)\{([^}]*)\}(.*)", marked).groups())
+    word, found = f" {word} ", []
+    for m in re.finditer(f"(?={re.escape(word)})", text):
+        at = m.start()
+        found.append(fuzzy_ends(left, text[:at])[-1] + fuzzy_ends(right[::-1], text[at + len(word) :][::-1])[-1])
+    return min(found, default=None)
+
+
+def test_notices_against_a_search_of_every_stretch():
+    import random
+
+    rng, finder = random.Random(5), notices.Finder()
+    letters = "abcdefghijklmnopqrstuvwxyz     é"
+    checked = 0
+    for round_ in range(400):
+        words = " ".join("".join(rng.choice(letters[:26]) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 12)))
+        parts = [f" {words} "]
+        for _ in range(rng.randint(1, 2)):
+            notice = list(rng.choice(list(notices.NOTICES.values())).replace("{", "").replace("}", ""))
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+                at, kind = rng.randrange(len(notice)), rng.randrange(3)
+                notice[at : at + 1] = [] if kind == 0 else [rng.choice(letters)] if kind == 1 else [notice[at], rng.choice(letters)]
+            parts.append("".join(notice) + " ")
+        text = f" {' '.join(''.join(parts).split())} "
+        got = {}
+        for h in finder.find(text):
+            got[h.label] = min(got.get(h.label, 99), h.edits)
+        for label, marked in notices.NOTICES.items():
+            least = least_edits(marked, text)
+            assert got.get(label) == (least if least is not None and least <= finder.notices[label].edits else None), (label, text)
+            checked += label in got
+    assert checked > 200
+
+
+def test_no_licence_is_taken_for_another():
+    finder = notices.Finder()
+    for label, marked in notices.NOTICES.items():
+        assert {h.label for h in finder.find(f" x {marked.replace('{', '').replace('}', '')} y ")} == {label}
+    assert not finder.find(" licensed under cc by nd ") and not finder.find(" released under the isc license ")
+
+
 def test_notices(odd, none):
     finder = notices.Finder()
     joined = " some text relased under the mit license end "
     hit = [h for h in finder.find(joined) if h.label == "mit"][0]
     assert hit.edits == 1 and joined[hit.start : hit.end].startswith("relased")
-    docs = odd.sparkSession.createDataFrame([(1, "X. All Rights Reserved, all rights reserved CC-BY"), (2, None)], "doc_id long, text string")
+    many = " all rights reserved" * 5_000 + " "
+    assert len(finder.find(many)) == 5_000
+    docs = odd.sparkSession.createDataFrame([(1, "X. All Rights Reserved, all rights reserved CC-BY"), (2, None), (3, "é Released under thé MIT license.")], "doc_id long, text string")
     got = {r.doc_id: r for r in notices.scan(docs).collect()}
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].score) == (9, 3, 1, 7, "cc-by,reserved", 1.0)
-    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (0, 0, None, "", 0.0)
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score, got[2].spans) == (0, 0, None, "", 0.0, [])
+    assert [(s.label, s.start, s.end, s.edits) for s in got[3].spans] == [("mit", 3, 33, 1)]
     assert notices.scan(odd).count() == odd.count() and notices.scan(none).count() == 0
 
 
+def test_base_phrases_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in notices.scan(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        w, at = WORD.findall(lower(r.text)), []
+        labels = set()
+        for phrase, label in notices.BASE.items():
+            p = phrase.split()
+            here = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            at += here
+            labels |= {label} if here else set()
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
