@@ -1,18 +1,26 @@
 """Token ids of a public byte-level BPE vocabulary file.
 
-The ids are those of the ``tokenizers`` library for the same file (tests
-compare the two); the same merges run about three times as fast in
-``tiktoken``, which takes them as ranks.
+The ids are those of the ``tokenizers`` library for the same file, without
+special tokens added. The same merges run about three times as fast in
+``tiktoken``, which takes them as ranks, and tests compare the two. Texts that
+``tiktoken`` would not encode alike go to ``tokenizers`` itself: those that
+hold the string of a special token, and those with a run of white space so
+long that it overflows the pattern engine's stack.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 
 import numpy as np
 
+#: White space in a row that is left to ``tokenizers``.
+LONG_RUN = 100_000
+_long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -28,30 +36,44 @@ def _byte_letters() -> dict[str, int]:
 
 
 class BytePairs:
-    """Encodes texts to little-endian unsigned 32-bit ids; a special token's string is ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
+
+    By default the string of a special token in a text becomes its id, as in
+    ``tokenizers``. With ``ordinary`` it is text like any other, so that the
+    id of a special token never occurs.
+    """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, ordinary: bool = False):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path or default_path(), encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+        path = path or default_path()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items()}
         self._encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._whole = Tokenizer.from_file(path)
+        self._whole.encode_special_tokens = ordinary
+        self._special = [] if ordinary else [t["content"] for t in file.get("added_tokens", [])]
 
     def encode(self, text: str) -> np.ndarray:
-        ids = array("I", self._encode(text))
+        if any(s in text for s in self._special) or len(text) >= LONG_RUN and _long_run.search(text):
+            found = self._whole.encode(text, add_special_tokens=False).ids
+        else:
+            found = self._encode(text)
+        ids = array("I", found)
         if sys.byteorder == "big":
             ids.byteswap()
         return np.frombuffer(ids, dtype="<u4")
 
 
-_made: dict[str | None, BytePairs] = {}
+_made: dict[tuple[str | None, bool], BytePairs] = {}
 
 
-def encoder(path: str | None = None) -> BytePairs:
+def encoder(path: str | None = None, ordinary: bool = False) -> BytePairs:
     """One encoder per worker process."""
-    if path not in _made:
-        _made[path] = BytePairs(path)
-    return _made[path]
+    if (path, ordinary) not in _made:
+        _made[path, ordinary] = BytePairs(path, ordinary)
+    return _made[path, ordinary]
