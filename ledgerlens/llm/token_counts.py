@@ -5,7 +5,7 @@ with nothing that tells where one begins. The scan cuts the files into blocks,
 finds separators in each block by one vectorised comparison, and stitches
 documents that cross blocks with a prefix scan over the blocks of a file: a
 running sum numbers the separators, a running maximum gives the last one
-before each block.
+before each block. Only those two numbers of a block take part in the scan.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def filesystem(uri: str):
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str | None, separator: int, width: int) -> Iterator[pa.RecordBatch]:
     # A name of its own for each attempt: a repeated task never touches a file that a manifest names.
     path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-    encode, end = bpe.encoder(tokenizer).encode, np.array([separator], f"<u{width}")
+    encode, end = bpe.encoder(tokenizer, ordinary=True).encode, np.array([separator], f"<u{width}")
     store, name = filesystem(path)
     ordinal = 0
     store.create_dir(name.rpartition("/")[0], recursive=True)
@@ -47,27 +47,39 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str | None
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                counts = []
                 for text in part["text"]:
-                    ids = encode(text.as_py() or "")
-                    out.write(ids.astype(end.dtype).tobytes() + end.tobytes())
-                    counts.append(len(ids))
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(counts)), "ordinal": pa.array(range(ordinal, ordinal + len(counts)), pa.int64()), "doc_id": part["doc_id"].cast(pa.int64()), "file_ids": pa.array(np.array(counts, np.int64) + 1)})
-                ordinal += len(counts)
+                    out.write(encode(text.as_py() or "").astype(end.dtype).tobytes() + end.tobytes())
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * part.num_rows), "ordinal": pa.array(range(ordinal, ordinal + part.num_rows), pa.int64()), "doc_id": part["doc_id"].cast(pa.int64())})
+                ordinal += part.num_rows
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
-    """Writes one flat file per task below ``folder``; returns the manifest (path, ordinal, doc_id, file_ids).
+    """Writes one flat file per task below ``folder``; returns the manifest (path, ordinal, doc_id).
 
-    Files are of little-endian unsigned ids of ``width`` bytes. A null text is
-    an empty document. The manifest is written before it is returned, so the
+    Files are of little-endian unsigned ids of ``width`` bytes. The string of
+    a special token is encoded as ordinary text, so that the separator stands
+    only where a document ends. A null text is an empty document. The manifest is written before it is returned, so the
     files are made once; files of failed attempts are not in it.
     """
     work = partial(_write, folder=folder, tokenizer=tokenizer, separator=separator, width=width)
-    rows = arrow_job(docs.select(F.col("doc_id").cast("long"), "text"), work, "path string, ordinal long, doc_id long, file_ids long")
+    rows = arrow_job(docs.select(F.col("doc_id").cast("long"), "text"), work, "path string, ordinal long, doc_id long")
     return written(rows, "token-manifest")
 
 
+def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch["path"].to_pylist():
+            store, name = filesystem(path)
+            found.append(store.get_file_info(name).size // width)
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(found, pa.int64())], ["path", "size"])
+
+
+def sizes(paths: DataFrame, width: int = 2) -> DataFrame:
+    """(path, size): how many ids each file holds, as the file system tells."""
+    return arrow_job(paths.where("path is not null").select("path").distinct(), partial(_sizes, width=width), "path string, size long")
+
+
 def _scan(batches: Iterator[pa.RecordBatch], separator: int, width: int, block: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, number, size in zip(batch["path"].to_pylist(), batch["block"].to_pylist(), batch["size"].to_pylist(), strict=True):
@@ -85,18 +97,19 @@ def scan_token_files(files: DataFrame, separator: int = SEPARATOR, width: int =
     Two separators in a row enclose a document of 0 ids. Ids after the last
     separator are a document with ``closed`` false; a file that ends with a
     separator has none, and an empty file has no documents. Null paths are
-    left out. The prefix scan sees one row per block, so a file's length is
-    bounded only by its number of blocks.
+    left out. What the blocks hold is written once; the prefix scan sees two
+    numbers a block, so a file of a terabyte is half a million rows of it.
     """
     files = files.where("path is not null and size > 0").select("path", F.col("size").cast("long"))
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))))
     work = partial(_scan, separator=separator, width=width, block=block)
-    found = arrow_job(blocks.repartition("path", "block"), work, "path string, block long, size long, ends array<long>")
+    found = written(arrow_job(blocks.repartition("path", "block"), work, "path string, block long, size long, ends array<long>"), "token-blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    few = found.select("path", "block", F.size("ends").alias("n"), F.expr("try_element_at(ends, -1)").alias("end"))
+    carried = few.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.max("end").over(before), F.lit(-1)).alias("previous"))
     last = F.floor((F.col("size") - 1) / block) == F.col("block")
     stitched = (
-        found.withColumn("ordinal0", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-        .withColumn("previous", F.coalesce(F.max(F.expr("try_element_at(ends, -1)")).over(before), F.lit(-1)))
+        found.join(carried, ["path", "block"])
         .withColumn("last_end", F.coalesce(F.expr("try_element_at(ends, -1)"), F.col("previous")))
         .withColumn("closed_docs", F.transform("ends", lambda e, i: F.struct((F.col("ordinal0") + i).alias("ordinal"), F.when(i == 0, F.col("previous")).otherwise(F.get("ends", i - 1)).alias("after"), e.alias("end"), F.lit(True).alias("closed"))))
     )
@@ -113,8 +126,9 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     other columns are left out.
     """
     manifest = write_token_files(docs, shared_dir(docs.sparkSession, "token-files"), tokenizer)
-    counts = scan_token_files(manifest.groupBy("path").agg(F.sum("file_ids").alias("size")))
-    return manifest.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    counts = scan_token_files(sizes(manifest))
+    # Both sides grow with the documents: neither is ever broadcast.
+    return manifest.join(counts.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
