@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import kernels
-from ledgerlens.llm.common import arrow_job, shared_dir, table, written
+from ledgerlens.llm.common import arrow_job, measured, shared_dir, table, written
 from ledgerlens.llm.token_counts import filesystem
 
 #: Pixels in a row; payloads are padded to whole rows, one at least.
@@ -32,7 +32,7 @@ PAD = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk, all that metadata needs.
 HEADER_BYTES = 33
-#: Bytes of a shard that one read task takes.
+#: Bytes of stored payloads that one read task takes at most, in the mean.
 STRIPE = 64 << 20
 
 
@@ -162,18 +162,32 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
-def read(addresses: DataFrame) -> DataFrame:
+def read(addresses: DataFrame, total: int | None = None) -> DataFrame:
     """The catalogue with metadata from headers (width, height, depth) and digests and features of the stored bytes.
 
-    Tasks take stripes of shards, so a large shard is read by several.
+    Tasks take ranges of shards, so a large shard is read by several. Their
+    number follows from the bytes to be read, not from the few of the catalogue.
     """
-    placed = addresses.repartition("shard", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("shard", "offset")
+    total = total if total is not None else addresses.agg(F.sum("length")).first()[0] or 0
+    tasks = max(4 * addresses.sparkSession.sparkContext.defaultParallelism, -(-total // STRIPE))
+    placed = addresses.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     base = "digest string, shard string, offset long, length long"
     with_headers = arrow_job(placed.select("digest", "shard", "offset", "length"), _headers, f"{base}, width int, height int, depth int")
     return arrow_job(with_headers, _contents, f"{base}, width int, height int, depth int, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def op6_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store(table(spark, sf_dir, "documents"), shared_dir(spark, "media"))
-    found = read(catalogue(rows)).select("digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+def media_columns(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height) of every row.
+
+    Texts are stored in ``folder`` and read back from there. Null and empty
+    texts are one row of padding; repeated rows each keep a row; a null id
+    stays null; other columns are left out; an empty table gives no rows.
+    """
+    rows = store(docs, folder)
+    addresses, seen = measured(catalogue(rows), "media-catalogue", total=F.coalesce(F.sum("length"), F.lit(0)))
+    found = read(addresses, seen["total"]).select("digest", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
     return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op6_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"), shared_dir(spark, "media"))
