@@ -2,8 +2,8 @@
 
 A document's features are the distinct character n-grams (A-Z lower-cased) it
 has, hashed. Each is scaled by the log of how much more often toxic than other
-training documents have it; a logistic regression on the scaled features gives
-the score.
+training documents have it; those whose counts chance could explain are left
+out. A logistic regression on the scaled features gives the score.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from ledgerlens.llm.common import arrow_job, held_out, labelled_sample, table
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-#: Bounds of the training sample: labelled rows, and bytes of a text in it.
-SAMPLE, SAMPLE_BYTES = 8_000, 65_536
+#: Bound of the training sample: labelled ids.
+SAMPLE = 8_000
+#: Features whose likelihood ratio statistic against the label is lower aren't used.
+SIGNIFICANT = 15.0
 THRESHOLD = 0.7
 
 
@@ -55,24 +57,35 @@ def _features(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = None
     return out
 
 
-def log_count_ratios(features: list[np.ndarray], y: np.ndarray, least: int = 5, prior: float = 10.0) -> np.ndarray:
+def document_counts(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic and other documents have each bucket."""
+    counts = np.zeros((2, 1 << BITS))
+    for ids, label in zip(features, y, strict=True):
+        counts[int(label)][ids] += 1
+    return counts[1], counts[0]
+
+
+def log_count_ratios(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, least: int = 3, prior: float = 1.0) -> np.ndarray:
     """Per bucket the log of its share in toxic over its share in other documents.
 
     Both shares are drawn towards the share in all documents by ``prior``
     documents; buckets of fewer than ``least`` documents get 0.
     """
-    size = 1 << BITS
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    c1, c0 = np.zeros(size), np.zeros(size)
-    for ids, label in zip(features, y, strict=True):
-        (c1 if label else c0)[ids] += 1
     share = (c1 + c0) / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.log((c1 + prior * share) / (n1 + prior)) - np.log((c0 + prior * share) / (n0 + prior))
     return np.where(c1 + c0 >= least, np.nan_to_num(ratio), 0.0).astype(np.float32)
 
 
-def logistic(features: list[np.ndarray], scale: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def significance(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Per bucket the likelihood ratio statistic of its presence against the label."""
+    share = (c1 + c0) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda seen, expected: np.nan_to_num(seen * np.log(seen / expected))
+        return 2 * (term(c1, n1 * share) + term(c0, n0 * share) + term(n1 - c1, n1 * (1 - share)) + term(n0 - c0, n0 * (1 - share)))
+
+
+def logistic(features: list[np.ndarray], scale: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a class-balanced logistic regression, by full-batch Adam."""
     sizes = np.array([len(f) for f in features])
     ids = np.concatenate([*features, np.empty(0, np.int32)])
@@ -97,8 +110,10 @@ def train(texts: pa.ChunkedArray, y: np.ndarray, informative: float = 1.0) -> Mo
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
     features = _features(texts)
-    scale = log_count_ratios(features, y)
-    keep = np.abs(scale) >= informative
+    c1, c0 = document_counts(features, y)
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    scale = log_count_ratios(c1, c0, n1, n0)
+    keep = (np.abs(scale) >= informative) & (significance(c1, c0, n1, n0) >= SIGNIFICANT)
     weight, bias = logistic([f[keep[f]] for f in features], scale, y)
     return Model(weight, bias)
 
@@ -114,9 +129,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "text"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*(c for c in batch.schema.names if c != "text"), "score", "predicted"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of labels.toxic, from rows whose crc32(doc_id) modulo 3 is not 1."""
-    rows = labelled_sample(docs, labels, "toxic", 3, 1, sample, sample_bytes)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of labels.toxic, from rows whose crc32(doc_id) modulo 3 is not 1; each id counts once."""
+    rows = labelled_sample(docs, labels, "toxic", 3, 1, sample)
     return train(rows["text"], rows["label"].to_numpy())
 
 
