@@ -23,8 +23,8 @@ from ledgerlens.llm.common import arrow_job, held_out, labelled_sample, table
 SIZES = (2, 3, 4)
 BITS = 18
 DIMENSIONS = 8
-#: Bounds of the training sample: labelled rows, and bytes of a text in it.
-SAMPLE, SAMPLE_BYTES = 5_000, 32_768
+#: Bound of the training sample: labelled ids.
+SAMPLE = 5_000
 THRESHOLD = 0.3
 
 
@@ -50,8 +50,8 @@ def _parts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[tup
         yield lo, hi, kinds
 
 
-def train(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
-    """Fits on labelled texts; with no texts, every score is one half."""
+def train(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, rate: float = 0.5, seed: int = 5, keep: dict | None = None) -> Model:
+    """Fits on labelled texts; with no texts, every score is one half. ``keep`` gets the layers."""
     rng = np.random.default_rng(seed)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     for chunk in texts.chunks:
@@ -83,6 +83,8 @@ def train(texts: pa.ChunkedArray, y: np.ndarray, epochs: int = 6, rate: float =
             vectors[ids] = rows - np.outer(times * min(len(ids), 100), out.T @ p)
             out -= np.outer(p, mean)
             bias -= p
+    if keep is not None:
+        keep.update(vectors=vectors, out=out, bias=bias)
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -102,9 +104,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterat
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of labels.quality, from rows whose crc32(doc_id) modulo 5 is not 0."""
-    rows = labelled_sample(docs, labels, "quality", 5, 0, sample, sample_bytes)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of labels.quality, from rows whose crc32(doc_id) modulo 5 is not 0; each id counts once."""
+    rows = labelled_sample(docs, labels, "quality", 5, 0, sample)
     return train(rows["text"], rows["label"].to_numpy())
 
 
