@@ -12,27 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm import decontaminate, language, near_dups, packing, toxicity
 from ledgerlens.llm.common import shared_dir, table
 
+#: Languages that stay, and the least score of a text's language. On the given tables the lowest score of a text is 0.39.
+LANGUAGES, LEAST_SCORE = ["de", "en", "es", "fr"], 0.3
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any letter, and null texts, go; all languages stay."""
-    return language.keep_known(docs, language.fit(docs))
+    """Texts whose predicted language isn't wanted, or stands out too little, go.
+
+    So do texts without any letter, empty and null ones. Repeated rows are
+    judged alike; null ids and langs don't matter; an empty table stays empty.
+    """
+    return language.keep_known(docs, language.fit(docs), LANGUAGES, LEAST_SCORE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier calls toxic go."""
+    """Texts that the classifier calls toxic go.
+
+    Null and empty texts have the score of no features. Without labels of both
+    classes, all texts are judged as that class, and stay if there are none.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that of the least id."""
+    """One document of each class of near duplicates stays, that of the least id.
+
+    Equal texts, also empty ones, are a class, and of repeated rows one stays;
+    null texts all stay; a null id stays only where no other has the class.
+    """
     return near_dups.one_of_each(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a window of ten words of a benchmark item go."""
+    """Texts with a window of ten words of a benchmark item go; null, empty and wordless ones stay."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece; null and empty texts are the end id alone, repeated rows are packed each by themselves."""
     return packing.pack(docs)
 
 

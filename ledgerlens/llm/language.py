@@ -23,8 +23,8 @@ from ledgerlens.llm.common import arrow_job, held_out, sample_of, table
 
 SIZES = (1, 2, 3, 4)
 BITS = 16
-#: Bounds of the training sample: rows, and bytes of a text in it; landmarks per language.
-SAMPLE, SAMPLE_BYTES, LANDMARKS = 3_000, 16_384, 48
+#: Bounds of the training sample: ids and landmarks of each language.
+SAMPLE, LANDMARKS = 750, 48
 RIDGE = 1e-2
 
 
@@ -88,16 +88,28 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], predicted, pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def _known(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _known(batches: Iterator[pa.RecordBatch], model, wanted: frozenset[str] | None, least: float) -> Iterator[pa.RecordBatch]:
+    names = model.value.languages
+    fine = np.array([wanted is None or n in wanted for n in names], bool)
     for batch in batches:
-        chosen, _ = _choose(batch["text"], batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), model.value)
-        yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(chosen >= 0))
+        lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        chosen, scores = _choose(batch["text"], lettered, model.value)
+        stays = lettered & fine[chosen] & (scores >= least) if names else lettered
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(stays))
+
 
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of the languages of rows with a lang, whose crc32(doc_id) modulo 4 is not 2.
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of the languages of rows with a lang, whose crc32(doc_id) modulo 4 is not 2."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2) & (F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
-    rows = sample_of(known, sample).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "lang").select("text", "lang").toArrow()
+    About ``sample`` ids of each language are taken, by a hash of the id, so
+    that a rare one is learned too; all if there are fewer. Of an id with
+    several texts in a language, that of the least hash counts.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2) & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
+    chosen = sample_of(known.select("doc_id", "lang").distinct(), sample, kind="lang")
+    # At most about `sample` ids of each language are broadcast.
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "lang").select("t.text", "lang").toArrow()
     texts = [ids for chunk in rows["text"].chunks for _, ids in _presence(*kernels.utf8(chunk))]
     return train(texts, rows["lang"].to_pylist())
 
@@ -120,10 +132,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_job(rows, partial(_predict, model=shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with a language, with all their columns; each row is judged by its own text."""
+def keep_known(docs: DataFrame, model: Model, wanted: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows in a ``wanted`` language (None: any learned one) with a score of ``least`` or more, with all their columns.
+
+    Each row is judged by its own text; null, empty and letterless texts go.
+    Where no language was learned, every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return arrow_job(docs.select("*", _lettered()), partial(_known, model=shared), docs.schema)
+    return arrow_job(docs.select("*", _lettered()), partial(_known, model=shared, wanted=None if wanted is None else frozenset(wanted), least=least), docs.schema)
 
 
 def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
