@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import measured, table
 
 #: Everything that separates words, as a character class.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -60,8 +60,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def _hits(docs: DataFrame, keys: list[str], benchmark: DataFrame, n: int, keep_all: bool) -> DataFrame:
     """Rows (keys, n_words, place, length, items) of verified hits; with ``keep_all`` one more row per document."""
-    windows = benchmark_windows(benchmark, n)
-    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m"), F.collect_set("length").alias("lengths")).first()
+    windows, size = measured(benchmark_windows(benchmark, n), "windows", n=F.count(F.lit(1)), m=F.coalesce(F.sum(F.size("items")), F.lit(0)), lengths=F.collect_set("length"))
     lengths = sorted(size["lengths"]) or [n]
     rows = docs.select(*keys, words(F.col("text")).alias("_w"))
     runs = F.concat(*(_windows_of(F.col("_w"), k) for k in lengths))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, decontaminate, kernels, language, media, near_dups, notices, packing, token_counts, tool_calls, toxicity
 
@@ -35,10 +36,13 @@ def lower(text):
 def test_ids_are_those_of_tokenizers():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
-    for text in [x for x in ODD if x is not None] + ["a<|endoftext|>b", "  a  b\t\n c", "it's 'S I'll \x85"]:
+    t, plain = Tokenizer.from_file(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    plain.encode_special_tokens = True
+    long = [" " * 2_000_000, "\t" * 2_000_000, "x" + "\n \n" * 700_000 + "y", "a" * 300_000, " " * 99_999 + "end"]
+    for text in [x for x in ODD if x is not None] + ["a<|endoftext|>b", "<|endoftext|>", "  a  b\t\n c", "it's 'S I'll \x85", *long]:
         assert bpe.encoder().encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert bpe.encoder(ordinary=True).encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert bpe.encoder().encode("a<|endoftext|>b").tolist() == [64, 50256, 65] and 50256 not in bpe.encoder(ordinary=True).encode("a<|endoftext|>b")
 
 
 def test_words_match_pattern():
@@ -96,6 +100,12 @@ def test_decontamination_and_odd_inputs(spark, odd, none):
     assert decontaminate.scan(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_without_a_broadcast(spark, odd, monkeypatch):
+    """Beyond the bound, windows are joined by a shuffle: the results are the same."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    test_decontamination_and_odd_inputs(spark, odd, odd.where("false"))
+
+
 def test_samples_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -159,8 +169,6 @@ def test_tool_calls(spark):
 
 
 def test_arguments_against_schemas(spark):
-    from pyspark.sql import functions as F
-
     rule = {"t": {"type": "string", "min_length": 2, "max_length": 3}, "n": {"type": ["number", "null"], "minimum": 1, "maximum": 2.5}, "e": {"enum": ["a", 1]}, "b": {"type": "boolean"}, "l": {"type": "array"}, "o": {"type": "object", "required": True}}
     cases = {
         '{"o": {}}': "",
@@ -400,6 +408,27 @@ def test_base_phrases_against_brute_force(spark):
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
 
 
+def test_media_columns_against_plain_reading(odd, none, spark):
+    import struct
+    from collections import Counter
+
+    from ledgerlens.llm.common import shared_dir
+
+    def plain(text):
+        data = (text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        rows = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        stored = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 576, len(payload) // 576, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+        return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{sum(payload) / len(payload):.3f}"
+
+    rows = media.media_columns(odd, shared_dir(spark, "media")).collect()
+    got = Counter((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature.split("-")[1]) for r in rows)
+    assert got == Counter((str(r.doc_id), *plain(r.text)) for r in odd.collect())
+    assert len({(r.payload_sha256, r.feature, r.media_sha256) for r in rows}) == len({r.payload_sha256 for r in rows})
+    assert media.media_columns(none, shared_dir(spark, "media")).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
@@ -407,3 +436,32 @@ def test_pipeline_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "decontamination", "packing"]
     for _, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_pipeline_on_odd_inputs(spark, odd, tmp_path):
+    """All stages in a chain, over nulls, empties, repeats, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", F.col("source").alias("node"), F.lit(1.0).alias("score"))
+    extra = spark.createDataFrame([(900_001, f"the and of {item} with that", "en", "n", 1.0), (900_002, None, None, None, None), (None, "the and of these were", None, None, None)], "doc_id long, text string, lang string, node string, score double")
+    docs = base.union(base.limit(5)).union(odd.select(F.col("doc_id") + 800_000, "text", "lang", "node", "score")).union(extra)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.where("false")):
+        start.write.mode("overwrite").parquet(f"{tmp_path}/start")
+        now, ids = spark.read.parquet(f"{tmp_path}/start"), {}
+        for name, stage in corpus_pipeline.STAGES:
+            now_path = f"{tmp_path}/{name}-{start is docs}"
+            found = stage(spark, now, str(tmp_path))
+            assert name == "packing" or found.columns == docs.columns
+            found.write.parquet(now_path)
+            now = spark.read.parquet(now_path)
+            ids[name] = [r.doc_id for r in now.select("doc_id").distinct().collect()]
+        if start is docs:
+            assert 900_002 not in ids["language"] and 800_001 not in ids["language"] and 800_002 not in ids["language"] and None in ids["language"]
+            assert 900_001 in ids["near_duplicates"] and 900_001 not in ids["decontamination"]
+            assert (800_005 in ids["near_duplicates"]) + (800_006 in ids["near_duplicates"]) <= 1
+            assert sorted(map(str, ids["packing"])) == sorted(map(str, ids["decontamination"])) and len(ids["packing"]) > 100
+        else:
+            assert not any(ids.values())
