@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
+from ledgerlens.operators.ranks import quantiles, value_table
 
 
 def equal_width(x: Column, bins: int = 10) -> Column:
@@ -13,10 +14,10 @@ def equal_width(x: Column, bins: int = 10) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.min(x) + i * (F.max(x) - F.min(x)) / bins)
 
 
-def quantile(x: Column, bins: int = 10, inner: bool = True) -> Column:
-    """Aggregate: exact interpolated quantiles without repeats; ``inner`` drops the first and the last."""
-    q = F.array_distinct(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1)))))
-    return F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))) if inner else q
+def inner_quantiles(counts: DataFrame, keys: list[str], bins: int = 10, value: str = "value", n: str | Column = "n") -> DataFrame:
+    """(keys, edges): exact interpolated quantiles without repeats, but the first and the last, of a table of values and counts."""
+    q = F.array_distinct("q")
+    return quantiles(counts, keys, [i / bins for i in range(bins + 1)], value, n).select(*keys, F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))).alias("edges"))
 
 
 def edges_of(long: DataFrame, keys: list[str], method: str = "qcut", bins: int = 10) -> DataFrame:
@@ -26,7 +27,7 @@ def edges_of(long: DataFrame, keys: list[str], method: str = "qcut", bins: int =
         ends = long.groupBy(*keys).agg(F.min(v).alias("a"), F.max(v).alias("b"))
         return ends.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.col("a") + i * (F.col("b") - F.col("a")) / bins).alias("edges"))
     if method == "qcut":
-        return long.groupBy(*keys).agg(quantile(v, bins).alias("edges"))
+        return inner_quantiles(value_table(long, keys), keys, bins)
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of, md5_bucket, woe
-from ledgerlens.operators.binning import quantile
+from ledgerlens.operators.binning import inner_quantiles
+from ledgerlens.operators.ranks import numbered, quantiles, value_table
 
 UNKNOWN = "<unknown>"
 
@@ -14,7 +15,7 @@ UNKNOWN = "<unknown>"
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): rank from 0 among the distinct values and the unknown sentinel, which unseen values take."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).union(df.sparkSession.range(1).select(F.lit(UNKNOWN).alias("value"))).distinct()
-    return values.withColumn("code", F.dense_rank().over(Window.orderBy("value")).cast("long") - 1)
+    return numbered(values, ["value"], "code")
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame, out: str = "code") -> DataFrame:
@@ -46,8 +47,9 @@ def target_means(df: DataFrame, column: str, label: str, smoothing: float = 0.1)
 
 def woe_encode(df: DataFrame, column: str, label: str, bins: int = 10, out: str = "woe") -> DataFrame:
     """Each value's weight of evidence of its quantile bin; null stays null."""
-    edges = F.broadcast(df.agg(quantile(F.col(column).cast("double"), bins).alias("_e")))
-    binned = df.crossJoin(edges).withColumn("_bin", bin_of(F.col(column), F.col("_e"))).drop("_e")
+    counts = value_table(df.select(F.col(column).cast("double").alias("value")), [])
+    edges = F.broadcast(inner_quantiles(counts, [], bins).withColumnRenamed("edges", "_e"))
+    binned = df.join(edges).withColumn("_bin", bin_of(F.col(column), F.col("_e"))).drop("_e")
     y = F.col(label) > 0
     g = binned.groupBy("_bin").agg(F.count_if(y).alias("p"), F.count_if(~y).alias("q")).where("_bin is not null")
     w = Window.partitionBy()
@@ -56,16 +58,18 @@ def woe_encode(df: DataFrame, column: str, label: str, bins: int = 10, out: str
 
 
 def ffm_continuous(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Token `i:i:value` per column: drawn into the 5 % and 95 % quantiles, scaled to 0..1, null as 0."""
-    q = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.05), F.lit(0.95))).alias(f"_{c}") for c in columns))
+    """Each column drawn into its 5 % and 95 % quantiles and scaled to 0..1, null as 0, and its token `i:i:value`."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "value")
+    q = quantiles(value_table(long, ["feature"]), ["feature"], [0.05, 0.95]).groupBy().agg(*(F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_{c}") for c in columns))
     scaled = [F.coalesce(F.try_divide(F.least(F.greatest(F.col(c).cast("double"), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) - F.col(f"_{c}")[0], F.col(f"_{c}")[1] - F.col(f"_{c}")[0]), F.lit(0.0)) for c in columns]
-    return df.crossJoin(F.broadcast(q)).select(*df.columns, *(F.round(s, 6).alias(f"{c}_scaled") for c, s in zip(columns, scaled, strict=True)))
+    out = df.join(F.broadcast(q)).select(*df.columns, *(F.round(s, 6).alias(f"{c}_scaled") for c, s in zip(columns, scaled, strict=True)))
+    return out.withColumns({f"{c}_token": F.concat_ws(":", F.lit(i), F.lit(i), F.format_string("%.6f", f"{c}_scaled")) for i, c in enumerate(columns)})
 
 
 def ffm_vocabulary(df: DataFrame, column: str, cutoff: int = 1, offset: int = 0) -> DataFrame:
     """(value, idx): values of at least ``cutoff`` rows by frequency, then value; `<unk>` is the first."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= cutoff)
-    ranked = counts.select("value", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) + offset).cast("long").alias("idx"))
+    ranked = numbered(counts, [F.desc("n"), F.col("value")], "idx").select("value", (F.col("idx") + 1 + offset).alias("idx"))
     return ranked.union(df.sparkSession.range(1).select(F.lit("<unk>"), F.lit(offset).cast("long")))
 
 

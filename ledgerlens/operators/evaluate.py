@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of, iv_part, woe
+from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.profile import long_form
+from ledgerlens.operators.ranks import running
 
 
 def value_counts(df: DataFrame, features: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
@@ -27,8 +29,7 @@ def woe_table(counts: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 def binned(counts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """The counts with a quantile bin, edges weighted by the counts."""
-    q = F.array_distinct(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(bins + 1))), F.col("pos") + F.col("neg")))
-    edges = counts.groupBy(*keys).agg(q.alias("q")).select(*keys, F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0))).alias("edges"))
+    edges = inner_quantiles(counts, keys, bins, n=F.col("pos") + F.col("neg"))
     return counts.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"))).drop("edges")
 
 
@@ -41,9 +42,8 @@ def information_value(counts: DataFrame, keys: list[str], bins: int = 10) -> Dat
 
 def ks_auc(counts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ks, auc): greatest distance of the class distributions; tie-aware area, turned to 0.5 or more."""
-    w = Window.partitionBy(*keys).orderBy("value")
-    whole = Window.partitionBy(*keys)
-    run = counts.select(*keys, "pos", "neg", F.sum("pos").over(w).alias("cp"), F.sum("neg").over(w).alias("cn"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    run = running(counts.select(*keys, "value", "pos", "neg"), keys, ["value"], ["pos", "neg"])
+    run = run.withColumnsRenamed({"cum_pos": "cp", "cum_neg": "cn", "all_pos": "p", "all_neg": "n"})
     ks = F.max(F.abs(F.try_divide("cp", "p") - F.try_divide("cn", "n")))
     # Pairs in which the event has the greater value, ties one half.
     area = F.try_divide(F.sum(F.col("pos").cast("double") * (F.col("cn") - F.col("neg") / 2)), F.max(F.col("p").cast("double") * F.col("n")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
+from ledgerlens.operators.ranks import quantiles, running, value_table
 
 #: Added to each actual count, and bound of a bin's log ratio (fixed values).
 SMOOTH, LIMIT = 1e-4, 10.0
@@ -13,8 +14,7 @@ SMOOTH, LIMIT = 1e-4, 10.0
 
 def psi_edges(benchmark: DataFrame, hue: str, score: str, bins: int = 10) -> DataFrame:
     """(hue, edges): 0, then the benchmark's quantiles but the last, without repeats. Scores below 0 are refused."""
-    q = F.percentile(score, F.array(*(F.lit(i / bins) for i in range(bins))))
-    edges = benchmark.groupBy(hue).agg(q.alias("q"), F.min(score).alias("least"))
+    edges = quantiles(value_table(benchmark, [hue], score), [hue], [i / bins for i in range(bins)], score).withColumn("least", F.col("q")[0])
     return edges.select(hue, F.when(F.col("least") >= 0, F.array_distinct(F.concat(F.array(F.lit(0.0)), "q"))).otherwise(F.raise_error(F.lit("scores must not be negative"))).alias("edges"))
 
 
@@ -43,15 +43,19 @@ def psi_by_time(df: DataFrame, hue: str, score: str, is_benchmark: str, time: st
 
 
 def ks_by_time(df: DataFrame, hue: str, value: str, is_benchmark: str, time: str) -> DataFrame:
-    """(hue, day, ks, volume): distance of each day's distribution from the benchmark's, which is sent to each day."""
-    known = df.where(F.col(value).isNotNull())
-    bench = known.where(is_benchmark).groupBy(hue, F.col(value).alias("v")).agg(F.count("*").alias("b"))
-    day = known.where(~F.col(is_benchmark)).groupBy(hue, F.col(time).alias("day"), F.col(value).alias("v")).agg(F.count("*").alias("a"))
-    both = day.select(hue, "day").distinct().join(bench, hue).select(hue, "day", "v", F.lit(0).cast("long").alias("a"), "b").union(day.select(hue, "day", "v", "a", F.lit(0).cast("long")))
-    both = both.groupBy(hue, "day", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, whole = Window.partitionBy(hue, "day").orderBy("v"), Window.partitionBy(hue, "day")
-    gap = F.abs(F.try_divide(F.sum("a").over(w), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(w), F.sum("b").over(whole)))
-    return both.select(hue, "day", gap.alias("g"), "a").groupBy(hue, "day").agg(F.round(F.max("g"), 6).alias("ks"), F.sum("a").alias("volume"))
+    """(hue, day, ks, volume): greatest distance of each day's distribution from the benchmark's.
+
+    The benchmark's distribution is worked out once at every value that occurs
+    and looked up by the days. Between two values of a day its distribution
+    stands still, so the distance is greatest at a value or just below one.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(hue).alias("hue"), F.col(value).alias("v"), F.col(is_benchmark).alias("b"), F.col(time).alias("day"))
+    bench = running(known.groupBy("hue", "v").agg(F.count_if("b").alias("n")), ["hue"], ["v"], ["n"])
+    bench = bench.select("hue", "v", F.try_divide("cum_n", "all_n").alias("at"), F.try_divide(F.col("cum_n") - F.col("n"), F.col("all_n")).alias("below"))
+    days = running(known.where(~F.col("b")).groupBy("hue", "day", "v").agg(F.count("*").alias("n")), ["hue", "day"], ["v"], ["n"])
+    met = days.join(bench, ["hue", "v"])
+    gap = F.greatest(F.abs(F.col("cum_n") / F.col("all_n") - F.col("at")), F.abs((F.col("cum_n") - F.col("n")) / F.col("all_n") - F.col("below")))
+    return met.groupBy("hue", "day").agg(F.round(F.max(gap), 6).alias("ks"), F.sum("n").alias("volume")).withColumnRenamed("hue", hue)
 
 
 def json_number(text: str, path: str):

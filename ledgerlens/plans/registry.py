@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
-from ledgerlens.operators import binning, curves, encode, evaluate, history, models, monitor, profile, rules, split
+from ledgerlens.operators import binning, curves, encode, evaluate, history, models, monitor, profile, ranks, rules, split
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
 from ledgerlens.session import table
@@ -71,9 +71,9 @@ def continuous_bins(spark, d):
     from pyspark.sql import Window
 
     x = lines(spark, d).select(F.col("l_extendedprice").alias("x"), "y")
-    q = x.agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = ranks.quantiles(ranks.value_table(x, [], "x"), [], [0.01, 0.99], "x").select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     at = F.when(F.col("x") <= F.col("lo"), 1).when(F.col("x") >= F.col("hi"), 12).otherwise(F.ceil((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)) + 1).cast("long")
-    g = x.crossJoin(F.broadcast(q)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.avg("x").alias("m"))
+    g = x.join(F.broadcast(q)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.avg("x").alias("m"))
     w = Window.partitionBy()
     t = g.select("*", F.sum("bad").over(w).alias("b"), F.sum(F.col("n") - F.col("bad")).over(w).alias("g"))
     woe = F.ln((F.col("g") / F.col("b")) * (F.col("bad") + 1) / (F.col("n") - F.col("bad") + 1))
@@ -253,7 +253,7 @@ _X = "x AS (SELECT l_quantity::double AS score, (l_returnflag = 'R')::int AS y F
 _PX = "p AS (SELECT l_extendedprice AS x, (l_returnflag = 'R')::int AS y FROM lineitem)"
 
 
-@register(f"WITH {_X}, c AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM x GROUP BY 1), r AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM c WINDOW w AS (ORDER BY score DESC)) SELECT score, tp::bigint AS tp, fp::bigint AS fp, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (tp + fp + p), 6) AS f1, round(tp / p - fp / n, 6) AS distance FROM r")
+@register(f"WITH {_X}, c AS (SELECT score, sum(y) AS pos, count(*) - sum(y) AS neg FROM x GROUP BY 1), r AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM c WINDOW w AS (ORDER BY score DESC)) SELECT score, tp::bigint AS tp, fp::bigint AS fp, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (tp + fp + p), 6) AS f1, round((tp + n - fp) / (p + n), 6) AS accuracy, round(tp / p - fp / n, 6) AS distance FROM r")
 def roc_pr_ks_points(spark, d):
     return curves.threshold_points(lines(spark, d), "l_quantity", "y")
 
@@ -396,7 +396,9 @@ def feature_ks_by_day(spark, d):
 
 @register(f"WITH {EV} SELECT event_type, day, round(median(value), 6) AS middle, round(stddev_samp(value), 6) AS std, round(avg(value), 6) AS mean FROM e WHERE NOT bench GROUP BY 1, 2")
 def feature_stats_by_day(spark, d):
-    return events(spark, d).where("not bench").groupBy("event_type", "day").agg(F.round(F.median("value"), 6).alias("middle"), F.round(F.stddev_samp("value"), 6).alias("std"), F.round(F.avg("value"), 6).alias("mean"))
+    e, keys = events(spark, d).where("not bench"), ["event_type", "day"]
+    middle = ranks.quantiles(ranks.value_table(e, keys), keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias("middle"))
+    return e.groupBy(*keys).agg(F.round(F.stddev_samp("value"), 6).alias("std"), F.round(F.avg("value"), 6).alias("mean")).join(middle, keys)
 
 
 @register("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS double) AS k FROM events")
@@ -407,11 +409,11 @@ def json_scores(spark, d):
 # --- mart and sources ------------------------------------------------------------------------------------------------
 
 
-@register("SELECT n.n_name AS nation, r.r_name AS region, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2")
+@register("SELECT n.n_name AS nation, r.r_name AS region, count(*) AS n, sum(o_totalprice::decimal(18, 2))::double AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2")
 def mart_base(spark, d):
     t = lambda n: table(spark, d, n)
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return o.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return o.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @register("SELECT o_orderkey, count(l_orderkey) AS n_returned FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY 1")
@@ -421,13 +423,13 @@ def mart_label(spark, d):
     return table(spark, d, "orders").join(li, on, "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_returned"))
 
 
-@register("SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
+@register("SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, count(*) AS n, round(sum((l_extendedprice * (1 - l_discount))::decimal(18, 4)), 2)::double AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
 def mart_star(spark, d):
     t = lambda n: table(spark, d, n)
     cn, sn = t("nation").select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("customer_nation")), t("nation").select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supplier_nation"))
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     x = x.join(cn, F.col("c_nationkey") == F.col("ck"), "left").join(sn, F.col("s_nationkey") == F.col("sk"), "left")
-    return x.groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return x.groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("n"), F.round(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")), 2).cast("double").alias("revenue"))
 
 
 @register("SELECT a.o_custkey, a.o_orderkey AS current, b.o_orderkey AS earlier FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate")
