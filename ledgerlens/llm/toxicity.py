@@ -8,7 +8,7 @@ out. A logistic regression on the scaled features gives the score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -48,16 +48,15 @@ def _grams(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield row, np.concatenate([by_size[n][a : max(a, b - n + 1)] for n in by_size] or [np.empty(0, np.int32)])
 
 
-def _features(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = None) -> list[np.ndarray]:
+def _features(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The distinct buckets of each text; only those of ``keep`` where it is given."""
-    place, out = np.zeros(1 << BITS, np.int32), []
+    place = np.zeros(1 << BITS, np.int32)
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         for _, ids in _grams(*kernels.utf8(chunk)):
-            out.append(kernels.once(ids if keep is None else ids[keep[ids]], place))
-    return out
+            yield kernels.once(ids if keep is None else ids[keep[ids]], place)
 
 
-def document_counts(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def document_counts(features: Iterable[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many toxic and other documents have each bucket."""
     counts = np.zeros((2, 1 << BITS))
     for ids, label in zip(features, y, strict=True):
@@ -109,12 +108,12 @@ def train(texts: pa.ChunkedArray, y: np.ndarray, informative: float = 1.0) -> Mo
     """Fits on labelled texts; with one class only, every score is that class's."""
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
-    features = _features(texts)
-    c1, c0 = document_counts(features, y)
+    # Texts are gone over twice, so that only the features that stay are held.
+    c1, c0 = document_counts(_features(texts), y)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     scale = log_count_ratios(c1, c0, n1, n0)
     keep = (np.abs(scale) >= informative) & (significance(c1, c0, n1, n0) >= SIGNIFICANT)
-    weight, bias = logistic([f[keep[f]] for f in features], scale, y)
+    weight, bias = logistic(list(_features(texts, keep)), scale, y)
     return Model(weight, bias)
 
 

@@ -97,13 +97,13 @@ def test_wanted_languages(odd):
 def test_ratios_and_significance_against_plain_counts():
     texts = ["you idiot", "idiot here", "nice day", "a nice place", "idiot nice", "day"]
     y = np.array([1, 1, 0, 0, 1, 0])
-    features = toxicity._features(pa.chunked_array([texts]))
+    features = list(toxicity._features(pa.chunked_array([texts])))
     c1, c0 = toxicity.document_counts(features, y)
     ratio, strong = toxicity.log_count_ratios(c1, c0, 3, 3, least=2, prior=1.0), toxicity.significance(c1, c0, 3, 3)
     bags = [grams(t, toxicity.SIZES) for t in texts]
     seen = Counter()
     for gram in {"idiot", "nice", "day"}:
-        ids = toxicity._features(pa.chunked_array([[gram]]))[0]
+        ids = next(toxicity._features(pa.chunked_array([[gram]])))
         a, b = sum(gram in bag for bag, v in zip(bags, y, strict=True) if v), sum(gram in bag for bag, v in zip(bags, y, strict=True) if not v)
         share = (a + b) / 6
         want = np.log((a + share) / 4) - np.log((b + share) / 4)
