@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
 from ledgerlens.operators.binning import inner_quantiles
+from ledgerlens.operators.evaluate import value_counts
 from ledgerlens.operators.ranks import running
 
 
@@ -42,7 +43,7 @@ def oriented_points(df: DataFrame, score: str, label: str) -> DataFrame:
     inside = F.greatest(F.lit(0), F.least(F.col("n"), half - (F.col("cum_n") - F.col("n"))))
     turned = run.agg((F.sum(F.col("pos") * inside / F.col("n")) > F.max("all_pos") / 2).alias("turned")).scalar()
     points = threshold_points(df.select(F.when(turned, -F.col(score)).otherwise(F.col(score)).cast("double").alias("score"), F.col(label).alias("y")), "score", "y")
-    return points.withColumn("turned", turned).withColumn("score", F.when(F.col("turned"), -F.col("score")).otherwise(F.col("score")))
+    return points.withColumn("turned", turned).withColumn("score", F.when(F.col("turned"), 0.0 - F.col("score")).otherwise(F.col("score")))
 
 
 def _bands(df: DataFrame, score: Column, label: str, bins: int) -> DataFrame:
@@ -100,3 +101,13 @@ def bad_rate_at(df: DataFrame, score: str, label: str, order: list[str], shares:
     """(pass_rate, passed, bad_rate) at given pass rates between 0 and 1."""
     grid = df.sparkSession.createDataFrame([(100.0 * s,) for s in shares], "pct double")
     return first_rows(df, score, label, order, grid).select(F.round(F.col("pct") / 100, 6).alias("pass_rate"), F.col("k").alias("passed"), F.round(F.coalesce(F.try_divide("bad", "k"), F.lit(0.0)), 6).alias("bad_rate"))
+
+
+def feature_curve(df: DataFrame, features: list[str], label: str, most: int = 20, bins: int = 10) -> DataFrame:
+    """(feature, place, n, rate): mean label and rows by quantile bin, or by value for features of at most ``most`` values."""
+    counts = value_counts(df, features, label)
+    kinds = counts.groupBy("feature").agg((F.count("*") > most).alias("many"))
+    edges = inner_quantiles(counts, ["feature"], bins, n=F.col("pos") + F.col("neg"))
+    met = counts.join(F.broadcast(kinds), "feature").join(F.broadcast(edges), "feature")
+    place = F.when(F.col("many"), bin_of(F.col("value"), F.col("edges")).cast("double")).otherwise(F.col("value"))
+    return met.groupBy("feature", place.alias("place")).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.round(F.sum("pos") / F.sum(F.col("pos") + F.col("neg")), 6).alias("rate"))

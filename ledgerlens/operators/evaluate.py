@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.scalars import chi2_p
 from ledgerlens.functions.stats import bin_of, iv_part, woe
 from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.profile import long_form
@@ -67,8 +68,8 @@ def null_woe(df: DataFrame, feature: str, label: str, least: float = 0.01) -> Da
     return out.select("pos", "neg", F.round(F.when(pos == 0, -20.0).when(neg == 0, 20.0).otherwise(F.ln(pos / neg)), 6).alias("woe"))
 
 
-def chi2_rules(df: DataFrame, rules: list[str], label: str) -> DataFrame:
-    """Hits, rates and the chi-square statistic of binary rules against a label.
+def chi2_rules(df: DataFrame, rules: list[str], label: str, exact: bool = False) -> DataFrame:
+    """Hits, rates, the chi-square statistic of binary rules against a label, and with ``exact`` its p value, unrounded.
 
     The statistic compares the events and non-events among hits with what the
     classes' shares let expect.
@@ -80,6 +81,8 @@ def chi2_rules(df: DataFrame, rules: list[str], label: str) -> DataFrame:
     e1, e0 = share * F.col("hits"), (1 - share) * F.col("hits")
     o1, o0 = F.col("hit_events"), F.col("hits") - F.col("hit_events")
     stat = F.try_divide((o1 - e1) * (o1 - e1), e1) + F.try_divide((o0 - e0) * (o0 - e0), e0)
+    if exact:
+        return a.select(F.col("feature").alias("rule"), "hits", stat.alias("chi2"), chi2_p(stat).alias("p"))
     return a.select(F.col("feature").alias("rule"), "hits", F.round(F.col("hits") / F.col("n"), 6).alias("hit_ratio"), F.round(F.try_divide("hit_events", "hits"), 6).alias("hit_rate"), F.round(F.try_divide(F.col("events") - F.col("hit_events"), F.col("n") - F.col("hits")), 6).alias("other_rate"), F.round(share, 6).alias("rate"), F.round(stat, 4).alias("chi2"))
 
 

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
 from ledgerlens.operators import binning, curves, encode, evaluate, history, models, monitor, profile, ranks, rules, split
+from ledgerlens.plans.base import QUERIES, SQL, register
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
 from ledgerlens.session import table
 from ledgerlens.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 L = "l AS (SELECT *, (l_returnflag = 'R')::int AS y, nullif(l_discount, 0.0) AS discount_or_null FROM lineitem)"
 LONG = "long AS (SELECT l_linestatus, y, f AS feature, v AS value FROM l, LATERAL (VALUES ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) t(f, v))"
 EDGES = "edges AS (SELECT feature, list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS q FROM long GROUP BY 1), inner_edges AS (SELECT feature, list_sort(q)[2:len(q) - 1] AS e FROM edges)"
@@ -458,3 +441,8 @@ def lr_cv(spark, d):
 @register()
 def gbt_cv(spark, d):
     return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "gbt", folds=2, maxIter=3, maxDepth=3, seed=7)
+
+
+from ledgerlens.plans import extended  # noqa: E402  registers the rest
+
+__all__ = ["QUERIES", "SQL", "extended"]
