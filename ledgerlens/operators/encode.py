@@ -19,9 +19,9 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame, out: str = "code") -> DataFrame:
-    found = F.broadcast(codes.select(F.col("value").alias(column), F.col("code").alias("_c")))
+    found = codes.select(F.col("value").alias(column), F.col("code").alias("_c"))
     sentinel = F.broadcast(codes.where(F.col("value") == UNKNOWN).select(F.col("code").alias("_u")))
-    return df.join(found, column, "left").crossJoin(sentinel).withColumn(out, F.coalesce("_c", "_u")).drop("_c", "_u")
+    return df.join(found, column, "left").join(sentinel).withColumn(out, F.coalesce("_c", "_u")).drop("_c", "_u")
 
 
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -31,18 +31,18 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def count_encode(df: DataFrame, column: str, fitted: DataFrame, smoothing: int = 1, log: bool = True, out: str = "encoded") -> DataFrame:
     """Count in the fitted table plus smoothing, 1 if unseen; then its logarithm."""
-    counts = F.broadcast(fitted.groupBy(column).agg((F.count("*") + smoothing).alias("_n")))
+    counts = fitted.groupBy(column).agg((F.count("*") + smoothing).alias("_n"))
     value = F.coalesce("_n", F.lit(1))
     return df.join(counts, column, "left").withColumn(out, F.ln(value) if log else value.cast("double")).drop("_n")
 
 
-def target_means(df: DataFrame, column: str, label: str, smoothing: float = 0.1) -> DataFrame:
+def target_means(df: DataFrame, column: str, label: str, smoothing: float = 0.1, digits: int = 6) -> DataFrame:
     """(value, encoded): mean label drawn to the overall mean by a share ``smoothing`` of the value's rows."""
     y = F.col(label).cast("double")
     groups = df.groupBy(F.col(column).alias("value")).agg(F.sum(y).alias("s"), F.count("*").alias("n"))
     w = Window.partitionBy()
     mean = F.sum("s").over(w) / F.sum("n").over(w)
-    return groups.select("value", "n", F.round((F.col("s") + smoothing * F.col("n") * mean) / (F.col("n") * (1 + smoothing)), 6).alias("encoded"))
+    return groups.select("value", "n", F.round((F.col("s") + smoothing * F.col("n") * mean) / (F.col("n") * (1 + smoothing)), digits).alias("encoded"))
 
 
 def woe_encode(df: DataFrame, column: str, label: str, bins: int = 10, out: str = "woe") -> DataFrame:

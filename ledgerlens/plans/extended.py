@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars
-from ledgerlens.operators import curves, evaluate, labels, mdlp, profile, ranks, structure
+from ledgerlens.operators import curves, evaluate, labels, mdlp, profile, ranks, structure, transform
 from ledgerlens.plans.base import register
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.session import table
@@ -129,7 +129,7 @@ def label_entropy(spark, d):
 
 @register()
 def mdlp_cut_points(spark, d):
-    return mdlp.mdlp_cuts(lines(spark, d), ["l_quantity", "l_tax", "l_extendedprice"], "y")
+    return mdlp.mdlp_cuts(lines(spark, d).withColumn("big", (F.col("l_quantity") > 25).cast("int")), ["l_quantity", "l_tax", "l_extendedprice"], "big")
 
 
 @register("WITH x AS (SELECT 'l_quantity' AS feature, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem), e AS (SELECT feature, quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS e FROM x GROUP BY 1) SELECT feature, (1 + len(list_filter(e, lambda z: z <= v)))::bigint AS bin, count(*) AS n FROM x JOIN e USING (feature) GROUP BY 1, 2")
@@ -191,3 +191,76 @@ def profile_text(spark, d):
 @register("WITH x AS (SELECT embedding AS v FROM embeddings), f AS (SELECT unnest(v)::double AS v FROM x), s AS (SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, count(*) FILTER (v = 0) AS z, min(v) AS a, max(v) AS b FROM f), c AS (SELECT count(*) FILTER (len(v) > 0) AS n, count(*) FILTER (coalesce(len(v), 0) = 0) AS m, min(len(v)) AS lo, max(len(v)) AS hi, round(avg(len(v)), 6) AS av, sum(len(v)) AS t FROM x) SELECT 'embedding' AS feature, n AS num_non_missing, m AS num_missing, lo::bigint AS min_num_values, hi::bigint AS max_num_values, av AS avg_num_values, t::bigint AS tot_num_values, mean, sd AS std_dev, z AS num_zeros, round(a, 6) AS min, round(b, 6) AS max FROM s, c")
 def profile_arrays(spark, d):
     return structure.numeric_profile(table(spark, d, "embeddings"), ["embedding"]).select("feature", "num_non_missing", "num_missing", "min_num_values", "max_num_values", "avg_num_values", "tot_num_values", "mean", "std_dev", "num_zeros", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+
+
+# --- transformers ----------------------------------------------------------------------------------------------------
+
+
+def _customers(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal", F.lit(None).cast("string").alias("empty"), F.lit("x").alias("one"), (F.col("c_acctbal") > 5000).cast("int").alias("rich"))
+
+
+@register("SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_acctbal, (c_acctbal > 5000)::int AS rich FROM customer")
+def preprocess(spark, d):
+    return transform.Preprocess(notnull=0.5, notsame=0.05).fit(_customers(spark, d)).transform(_customers(spark, d))
+
+
+@register("SELECT 'empty' AS feature, count(*) AS null_num, count(*) AS most_value_num FROM customer UNION ALL SELECT 'one', 0, count(*) FROM customer")
+def redundant_columns(spark, d):
+    kept, report = transform.drop_redundant(_customers(spark, d), 0.1, 0.05)
+    return report.where(~F.col("feature").isin(*kept.columns)).select("feature", "null_num", "most_value_num")
+
+
+@register("WITH v AS (SELECT c_mktsegment AS s FROM customer UNION SELECT '<unknown>'), c AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS code FROM v), n AS (SELECT c_nationkey, ln(count(*) + 1) AS m FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT c_custkey, code::double AS c_mktsegment, round(coalesce(m, 0.0), 6) AS c_nationkey FROM customer JOIN c ON s = c_mktsegment LEFT JOIN n USING (c_nationkey)")
+def multi_encode(spark, d):
+    c = _customers(spark, d).select("c_custkey", "c_mktsegment", "c_nationkey")
+    label = transform.encoder("category", "label").fit(c, ["c_mktsegment"])
+    count = transform.encoder("category", "count").fit(c.where("c_custkey % 2 = 0"), ["c_nationkey"])
+    return count.transform(label.transform(c)).withColumn("c_nationkey", F.round("c_nationkey", 6))
+
+
+@register("WITH g AS (SELECT c_mktsegment, sum((c_acctbal > 5000)::int) AS s, count(*) AS n FROM customer GROUP BY 1), m AS (SELECT avg((c_acctbal > 5000)::int) AS m FROM customer) SELECT c_custkey, round((s + 0.1 * n * m) / (n * 1.1), 6) AS c_mktsegment FROM customer JOIN g USING (c_mktsegment), m")
+def target_encode_rows(spark, d):
+    c = _customers(spark, d).select("c_custkey", "c_mktsegment", "rich")
+    return transform.encoder("category", "target", noise=0).fit(c, ["c_mktsegment"], "rich").transform(c).select("c_custkey", F.round("c_mktsegment", 6).alias("c_mktsegment"))
+
+
+@register("WITH x AS (SELECT c_custkey, c_mktsegment, (c_acctbal > 5000)::int AS y FROM customer), g AS (SELECT c_mktsegment, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM x GROUP BY 1), t AS (SELECT *, sum(p) OVER () AS pa, sum(q) OVER () AS qa FROM g) SELECT c_custkey, round(CASE WHEN p = 0 THEN -20.0 WHEN q = 0 THEN 20.0 ELSE ln((p / pa) / (q / qa)) END, 6) AS c_mktsegment FROM x JOIN t USING (c_mktsegment)")
+def woe_replace(spark, d):
+    c = _customers(spark, d).select("c_custkey", "c_mktsegment", "rich")
+    return transform.encoder("category", "woe").fit(c, ["c_mktsegment"], "rich").transform(c).select("c_custkey", F.round("c_mktsegment", 6).alias("c_mktsegment"))
+
+
+_W = "CASE WHEN p = 0 THEN -20.0 WHEN q = 0 THEN 20.0 ELSE ln((p / pa) / (q / qa)) END"
+
+
+@register(f"WITH {L}, k AS (SELECT *, row_number() OVER () AS id FROM l), x AS (SELECT id, f AS feature, v AS value, y FROM k, LATERAL (VALUES ('l_quantity', l_quantity), ('discount_or_null', discount_or_null)) t(f, v)), e AS ({_edges('value', 'x', 'feature')}), b AS (SELECT x.*, CASE WHEN value IS NOT NULL THEN len(list_filter(e, lambda z: z < value)) END AS bin FROM x JOIN e USING (feature)), g AS (SELECT feature, bin, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM b WHERE bin IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(p) OVER w AS pa, sum(q) OVER w AS qa FROM g WINDOW w AS (PARTITION BY feature)), w AS (SELECT feature, bin, round({_W}, 6) AS woe FROM t), n AS (SELECT feature, round(ln((count(*) FILTER (value IS NULL AND y = 1) + floor(count(*) * avg(y) * 0.01)) / (count(*) FILTER (value IS NULL AND y = 0) + floor(count(*) * (1 - avg(y)) * 0.01))), 6) AS nul FROM x GROUP BY 1) r AS (SELECT id, max(CASE WHEN b.feature = 'l_quantity' THEN woe END) AS l_quantity, max(CASE WHEN b.feature = 'discount_or_null' THEN coalesce(woe, nul) END) AS discount_or_null FROM b LEFT JOIN w ON w.feature = b.feature AND w.bin = b.bin JOIN n ON n.feature = b.feature GROUP BY 1) SELECT l_quantity, discount_or_null, count(*) AS n FROM r GROUP BY 1, 2")
+def woe_encode_columns(spark, d):
+    x = lines(spark, d).select("y", "l_quantity", "discount_or_null")
+    coded = transform.encoder("continuous", "woe").fit(x, ["l_quantity", "discount_or_null"], "y").transform(x)
+    return coded.groupBy("l_quantity", "discount_or_null").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH e AS ({_edges('c_acctbal', 'customer')}) SELECT c_custkey, len(list_filter(e, lambda z: z < c_acctbal))::bigint AS c_acctbal FROM customer, e")
+def binning_encode(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return transform.encoder("continuous", "binning", method="qcut").fit(c, ["c_acctbal"]).transform(c)
+
+
+@register(f"WITH x AS (SELECT c_custkey, c_mktsegment, c_acctbal, (c_acctbal > 5000)::int AS y FROM customer), n AS (SELECT c_mktsegment, ln(count(*) + 1) AS m FROM x GROUP BY 1), e AS ({_edges('c_acctbal', 'x')}), b AS (SELECT x.*, len(list_filter(e, lambda z: z < c_acctbal)) AS bin FROM x, e), g AS (SELECT bin, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM b GROUP BY 1), t AS (SELECT *, sum(p) OVER () AS pa, sum(q) OVER () AS qa FROM g) SELECT c_custkey, round(m, 6) AS c_mktsegment, round({_W}, 6) AS c_acctbal FROM b JOIN t USING (bin) JOIN n USING (c_mktsegment)")
+def feature_transform(spark, d):
+    c = _customers(spark, d)
+    made = transform.FeatureTransformer().fit(c, ["c_name", "c_mktsegment", "c_acctbal", "empty", "one"], "rich")
+    return made.transform(c).select("c_custkey", F.round("c_mktsegment", 6).alias("c_mktsegment"), F.round("c_acctbal", 6).alias("c_acctbal"))
+
+
+@register("WITH q AS (SELECT quantile_cont(c_acctbal, 0.05) AS a, quantile_cont(c_acctbal, 0.95) AS b FROM customer), v AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) + 1 AS i FROM customer GROUP BY 1) SELECT c_custkey, (c_acctbal > 5000)::int::varchar || ' 0:0:' || printf('%.6f', (least(greatest(c_acctbal, a), b) - a) / (b - a)) || ' 1:' || i || ':1' AS line FROM customer JOIN v ON s = c_mktsegment, q")
+def ffm_rows(spark, d):
+    c = _customers(spark, d).select("c_custkey", "c_acctbal", "c_mktsegment", "rich")
+    return transform.FieldAwareEncoder().fit(c, ["c_acctbal"], ["c_mktsegment"]).transform(c, "rich").select("c_custkey", "line")
+
+
+@register("SELECT c_custkey, '0:' || (('0x' || md5(c_nationkey::varchar))::uhugeint % 999999 + 1)::varchar || ':1 1:' || (('0x' || md5('c_mktsegment-' || c_mktsegment))::uhugeint % 999999 + 1)::varchar || ':1' AS line FROM customer")
+def ffm_hashed_rows(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", transform.hashed_tokens(c, ["c_nationkey"], ["c_mktsegment"]).alias("line"))
