@@ -1,14 +1,22 @@
-"""Rule sets: OR of rules, each an AND of (column, operator, value)."""
+"""Rule sets: OR of rules, each an AND of (column, operator, value); learned by growing, pruning and description length."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-Rule = list[tuple[str, str, object]]
+from ledgerlens.operators.profile import long_form
+from ledgerlens.operators.ranks import quantiles, value_table
+
+Condition = tuple[str, str, object]
+Rule = list[Condition]
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: ~a.eqNullSafe(b), ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 
@@ -18,49 +26,161 @@ def covers(rules: list[Rule]) -> Column:
     return reduce(or_, (one(r) for r in rules), F.lit(False))
 
 
-def conditions(df: DataFrame, columns: list[str], q: int = 10) -> dict[str, list[tuple[str, str, object]]]:
-    """Conditions of continuous columns: at least or at most each inner quantile, from one aggregate."""
-    row = df.agg(*(F.array_distinct(F.percentile(F.col(c).cast("double"), F.array(*(F.lit(i / q) for i in range(1, q))))).alias(c) for c in columns)).first()
-    return {c: [(c, op, e) for e in row[c] or [] for op in (">=", "<=")] for c in columns}
+def remove_cases(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that no rule covers."""
+    return df.where(~covers(rules))
+
+
+def conditions(df: DataFrame, columns: list[str], q: int = 10, most: int = 100) -> dict[str, list[Condition]]:
+    """Conditions by column: equal to a value of two, equal or unequal to a text (of ``most`` commonest), at least or at most a quantile."""
+    counts = long_form(df, columns, "string").where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    kinds = {r["feature"]: r["k"] for r in counts.groupBy("feature").agg(F.count("*").alias("k")).collect()}
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    found: dict[str, list[Condition]] = {}
+    for c in columns:
+        number = c in numeric
+        if number and kinds.get(c, 0) > 2:
+            continue
+        values = [r["value"] for r in counts.where(F.col("feature") == c).orderBy(F.desc("n"), "value").limit(most).select("value").collect()]
+        values = [float(v) for v in values] if number else values
+        found[c] = [(c, op, v) for v in values for op in (("==",) if kinds.get(c, 0) <= 2 else ("==", "!="))]
+    many = [c for c in columns if c not in found]
+    if many:
+        edges = quantiles(value_table(long_form(df, many, "double"), ["feature"]), ["feature"], [i / q for i in range(1, q)])
+        for r in edges.select("feature", F.array_distinct("q").alias("q")).collect():
+            found[r["feature"]] = [(r["feature"], op, e) for e in r["q"] for op in (">=", "<=")]
+    return found
+
+
+def _tally(df: DataFrame, positive: Column, tests: list[Column]) -> tuple[int, int, list[tuple[int, int]]]:
+    """Positives and negatives of the frame and of each test's rows, in one job."""
+    sums = [e for i, t in enumerate(tests) for e in (F.count_if(t & positive).alias(f"p{i}"), F.count_if(t & ~positive).alias(f"n{i}"))]
+    row = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"), *sums).first()
+    return row["p"], row["n"], [(row[f"p{i}"], row[f"n{i}"]) for i in range(len(tests))]
+
 
+def foil_gain(p0: int, n0: int, p1: int, n1: int, least: int) -> float:
+    """log10 of the positives that stay by the rise of their share; a rule of fewer than ``least`` positives is refused."""
+    if p1 < least or not p1 or not p0 + n0:
+        return -10000.0
+    return math.log10(p1) * (p1 / (p1 + n1) - p0 / (p0 + n0))
 
-def grow_rule(df: DataFrame, label: str, candidates: dict[str, list[tuple[str, str, object]]], least: int = 100) -> Rule:
-    """Adds the condition of the best FOIL gain on an unused column, one job for all of them a step, until none gains."""
-    y, rule = F.col(label) > 0, []
+
+def grow_rule(df: DataFrame, positive: Column, candidates: dict[str, list[Condition]], least: int = 100, rule: Rule | None = None) -> Rule:
+    """Adds the condition of the best gain on an unused column, one job for all of them a step, until none gains."""
+    rule = list(rule or [])
     while True:
         open_ = [c for name, cs in candidates.items() if name not in {r[0] for r in rule} for c in cs]
-        if not open_:
-            return rule
         base = covers([rule])
-        sums = [e for i, c in enumerate(open_) for e in (F.count_if(base & covers([[c]]) & y).alias(f"p{i}"), F.count_if(base & covers([[c]]) & ~y).alias(f"n{i}"))]
-        row = df.agg(F.count_if(base & y).alias("p"), F.count_if(base & ~y).alias("n"), *sums).first()
-        if not row["n"] or not row["p"]:
+        p, n, each = _tally(df, positive, [base, *(base & covers([[c]]) for c in open_)])
+        (p0, n0), each = each[0], each[1:]
+        if not open_ or not p0 or not n0:
             return rule
-        import math
-
-        gains = [(math.log10(row[f"p{i}"]) * (row[f"p{i}"] / (row[f"p{i}"] + row[f"n{i}"]) - row["p"] / (row["p"] + row["n"])) if row[f"p{i}"] >= least else -10000.0, -i) for i in range(len(open_))]
-        best, at = max(gains)
+        best, at = max((foil_gain(p0, n0, p1, n1, least), -i) for i, (p1, n1) in enumerate(each))
         if best <= 0:
             return rule
-        rule = [*rule, open_[-at]]
+        rule.append(open_[-at])
 
 
-def prune_rule(df: DataFrame, label: str, rule: Rule) -> Rule:
+def prune_rule(df: DataFrame, positive: Column, rule: Rule) -> Rule:
     """The prefix with the greatest (p-n)/(p+n); a rule that covers nothing stays."""
-    y = F.col(label) > 0
     cuts = [rule[:k] for k in range(len(rule), 0, -1)]
-    row = df.agg(*(e for i, r in enumerate(cuts) for e in (F.count_if(covers([r]) & y).alias(f"p{i}"), F.count_if(covers([r]) & ~y).alias(f"n{i}")))).first() if cuts else None
-    worth = [((row[f"p{i}"] - row[f"n{i}"]) / (row[f"p{i}"] + row[f"n{i}"]), -i) for i in range(len(cuts)) if row[f"p{i}"] + row[f"n{i}"]]
+    if not cuts:
+        return rule
+    _, _, each = _tally(df, positive, [covers([r]) for r in cuts])
+    worth = [((p - n) / (p + n), -i) for i, (p, n) in enumerate(each) if p + n]
     return cuts[-max(worth)[1]] if worth else rule
 
 
-def learn_rules(df: DataFrame, label: str, columns: list[str], ident: list[str], most_rules: int = 4, least: int = 100) -> list[Rule]:
-    """Rules for label > 0: each grown on four fifths of what is left and pruned on the rest."""
-    rest, rules = df.withColumn("_part", F.pmod(F.xxhash64(*ident), F.lit(5))), []
-    for _ in range(most_rules):
-        rule = prune_rule(rest.where("_part = 4"), label, grow_rule(rest.where("_part < 4"), label, conditions(rest, columns), least))
-        if not rule:
-            break
-        rules.append(rule)
-        rest = rest.where(~covers([rule]))
-    return rules
+def rule_length(size: int, possible: int) -> int:
+    """Half the bits of choosing ``size`` of ``possible`` conditions, whole."""
+    if not size or size >= possible:
+        return 0 if not size else int(0.5 * math.log2(max(1, size)))
+    p = size / possible
+    return int(0.5 * (math.log2(size) + size * math.log2(1 / p) + (possible - size) * math.log2(1 / (1 - p))))
+
+
+def _choose_bits(n: int, k: int) -> float:
+    return (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2) if n else 0.0
+
+
+def set_length(rules: list[Rule], possible: int, p: int, n: int, covered_p: int, covered_n: int) -> float:
+    """Bits of a rule set and of naming the rows that it gets wrong."""
+    theory = sum(rule_length(len(r), possible) for r in rules)
+    return theory + _choose_bits(covered_p + covered_n, covered_n) + _choose_bits(p + n - covered_p - covered_n, p - covered_p)
+
+
+@dataclass
+class Ripper:
+    """Decision list by repeated incremental pruning, rarest class first; the commonest class is what no rule covers.
+
+    Rows are split for growing and pruning by a hash of ``ident``. A class's
+    rules end when no rule grows, no positives are left, or the next rule's
+    length is above the least one so far by ``dl_threshold``; there is no
+    other bound on their number. Each is then held ``k`` times against a
+    replacement and a revision, by the description length of the whole set.
+    """
+
+    prune_ratio: float = 0.2
+    dl_threshold: int = 64
+    k: int = 2
+    least: int = 100
+    q: int = 10
+    rules: list[tuple[object, list[Rule]]] = field(default_factory=list)
+    default: object = None
+
+    def _learn(self, df: DataFrame, positive: Column, candidates: dict[str, list[Condition]]) -> list[Rule]:
+        possible, rest, rules, least = sum(map(len, candidates.values())), df, [], None
+        while True:
+            rule = self._made(rest, positive, candidates)
+            if not rule:
+                return rules
+            length = rule_length(len(rule), possible)
+            if least is not None and least + self.dl_threshold < length:
+                return rules
+            p, _, ((p1, _),) = _tally(rest, positive, [covers([rule])])
+            if not p1:
+                return rules
+            least = length if least is None else min(least, length)
+            rules.append(rule)
+            rest = rest.where(~covers([rule]))
+            if p1 == p:
+                return rules
+
+    def _made(self, df: DataFrame, positive: Column, candidates: dict[str, list[Condition]], start: Rule | None = None) -> Rule:
+        grown = grow_rule(df.where("not _prune"), positive, candidates, self.least, start)
+        return prune_rule(df.where("_prune"), positive, grown) if grown else []
+
+    def _optimise(self, df: DataFrame, positive: Column, candidates: dict[str, list[Condition]], rules: list[Rule]) -> list[Rule]:
+        possible = sum(map(len, candidates.values()))
+        for i in range(len(rules)):
+            others = df.where(~covers(rules[:i] + rules[i + 1 :]))
+            variants = [rules[i], self._made(others, positive, candidates), self._made(others, positive, candidates, rules[i])]
+            sets = [rules[:i] + ([v] if v else []) + rules[i + 1 :] for v in variants]
+            p, n, each = _tally(df, positive, [covers(s) for s in sets])
+            best = min(range(3), key=lambda j: (set_length(sets[j], possible, p, n, *each[j]), j))
+            rules = rules[:i] + [variants[best] or []] + rules[i + 1 :]
+        return [r for r in rules if r]
+
+    def fit(self, df: DataFrame, label: str, columns: list[str], ident: list[str]) -> Ripper:
+        rows = df.where(F.col(label).isNotNull()).select(label, *columns, (F.pmod(F.xxhash64(*ident), F.lit(1000)) < int(1000 * self.prune_ratio)).alias("_prune"))
+        # Gone over once for each condition of a rule: kept where it fits, on disk elsewhere.
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            counts = rows.groupBy(label).count().orderBy("count", label).collect()
+            self.default, self.rules = (counts[-1][0] if counts else None), []
+            candidates, rest = conditions(rows, columns, self.q), rows
+            for value, _ in counts[:-1]:
+                positive = F.col(label) == F.lit(value)
+                rules = self._learn(rest, positive, candidates)
+                for _ in range(self.k):
+                    rules = self._optimise(rest, positive, candidates, rules)
+                self.rules.append((value, rules))
+                rest = rest.where(~covers(rules))
+        finally:
+            rows.unpersist()
+        return self
+
+    def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
+        """Adds the class of the first class whose rules cover the row, else the commonest."""
+        return df.withColumn(out, F.coalesce(*(F.when(covers(rules), F.lit(value)) for value, rules in self.rules), F.lit(self.default)))

@@ -234,7 +234,7 @@ def woe_replace(spark, d):
 _W = "CASE WHEN p = 0 THEN -20.0 WHEN q = 0 THEN 20.0 ELSE ln((p / pa) / (q / qa)) END"
 
 
-@register(f"WITH {L}, k AS (SELECT *, row_number() OVER () AS id FROM l), x AS (SELECT id, f AS feature, v AS value, y FROM k, LATERAL (VALUES ('l_quantity', l_quantity), ('discount_or_null', discount_or_null)) t(f, v)), e AS ({_edges('value', 'x', 'feature')}), b AS (SELECT x.*, CASE WHEN value IS NOT NULL THEN len(list_filter(e, lambda z: z < value)) END AS bin FROM x JOIN e USING (feature)), g AS (SELECT feature, bin, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM b WHERE bin IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(p) OVER w AS pa, sum(q) OVER w AS qa FROM g WINDOW w AS (PARTITION BY feature)), w AS (SELECT feature, bin, round({_W}, 6) AS woe FROM t), n AS (SELECT feature, round(ln((count(*) FILTER (value IS NULL AND y = 1) + floor(count(*) * avg(y) * 0.01)) / (count(*) FILTER (value IS NULL AND y = 0) + floor(count(*) * (1 - avg(y)) * 0.01))), 6) AS nul FROM x GROUP BY 1) r AS (SELECT id, max(CASE WHEN b.feature = 'l_quantity' THEN woe END) AS l_quantity, max(CASE WHEN b.feature = 'discount_or_null' THEN coalesce(woe, nul) END) AS discount_or_null FROM b LEFT JOIN w ON w.feature = b.feature AND w.bin = b.bin JOIN n ON n.feature = b.feature GROUP BY 1) SELECT l_quantity, discount_or_null, count(*) AS n FROM r GROUP BY 1, 2")
+@register(f"WITH {L}, k AS (SELECT *, row_number() OVER () AS id FROM l), x AS (SELECT id, f AS feature, v AS value, y FROM k, LATERAL (VALUES ('l_quantity', l_quantity), ('discount_or_null', discount_or_null)) t(f, v)), e AS ({_edges('value', 'x', 'feature')}), b AS (SELECT x.*, CASE WHEN value IS NOT NULL THEN len(list_filter(e, lambda z: z < value)) END AS bin FROM x JOIN e USING (feature)), g AS (SELECT feature, bin, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM b WHERE bin IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(p) OVER w AS pa, sum(q) OVER w AS qa FROM g WINDOW w AS (PARTITION BY feature)), w AS (SELECT feature, bin, round({_W}, 6) AS woe FROM t), n AS (SELECT feature, round(ln((count(*) FILTER (value IS NULL AND y = 1) + floor(count(*) * avg(y) * 0.01)) / (count(*) FILTER (value IS NULL AND y = 0) + floor(count(*) * (1 - avg(y)) * 0.01))), 6) AS nul FROM x GROUP BY 1), r AS (SELECT id, max(CASE WHEN b.feature = 'l_quantity' THEN woe END) AS l_quantity, max(CASE WHEN b.feature = 'discount_or_null' THEN coalesce(woe, nul) END) AS discount_or_null FROM b LEFT JOIN w ON w.feature = b.feature AND w.bin = b.bin JOIN n ON n.feature = b.feature GROUP BY 1) SELECT l_quantity, discount_or_null, count(*) AS n FROM r GROUP BY 1, 2")
 def woe_encode_columns(spark, d):
     x = lines(spark, d).select("y", "l_quantity", "discount_or_null")
     coded = transform.encoder("continuous", "woe").fit(x, ["l_quantity", "discount_or_null"], "y").transform(x)

@@ -19,7 +19,7 @@ BINS = "binned AS (SELECT long.*, len(list_filter(e, lambda x: x < value)) AS bi
 WOE = "CASE WHEN p = 0 THEN -20.0 WHEN q = 0 THEN 20.0 ELSE ln((p / pa) / (q / qa)) END"
 EV = "e AS (SELECT *, ts::date::varchar AS day, ts < TIMESTAMP '2024-01-11' AS bench, (event_type = 'purchase' OR value > 50)::int AS passed FROM events)"
 H = "h AS (SELECT o_orderkey, o_custkey, o_orderdate::date AS created, finish, o_orderdate::date + 30 AS expected FROM orders JOIN (SELECT l_orderkey AS o_orderkey, max(l_shipdate)::date AS finish FROM lineitem GROUP BY 1) USING (o_orderkey))"
-HR = "r AS (SELECT *, (finish - expected)::bigint AS overdue_days, rank() OVER (PARTITION BY o_custkey ORDER BY finish DESC) + (count(*) OVER (PARTITION BY o_custkey, finish) - 1) / 2 AS nth, (coalesce(lag(created) OVER (PARTITION BY o_custkey ORDER BY created DESC, o_orderkey), max(created) OVER (PARTITION BY o_custkey)) - finish)::bigint AS gap_days FROM h)"
+HR = "r AS (SELECT *, (finish - expected)::bigint AS overdue_days, rank() OVER (PARTITION BY o_custkey ORDER BY finish DESC) + (count(*) OVER (PARTITION BY o_custkey, finish) - 1) / 2 AS nth, row_number() OVER (PARTITION BY o_custkey ORDER BY finish DESC, o_orderkey) AS place, (coalesce(lag(created) OVER (PARTITION BY o_custkey ORDER BY created DESC, o_orderkey), max(created) OVER (PARTITION BY o_custkey)) - finish)::bigint AS gap_days FROM h)"
 COUNTS = "c AS (SELECT feature, value, sum(y) AS pos, count(*) - sum(y) AS neg FROM long GROUP BY 1, 2)"
 RUN = "run AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER f AS p, sum(neg) OVER f AS n FROM c WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature))"
 
@@ -224,10 +224,11 @@ def ripper_predict(spark, d):
 
 @register()
 def ripper_rules(spark, d):
-    x = lines(spark, d)
-    found = rules.learn_rules(x, "y", ["l_quantity", "l_tax"], ["l_orderkey", "l_linenumber"], most_rules=2)
-    hit = F.coalesce(*(F.when(rules.covers([r]), i) for i, r in enumerate(found)), F.lit(-1))
-    return x.groupBy(hit.cast("long").alias("rule")).agg(F.count("*").alias("n"), F.sum("y").alias("events"))
+    """A decision list over numbers and texts for classes that hang on two columns, against the true classes."""
+    kind = F.when((F.col("l_quantity") > 40) & (F.col("l_tax") <= 0.03), "much").when(F.col("l_quantity") <= 10, "little").otherwise("middle")
+    x = lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_linestatus", kind.alias("kind"))
+    learned = rules.Ripper().fit(x, "kind", ["l_quantity", "l_tax", "l_linestatus"], ["l_orderkey", "l_linenumber"])
+    return learned.predict(x).groupBy("kind", "predicted").agg(F.count("*").alias("n"))
 
 
 # --- curves ----------------------------------------------------------------------------------------------------------
@@ -306,25 +307,25 @@ def ffm_hash(spark, d):
 
 
 def _ranked(spark, d):
-    return history.ranked_history(loans(spark, d), "o_custkey", "created", "finish", "expected")
+    return history.ranked_history(loans(spark, d), "o_custkey", "created", "finish", "expected", "o_orderkey")
 
 
-@register(f"WITH {H}, {HR} SELECT o_custkey, o_orderkey, overdue_days, nth FROM r")
+@register(f"WITH {H}, {HR} SELECT o_custkey, o_orderkey, overdue_days, nth, place FROM r")
 def history_rank(spark, d):
-    return _ranked(spark, d).select("o_custkey", "o_orderkey", "overdue_days", F.col("nth").cast("double").alias("nth"))
+    return _ranked(spark, d).select("o_custkey", "o_orderkey", "overdue_days", F.col("nth").cast("double").alias("nth"), "place")
 
 
 def _spans(column: str, spans: tuple) -> str:
     out = []
     for s in spans:
-        x, name = (column, f"{column}_all") if s is None else (f"CASE WHEN nth <= {s} THEN {column} END", f"{column}_{s}")
-        out += [f"min({x}) AS {name}_min", f"max({x}) AS {name}_max", f"round(avg({x}), 6) AS {name}_mean", f"round(median({x}), 6)::double AS {name}_median", f"round(stddev_pop({x}), 6) AS {name}_std", f"sum({x})::bigint AS {name}_sum", f"count({x}) AS {name}_len", f"count(*) FILTER ({x} > 0) AS {name}_positive"]
+        x, name = (column, f"{column}_all") if s is None else (f"CASE WHEN place <= {s} THEN {column} END", f"{column}_{s}")
+        out += [f"min({x}) AS {name}_min", f"max({x}) AS {name}_max", f"round(avg({x}), 6) AS {name}_mean", f"round(median({x}), 6)::double AS {name}_median", f"round(stddev_pop({x}), 6) AS {name}_std", f"sum({x})::bigint AS {name}_sum", f"count({x}) AS {name}_len", f"max(CASE WHEN place = 1 THEN {column} END) AS {name}_latest", f"round(avg(({x} > 0)::int), 6) AS {name}_share_positive", f"count(*) FILTER ({x} > 0) AS {name}_positive"]
     return ", ".join(out)
 
 
 @register(f"WITH {H}, {HR} SELECT o_custkey, {_spans('overdue_days', (3, None))} FROM r GROUP BY 1")
 def history_features(spark, d):
-    return history.span_statistics(_ranked(spark, d), "o_custkey", "nth", ["overdue_days"], [3, None])
+    return history.span_statistics(_ranked(spark, d), "o_custkey", "place", ["overdue_days"], [3, None])
 
 
 _CLOCK = ", ".join([f"count(*) FILTER (hour(ts) = {h}) AS hour_{h}" for h in range(24)] + [f"count(*) FILTER (isodow(ts) - 1 = {i}) AS weekday_{i}" for i in range(7)])
