@@ -152,15 +152,16 @@ class Ripper:
         return prune_rule(df.where("_prune"), positive, grown) if grown else []
 
     def _optimise(self, df: DataFrame, positive: Column, candidates: dict[str, list[Condition]], rules: list[Rule]) -> list[Rule]:
-        possible = sum(map(len, candidates.values()))
-        for i in range(len(rules)):
-            others = df.where(~covers(rules[:i] + rules[i + 1 :]))
-            variants = [rules[i], self._made(others, positive, candidates), self._made(others, positive, candidates, rules[i])]
-            sets = [rules[:i] + ([v] if v else []) + rules[i + 1 :] for v in variants]
+        possible, kept = sum(map(len, candidates.values())), list(rules)
+        for rule in rules:
+            rest = [r for r in kept if r != rule]
+            others = df.where(~covers(rest))
+            variants = [rule, self._made(others, positive, candidates), self._made(others, positive, candidates, rule)]
+            sets = [rest + ([v] if v else []) for v in variants]
             p, n, each = _tally(df, positive, [covers(s) for s in sets])
             best = min(range(3), key=lambda j: (set_length(sets[j], possible, p, n, *each[j]), j))
-            rules = rules[:i] + [variants[best] or []] + rules[i + 1 :]
-        return [r for r in rules if r]
+            kept = sets[best]
+        return kept
 
     def fit(self, df: DataFrame, label: str, columns: list[str], ident: list[str]) -> Ripper:
         rows = df.where(F.col(label).isNotNull()).select(label, *columns, (F.pmod(F.xxhash64(*ident), F.lit(1000)) < int(1000 * self.prune_ratio)).alias("_prune"))
