@@ -61,3 +61,33 @@ def ks_by_time(df: DataFrame, hue: str, value: str, is_benchmark: str, time: str
 def json_number(text: str, path: str):
     """A number in a JSON text; null for anything else."""
     return F.nullif(F.get_json_object(text, path), F.lit("")).try_cast("double")
+
+
+def parse_features(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys, feature, value): the fields of a JSON object below each other; what isn't a number is null."""
+    fields = F.from_json(column, "map<string,string>")
+    return df.select(*keys, F.explode(fields).alias("feature", "text")).select(*keys, "feature", F.nullif("text", F.lit("")).try_cast("double").alias("value"))
+
+
+def feature_stats_by_time(long: DataFrame, hue: str, is_benchmark: str, time: str) -> DataFrame:
+    """(hue, feature, day, ks, volume, and median, std and mean of the day and of the benchmark) of a table (hue, feature, value, ...).
+
+    Volume counts missing values too. A feature that the benchmark lacks has no ks.
+    """
+    keyed = long.select(F.struct(hue, "feature").alias("k"), F.col("value"), F.col(is_benchmark).alias("b"), F.col(time).alias("day"))
+    ks = ks_by_time(keyed, "k", "value", "b", "day").select("k", "day", F.round("ks", 3).alias("ks"))
+
+    def figures(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        middle = quantiles(value_table(rows, keys), keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias(f"{prefix}_median"))
+        return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_volume"), F.round(F.stddev_samp("value"), 6).alias(f"{prefix}_std"), F.round(F.avg("value"), 6).alias(f"{prefix}_mean")).join(middle, keys, "left")
+
+    days = figures(keyed.where("not b"), ["k", "day"], "day")
+    bench = figures(keyed.where("b"), ["k"], "bench").drop("bench_volume")
+    out = days.join(ks, ["k", "day"], "left").join(bench, "k", "left")
+    return out.select(F.col("k")[hue].alias(hue), F.col("k")["feature"].alias("feature"), "day", "ks", F.col("day_volume").alias("volume"), *(f"{p}_{s}" for p in ("day", "bench") for s in ("median", "std", "mean")))
+
+
+def monitor(df: DataFrame, hue: str, score: str, features: str, is_benchmark: str, time: str, passed: str) -> dict[str, DataFrame]:
+    """The drift of a deployed model: psi of its score, and figures of the features in a JSON column, both by day."""
+    keys = [hue, is_benchmark, time]
+    return {"psi": psi_by_time(df, hue, score, is_benchmark, time, passed), "features": feature_stats_by_time(parse_features(df, features, keys), hue, is_benchmark, time)}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars
-from ledgerlens.operators import curves, evaluate, labels, mdlp, profile, ranks, structure, transform
+from ledgerlens.operators import curves, evaluate, history, labels, mdlp, models, monitor, rules, split, structure, transform
 from ledgerlens.plans.base import register
 from ledgerlens.plans.frames import NUMERIC, events, lines
-from ledgerlens.session import table
+from ledgerlens.plans.frames import history as loans
+from ledgerlens.session import scratch, table
+from ledgerlens.sources import files
 
 L = "l AS (SELECT *, (l_returnflag = 'R')::int AS y, nullif(l_discount, 0.0) AS discount_or_null FROM lineitem)"
 LONG = "long AS (SELECT l_linestatus, y, f AS feature, v AS value FROM l, LATERAL (VALUES ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) t(f, v))"
@@ -264,3 +266,164 @@ def ffm_rows(spark, d):
 def ffm_hashed_rows(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", transform.hashed_tokens(c, ["c_nationkey"], ["c_mktsegment"]).alias("line"))
+
+
+# --- history ---------------------------------------------------------------------------------------------------------
+
+_H = "h AS (SELECT o_orderkey, o_custkey, o_orderdate::date AS created, finish, o_orderdate::date + 30 AS expected FROM orders JOIN (SELECT l_orderkey AS o_orderkey, max(l_shipdate)::date AS finish FROM lineitem GROUP BY 1) USING (o_orderkey))"
+_VALID = "a AS (SELECT o_custkey, max(created) AS applied FROM h GROUP BY 1), v AS (SELECT h.* FROM h JOIN a USING (o_custkey) WHERE finish < applied AND finish <> DATE '1000-01-01')"
+_PLACED = "p AS (SELECT *, (finish - expected)::bigint AS overdue_days, row_number() OVER (PARTITION BY o_custkey ORDER BY finish DESC, o_orderkey) AS place, (coalesce(lag(created) OVER (PARTITION BY o_custkey ORDER BY created DESC, o_orderkey), max(created) OVER (PARTITION BY o_custkey)) - finish)::bigint AS gap_days FROM v)"
+
+
+def _valid(spark, d):
+    h = loans(spark, d)
+    applied = h.groupBy("o_custkey").agg(F.max("created").alias("applied"))
+    return history.valid_history(h.join(applied, "o_custkey"), "applied", "finish")
+
+
+@register(f"WITH {_H}, {_VALID} SELECT o_custkey, o_orderkey, strftime(finish, '%Y-%m-%d') AS finish FROM v")
+def history_valid(spark, d):
+    return _valid(spark, d).select("o_custkey", "o_orderkey", F.date_format("finish", "yyyy-MM-dd").alias("finish"))
+
+
+def _smooth_sql() -> str:
+    out = []
+    for c in ("overdue_days", "gap_days"):
+        for span in (3, None):
+            x, name = (c, f"{c}_all") if span is None else (f"CASE WHEN place <= {span} THEN {c} END", f"{c}_{span}")
+            out += [f"min({x}) AS {name}_min", f"max({x}) AS {name}_max", f"round(avg({x}), 6) AS {name}_mean", f"round(median({x}), 6) AS {name}_median", f"round(stddev_pop({x}), 6) AS {name}_std", f"sum({x}) AS {name}_sum", f"count({x}) AS {name}_len", f"coalesce(max(CASE WHEN place = 1 THEN {c} END), max(CASE WHEN place = 0 THEN {c} END)) AS {name}_latest", f"round(avg(({x} > 0)::int), 6) AS {name}_share_positive", f"count(*) FILTER ({x} > 0) AS {name}_positive"]
+    return ", ".join(out)
+
+
+@register(f"WITH {_H}, {_VALID}, {_PLACED}, m AS (SELECT median(overdue_days)::double AS o, median(gap_days)::double AS g FROM p), u AS (SELECT o_custkey, place, overdue_days::double AS overdue_days, gap_days::double AS gap_days FROM p UNION ALL SELECT DISTINCT c_custkey, 0, o, g FROM customer, m) SELECT o_custkey, {_smooth_sql()} FROM u GROUP BY 1")
+def history_smooth(spark, d):
+    ranked = history.ranked_history(_valid(spark, d), "o_custkey", "created", "finish", "expected", "o_orderkey")
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return history.HistoryFeatures("o_custkey").fit(ranked).transform(ranked, keys, clocks=False)
+
+
+@register("WITH s AS (SELECT user_id, event_type, ts, event_id FROM events), d AS (SELECT user_id, event_type, ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))) // 1000000) / 3600 AS d FROM s), w AS (SELECT user_id, ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 1000000) / 3600 AS d FROM s), t AS (SELECT user_id, min(d) AS all_least, round(avg(d), 6) AS all_mean, sum(d) AS all_total, count(*)::double AS all_len FROM w GROUP BY 1), h AS (SELECT user_id, event_type, min(d) AS least, round(avg(d), 6) AS mean, count(*)::double AS len FROM d GROUP BY 1, 2), p AS (SELECT user_id, max(least) FILTER (event_type = 'purchase') AS a, max(mean) FILTER (event_type = 'purchase') AS b, max(len) FILTER (event_type = 'purchase') AS c FROM h GROUP BY 1) SELECT user_id, round(coalesce(all_least, avg(all_least) OVER ()), 4) AS all_least, round(coalesce(all_mean, avg(all_mean) OVER ()), 4) AS all_mean, round(coalesce(all_total, avg(all_total) OVER ()), 4) AS all_total, round(all_len, 4) AS all_len, round(coalesce(a, avg(a) OVER ()), 4) AS purchase_least, round(coalesce(b, avg(b) OVER ()), 4) AS purchase_mean, round(coalesce(c, avg(c) OVER ()), 4) AS purchase_len FROM t LEFT JOIN p USING (user_id)")
+def span_margins(spark, d):
+    e = table(spark, d, "events")
+    out = history.TimeSpanFeatures("user_id", "ts", "event_type", tie="event_id", unit=3600).fit(e).transform(e)
+    return out.select("user_id", *(F.round(c, 4).alias(c) for c in ("all_least", "all_mean", "all_total", "all_len", "purchase_least", "purchase_mean", "purchase_len")))
+
+
+# --- monitoring ------------------------------------------------------------------------------------------------------
+
+
+@register("SELECT event_id, k AS feature, try_cast(json_extract_string(props, '$.' || k) AS double) AS value FROM events, LATERAL (SELECT unnest(json_keys(props)) AS k) t")
+def json_features(spark, d):
+    return monitor.parse_features(table(spark, d, "events"), "props", ["event_id"])
+
+
+_EV = "e AS (SELECT *, ts::date::varchar AS day, ts < TIMESTAMP '2024-01-11' AS bench FROM events), f AS (SELECT event_type, day, bench, k AS feature, try_cast(json_extract_string(props, '$.' || k) AS double) AS value FROM e, LATERAL (SELECT unnest(json_keys(props)) AS k) t)"
+
+
+@register(f"WITH {_EV}, b AS (SELECT event_type, feature, value, count(*) AS b FROM f WHERE bench AND value IS NOT NULL GROUP BY ALL), a AS (SELECT event_type, feature, day, value, count(*) AS a FROM f WHERE NOT bench AND value IS NOT NULL GROUP BY ALL), u AS (SELECT DISTINCT a.event_type, a.feature, a.day, b.value, 0 AS a, b.b FROM a JOIN b USING (event_type, feature) UNION ALL SELECT event_type, feature, day, value, a, 0 FROM a), m AS (SELECT event_type, feature, day, value, sum(a) AS a, sum(b) AS b FROM u GROUP BY ALL), r AS (SELECT event_type, feature, day, abs(sum(a) OVER w / sum(a) OVER z - sum(b) OVER w / sum(b) OVER z) AS g FROM m WINDOW w AS (PARTITION BY event_type, feature, day ORDER BY value), z AS (PARTITION BY event_type, feature, day)), k AS (SELECT event_type, feature, day, round(round(max(g), 6), 3) AS ks FROM r GROUP BY ALL), t AS (SELECT event_type, feature, day, count(*) AS volume, round(median(value), 6) AS day_median, round(stddev_samp(value), 6) AS day_std, round(avg(value), 6) AS day_mean FROM f WHERE NOT bench GROUP BY ALL), s AS (SELECT event_type, feature, round(median(value), 6) AS bench_median, round(stddev_samp(value), 6) AS bench_std, round(avg(value), 6) AS bench_mean FROM f WHERE bench GROUP BY ALL) SELECT event_type, feature, day, ks, volume, day_median, day_std, day_mean, bench_median, bench_std, bench_mean FROM t LEFT JOIN k USING (event_type, feature, day) LEFT JOIN s USING (event_type, feature)")
+def json_feature_stats(spark, d):
+    return monitor.monitor(events(spark, d), "event_type", "value", "props", "bench", "day", "passed")["features"]
+
+
+# --- rows of sets, predicates, tables ---------------------------------------------------------------------------------
+
+
+@register("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') r USING (o_orderkey)")
+def orders_without_returns(spark, d):
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(returned, "o_orderkey", "left_anti")
+
+
+@register("SELECT o_orderkey FROM orders SEMI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') r USING (o_orderkey)")
+def orders_with_returns(spark, d):
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(returned, "o_orderkey", "left_semi")
+
+
+@register("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def nations_left_over(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@register("SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_nationkey, NULL FROM supplier")
+def people(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return c.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), allowMissingColumns=True)
+
+
+@register("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'dear' ELSE 'cheap' END AS price, datediff('day', o_orderdate::date, DATE '1998-12-31')::bigint AS age, instr(o_orderpriority, '-')::bigint AS dash FROM orders WHERE o_orderstatus IN ('F', 'O') AND (o_totalprice BETWEEN 1000 AND 50000 OR o_totalprice BETWEEN 100000 AND 200000)")
+def predicate_sql(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("ledger_orders")
+    return spark.sql("SELECT o_orderkey, IF(o_totalprice > 100000, 'dear', 'cheap') AS price, CAST(datediff(DATE'1998-12-31', o_orderdate) AS bigint) AS age, CAST(instr(o_orderpriority, '-') AS bigint) AS dash FROM ledger_orders WHERE o_orderstatus IN ('F', 'O') AND (o_totalprice BETWEEN 1000 AND 50000 OR o_totalprice BETWEEN 100000 AND 200000)")
+
+
+@register("SELECT count(*) AS n, sum((l_returnflag = 'R')::int)::bigint AS events FROM lineitem WHERE NOT (l_quantity >= 30 AND l_discount <= 0.05)")
+def cases_left(spark, d):
+    return rules.remove_cases(lines(spark, d), [[("l_quantity", ">=", 30), ("l_discount", "<=", 0.05)]]).agg(F.count("*").alias("n"), F.sum("y").alias("events"))
+
+
+@register("WITH x AS (SELECT (l_returnflag = 'R')::int::double AS label, l_quantity AS a, l_linenumber AS b FROM lineitem) SELECT label, count(*) AS n, round(sum(a / (a * a + b * b)), 6) AS first_sum, round(sum(b / (a * a + b * b)), 6) AS second_sum FROM x GROUP BY 1")
+def libsvm_read(spark, d):
+    path = scratch(spark, "libsvm")
+    x = lines(spark, d).select(files.libsvm_line(F.col("y"), [F.col("l_quantity"), F.col("l_linenumber")]).alias("line"))
+    files.write_lines(x, "line", path)
+    back = files.read_libsvm(spark, path)
+    return back.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("values")[0]), 6).alias("first_sum"), F.round(F.sum(F.col("values")[1]), 6).alias("second_sum"))
+
+
+@register("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def delimited_round_trip(spark, d):
+    c, path = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch(spark, "delimited")
+    files.write_delimited(c, path)
+    return files.cached_copy(spark, path, c.schema, f"{path}-copy")
+
+
+# --- splits and models -----------------------------------------------------------------------------------------------
+
+
+@register("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '-7'), o_orderkey) <= ceil(count(*) OVER () * 0.2) AS is_test FROM orders) SELECT o_orderkey, is_test FROM r")
+def random_split(spark, d):
+    return split.random_split(table(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", "is_test")
+
+
+@register("WITH x AS (SELECT o_orderkey, o_orderstatus AS s, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), t AS (SELECT s, n FROM x GROUP BY 1, 2), m AS (SELECT s FROM t ORDER BY n DESC, s LIMIT 1), k AS (SELECT greatest(1, round_even((SELECT n FROM t WHERE s = (SELECT s FROM m)) / (SELECT avg(n) FROM t WHERE s <> (SELECT s FROM m)) / 0.5, 0))::bigint AS k) SELECT o_orderkey, CASE WHEN s = (SELECT s FROM m) THEN (row_number() OVER (PARTITION BY s ORDER BY md5(o_orderkey || '-7'), o_orderkey) - 1) % (SELECT k FROM k) ELSE -1 END AS chunk FROM x")
+def imbalance_chunks(spark, d):
+    return models.imbalance_chunks(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"], 0.5)[0].select("o_orderkey", F.coalesce("chunk", F.lit(-1)).cast("long").alias("chunk"))
+
+
+def _frame(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", *NUMERIC, (F.col("l_extendedprice") * F.col("l_quantity") > 1_000_000).cast("int").alias("big"))
+
+
+_IDS = ["l_orderkey", "l_linenumber"]
+
+
+@register()
+def train_service(spark, d):
+    """Split, encoded, cross-validated and refitted by one configuration; figures of the refit and of the folds."""
+    service = models.TrainService({"label": "big", "ident": _IDS, "features": ["l_quantity", "l_discount", "l_tax"], "transform": {"few": 5}, "model": {"kind": "lr"}, "folds": 5})
+    made = service.fit(_frame(spark, d))
+    return made["figures"].union(made["summary"].where("metric = 'auc'").select(F.concat(F.lit("mean of "), "part"), "mean", "std"))
+
+
+@register()
+def model_cost(spark, d):
+    """The same model on subsets of columns, by training and test rows."""
+    marked = split.random_split(_frame(spark, d), _IDS)
+    return models.compare_columns(marked.where("not is_test"), marked.where("is_test"), "big", {"quantity": ["l_quantity"], "both": ["l_quantity", "l_extendedprice"], "taxes": ["l_tax", "l_discount"]})
+
+
+@register()
+def imbalance_cv(spark, d):
+    """Averaged out-of-fold scores of models on chunks of the commoner class, by decile of the score."""
+    x = _frame(spark, d)
+    found = models.imbalance_scores(x, ["l_quantity", "l_extendedprice"], "big", _IDS, folds=3)
+    return models.figures(found, "big", rows="all")
+
+
+@register()
+def fm_fit(spark, d):
+    """A factorisation machine on two factors of a product, by training and test rows."""
+    marked = split.random_split(_frame(spark, d), _IDS)
+    model = models.fitted(marked.where("not is_test"), ["l_quantity", "l_extendedprice", "l_tax"], "big", "fm", factorSize=4, stepSize=0.05, seed=7)
+    return models.figures(models.scored(model, marked.where("is_test")), "big", part="test")

@@ -436,12 +436,12 @@ def _model_frame(spark, d):
 
 @register()
 def lr_cv(spark, d):
-    return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "lr", maxIter=5)
+    return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "lr")
 
 
 @register()
 def gbt_cv(spark, d):
-    return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "gbt", folds=2, maxIter=3, maxDepth=3, seed=7)
+    return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "gbt", stop_early=True, maxIter=20, maxDepth=5, seed=7)
 
 
 from ledgerlens.plans import extended  # noqa: E402  registers the rest

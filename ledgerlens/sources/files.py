@@ -1,10 +1,10 @@
-"""Delimited text tables without header, the way Hive writes them, and libSVM rows."""
+"""Tables and files: delimited text the way Hive writes it, cached copies, uploads, libSVM and libFFM rows, records and reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructType
 
 
 def clean_text(df: DataFrame, separator: str = "\x01") -> DataFrame:
@@ -34,6 +34,74 @@ def numeric_where_possible(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in texts if not bad[c]})
 
 
+def table_columns(spark: SparkSession, name: str) -> list[str]:
+    """The columns of a table of the catalogue; its name may be in any case."""
+    return spark.table(name.lower()).columns
+
+
+def hive_type(kind: DataType) -> str:
+    """bigint, double, boolean or string."""
+    for types, name in ((IntegralType, "bigint"), (FractionalType, "double"), (BooleanType, "boolean")):
+        if isinstance(kind, types):
+            return name
+    return "string"
+
+
+def hive_schema(df: DataFrame) -> str:
+    """Columns and types of a frame for a CREATE TABLE."""
+    return ", ".join(f"`{f.name}` {hive_type(f.dataType)}" for f in df.schema)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def cached_copy(spark: SparkSession, source: str, schema: StructType | str, copy: str, overwrite: bool = False, separator: str = "\x01") -> DataFrame:
+    """A delimited table as parquet at ``copy``, read from there if it has been made before."""
+    if overwrite or not _there(spark, f"{copy}/_SUCCESS"):
+        read_delimited(spark, source, schema, separator).write.mode("overwrite").parquet(copy)
+    return spark.read.parquet(copy)
+
+
+def create_table(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """Makes a table anew from a query, and reads it."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet AS {query}")
+    return spark.table(name)
+
+
+def first_rows(spark: SparkSession, paths: list[str], most: int = 10_000) -> DataFrame:
+    """At most so many rows over all files."""
+    return spark.read.parquet(*paths).limit(most)
+
+
+def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows as JSON objects, one a line."""
+    df.write.mode(mode).json(path)
+
+
+def write_report(df: DataFrame, path: str, name: str) -> None:
+    """A table of figures below ``path``, under its name, replacing an earlier one."""
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """One text column as text without header: libSVM or libFFM rows."""
+    df.select(column).write.mode("overwrite").text(path)
+
+
+def read_libsvm(spark: SparkSession, path: str, scaled: bool = True) -> DataFrame:
+    """(label, indices, values) of `y i:v ...` lines; values are divided by their sum of squares if ``scaled``."""
+    parts = F.split(F.trim("value"), " +")
+    tokens = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda t: t.contains(":")), lambda t: F.split(t, ":"))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).cast("double").alias("label"), F.transform(tokens, lambda t: t[0].cast("long")).alias("indices"), F.transform(tokens, lambda t: t[1].cast("double")).alias("values"))
+    if not scaled:
+        return rows
+    norm = F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v)
+    return rows.withColumn("_norm", norm).withColumn("values", F.transform("values", lambda v: F.when(F.col("_norm") == 0, v).otherwise(v / F.col("_norm")))).drop("_norm")
+
+
 def libsvm_line(label: Column, values: list[Column]) -> Column:
     """`y 1:v 2:v ...` without zeros and nulls."""
     parts = [F.when(v.isNotNull() & (v != 0), F.concat(F.lit(f"{i}:"), v.cast("string"))) for i, v in enumerate(values, 1)]
