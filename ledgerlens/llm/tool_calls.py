@@ -83,16 +83,15 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """
     known = F.col("call_id").isNotNull()
     count, none = F.count("*").alias("n"), F.lit(0).cast("long")
-    some_calls = calls.where(known).groupBy("call_id", *_CALL).agg(count)
-    some_results = results.where(known).groupBy("call_id", "content").agg(count)
-    one_call = some_calls.groupBy("call_id").agg(F.min(F.struct(*_CALL)).alias("c"), F.sum("n").alias("n_calls"), F.count("*").alias("kinds"))
-    one_result = some_results.groupBy("call_id").agg(F.min("content").alias("result"), F.sum("n").alias("n_results"), F.count("*").alias("kinds"))
+    one_call = calls.where(known).groupBy("call_id").agg(F.min(F.struct(*_CALL)).alias("c"), F.count("*").alias("n_calls"))
+    one_result = results.where(known).groupBy("call_id").agg(F.min("content").alias("result"), F.count("*").alias("n_results"))
     status = F.when(F.col("n_results").isNull(), "unanswered").when(F.col("n_calls").isNull(), "orphan").otherwise("linked")
-    linked = one_call.drop("kinds").join(one_result.drop("kinds"), "call_id", "full").select("call_id", "c.*", "result", F.coalesce("n_calls", none).alias("n_calls"), F.coalesce("n_results", none).alias("n_results"), status.alias("status"))
-    more_calls = some_calls.join(one_call.where("kinds > 1").select("call_id", "c"), "call_id").where(~F.struct(*_CALL).eqNullSafe(F.col("c")))
+    linked = one_call.join(one_result, "call_id", "full").select("call_id", "c.*", "result", F.coalesce("n_calls", none).alias("n_calls"), F.coalesce("n_results", none).alias("n_results"), status.alias("status"))
+    # Only rows of repeated identifiers are gone over again.
+    more_calls = calls.join(one_call.where("n_calls > 1").select("call_id", "c"), "call_id").where(~F.struct(*_CALL).eqNullSafe(F.col("c"))).groupBy("call_id", *_CALL).agg(count)
     more_calls = more_calls.select("call_id", *_CALL, F.lit(None).cast("string").alias("result"), F.col("n").alias("n_calls"), none.alias("n_results"), F.lit("repeated_call").alias("status"))
-    # A null content is one kind beside the least, which is never null.
-    more_results = some_results.join(one_result.where("kinds > 1").select("call_id", F.col("result").alias("least")), "call_id").where(~F.col("content").eqNullSafe(F.col("least")))
+    # The least content is null only where there is no other.
+    more_results = results.join(one_result.where("n_results > 1").select("call_id", F.col("result").alias("least")), "call_id").where(~F.col("content").eqNullSafe(F.col("least"))).groupBy("call_id", "content").agg(count)
     more_results = more_results.select("call_id", F.col("content").alias("result"), none.alias("n_calls"), F.col("n").alias("n_results"), F.lit("repeated_result").alias("status"))
     lost = calls.where(~known).select("call_id", *_CALL, F.lit(None).cast("string").alias("result"), F.lit(1).cast("long").alias("n_calls"), none.alias("n_results"), F.lit("unidentified").alias("status"))
     lost_results = results.where(~known).select("call_id", F.col("content").alias("result"), none.alias("n_calls"), F.lit(1).cast("long").alias("n_results"), F.lit("unidentified").alias("status"))
