@@ -109,9 +109,11 @@ def mdlp_cuts(df: DataFrame, features: list[str], label: str, most_levels: int =
     """(feature, cut): entropy-minimising cuts that the description length accepts, for a label of few values."""
     rows = long_form(df, features, "double", [label]).where(F.col("value").isNotNull() & F.col(label).isNotNull())
     kinds = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "feature string, cut double")
     names = [f"c{i}" for i in range(len(kinds))]
     counts = rows.groupBy("feature", "value").agg(*(F.count_if(F.col(label) == v).alias(c) for c, v in zip(names, kinds, strict=True)))
-    cuts = grow(counts, ["feature"], names, _entropy, worth_its_length, most_levels) if kinds else {}
+    cuts = grow(counts, ["feature"], names, _entropy, worth_its_length, most_levels)
     return df.sparkSession.createDataFrame([(k[0], c) for k, v in cuts.items() for c in v], "feature string, cut double")
 
 

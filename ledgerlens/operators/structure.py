@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DateType, DayTimeIntervalType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DateType, DayTimeIntervalType, DoubleType, FloatType, TimestampNTZType, TimestampType
 
 from ledgerlens.functions.scalars import epoch_nanoseconds, is_finite, is_infinite, kind_of
 from ledgerlens.operators.ranks import quantiles
@@ -20,7 +20,7 @@ def as_number(column: Column, kind) -> Column:
     if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
         return epoch_nanoseconds(column).cast("double")
     if isinstance(kind, DayTimeIntervalType):
-        return (F.expr("interval '1' second") * 0 + column).cast("long").cast("double") * 1e9
+        return F.extract(F.lit("DAY"), column) * 86_400e9 + F.extract(F.lit("HOUR"), column) * 3_600e9 + F.extract(F.lit("MINUTE"), column) * 60e9 + F.extract(F.lit("SECOND"), column).cast("double") * 1e9
     return column.cast("double")
 
 
@@ -55,17 +55,23 @@ def _counts(df: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("feature").agg(F.count(some).alias("num_non_missing"), F.count_if(F.col("size") == 0).alias("num_missing"), F.min(some).cast("long").alias("min_num_values"), F.max(some).cast("long").alias("max_num_values"), F.round(F.avg(some), 6).alias("avg_num_values"), F.coalesce(F.sum(some), F.lit(0)).alias("tot_num_values"))
 
 
-def numeric_profile(df: DataFrame, names: list[str]) -> DataFrame:
+def numeric_profile(df: DataFrame, names: list[str], nan_is_missing: bool = False) -> DataFrame:
     """Common counts, and mean, std (of all), zeros, least, median, greatest, NaN and infinities of numeric features, with both histograms.
 
-    Statistics leave NaN out; buckets are of equal width over finite values,
+    Statistics leave NaN out, as missing values or as values of their own;
+    buckets are of equal width over finite values, or from 0 to 1 without any,
     and infinities are counted in the first and the last.
     """
+    if nan_is_missing:
+        df = df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names if isinstance(df.schema[n].dataType, (DoubleType, FloatType))})
     v, rows = F.col("value"), flattened(df, names, False).where("value is not null")
     fine, known = F.when(is_finite(v), v), F.when(~F.isnan(v), v)
     stats = rows.groupBy("feature").agg(F.round(F.avg(known), 6).alias("mean"), F.round(F.stddev_pop(known), 6).alias("std_dev"), F.count_if(v == 0).alias("num_zeros"), F.min(known).alias("min"), F.max(known).alias("max"), F.count_if(F.isnan(v)).alias("num_nan"), F.count_if(is_infinite(v, 1)).alias("num_posinf"), F.count_if(is_infinite(v, -1)).alias("num_neginf"), F.min(fine).alias("_a"), F.max(fine).alias("_b"))
     same = F.col("_a") == F.col("_b")
-    ends = stats.select("feature", F.when(same, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"), F.when(same, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_hi"))
+    endless = F.col("num_posinf") + F.col("num_neginf") > 0
+    low = F.when(same, F.col("_a") - 0.5).when(F.col("_a").isNull() & endless, 0.0).otherwise(F.col("_a"))
+    high = F.when(same, F.col("_b") + 0.5).when(F.col("_b").isNull() & endless, 1.0).otherwise(F.col("_b"))
+    ends = stats.select("feature", low.alias("_lo"), high.alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / BUCKETS
     at = F.when(is_infinite(v, -1), 0).when(is_infinite(v, 1), BUCKETS - 1).otherwise(F.least(F.lit(BUCKETS - 1), F.floor((v - F.col("_lo")) / width))).cast("int")
     filled = rows.where(~F.isnan("value")).join(F.broadcast(ends), "feature").groupBy("feature", at.alias("at")).agg(F.count("*").alias("n")).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("_m"))
