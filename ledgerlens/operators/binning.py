@@ -36,40 +36,6 @@ def assign(long: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return long.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"))).drop("edges")
 
 
-def tree_edges(counts: DataFrame, max_depth: int = 4, least_share: float = 0.05) -> list[float]:
-    """Cut points of a one-feature Gini tree on a table of (value, n, pos).
-
-    Each level is one job: running sums within nodes give the gain of every
-    midpoint, and the best of each node that leaves ``least_share`` of all rows
-    on both sides is kept. Only cut points reach the driver.
-    """
-    from pyspark.sql import Window
-
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = -(-least_share * total // 1)
-    cuts: list[float] = []
-    open_nodes = None
-    for _ in range(max_depth):
-        edges = F.array(*(F.lit(c) for c in sorted(cuts))) if cuts else F.expr("array()").cast("array<double>")
-        node = counts.withColumn("node", bin_of(F.col("value"), edges))
-        if open_nodes is not None:
-            node = node.where(F.col("node").isin(*open_nodes))
-        w = Window.partitionBy("node").orderBy("value")
-        whole = Window.partitionBy("node")
-        run = node.select("node", "value", F.lead("value").over(w).alias("after"), F.sum("n").over(w).alias("n1"), F.sum("pos").over(w).alias("p1"), F.sum("n").over(whole).alias("n0"), F.sum("pos").over(whole).alias("p0"))
-        impurity = lambda p, n: 2 * p * (n - p) / n
-        n2, p2 = F.col("n0") - F.col("n1"), F.col("p0") - F.col("p1")
-        gain = impurity(F.col("p0"), F.col("n0")) - impurity(F.col("p1"), F.col("n1")) - impurity(p2, n2)
-        fit = run.where(F.col("after").isNotNull() & (F.col("n1") >= least) & (n2 >= least)).select("node", ((F.col("value") + F.col("after")) / 2).alias("cut"), gain.alias("gain"))
-        best = fit.where("gain > 1e-12").groupBy("node").agg(F.max_by("cut", F.struct("gain", -F.col("cut"))).alias("cut")).collect()
-        if not best:
-            break
-        new = sorted(r["cut"] for r in best)
-        cuts = sorted({*cuts, *new})
-        open_nodes = sorted({i + d for c in new for i in [cuts.index(c)] for d in (0, 1)})
-    return cuts
-
-
 def greedy_groups(counts: DataFrame, least: int) -> DataFrame:
     """(grp, low, high, n): values in order, merged until a group has ``least`` rows. ``counts`` is (value, n).
 

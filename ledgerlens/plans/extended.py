@@ -129,7 +129,50 @@ def label_entropy(spark, d):
 # --- supervised cuts -------------------------------------------------------------------------------------------------
 
 
-@register()
+
+def _grown(keys: str, levels: int, impurity: str, least: str, accept: str = "true") -> str:
+    """SQL of trees over a table counts (keys, value, pos, neg), level by level; the last, ``grown``, has (keys, cuts).
+
+    ``impurity`` is a format of p and q, class counts of a node.
+    """
+    side = lambda p, q: impurity.format(p=p, q=q)
+    fall = f"round({side('p', 'q')} - {side('p1', 'q1')} - {side('(p - p1)', '(q - q1)')}, 9)"
+    out = [f"t AS (SELECT {keys}, {least} AS least FROM counts GROUP BY ALL)", f"k0 AS (SELECT DISTINCT {keys}, []::double[] AS cuts FROM counts)"]
+    for i in range(1, levels + 1):
+        out += [
+            f"m{i} AS (SELECT c.*, least, len(list_filter(cuts, lambda z: z < value)) AS node FROM counts c JOIN k{i - 1} USING ({keys}) JOIN t USING ({keys}))",
+            f"r{i} AS (SELECT *, sum(pos) OVER w AS p1, sum(neg) OVER w AS q1, sum(pos) OVER f AS p, sum(neg) OVER f AS q, lead(value) OVER w AS nxt FROM m{i} WINDOW w AS (PARTITION BY {keys}, node ORDER BY value), f AS (PARTITION BY {keys}, node))",
+            f"b{i} AS (SELECT * FROM (SELECT *, {fall} AS fall FROM r{i} WHERE nxt IS NOT NULL AND p1 + q1 >= least AND p + q - p1 - q1 >= least) QUALIFY row_number() OVER (PARTITION BY {keys}, node ORDER BY fall DESC, value) = 1)",
+            f"k{i} AS (SELECT {keys}, list_sort(list_concat(any_value(k.cuts), coalesce(list((value + nxt) / 2) FILTER (fall > 1e-9 AND {accept}), []))) AS cuts FROM k{i - 1} k LEFT JOIN b{i} USING ({keys}) GROUP BY {keys})",
+        ]
+    return ", ".join(out) + f", grown AS (SELECT * FROM k{levels})"
+
+
+_GINI = "CASE WHEN {p} + {q} > 0 THEN {p} + {q} - ({p} * {p} + {q} * {q}) / ({p} + {q}) ELSE 0 END"
+_XLNX = "(CASE WHEN {0} > 0 THEN {0} * ln({0}) ELSE 0.0 END)"
+
+
+def _entropy_sql(p: str, q: str) -> str:
+    """Entropy times rows."""
+    return f"({_XLNX.format(f'({p} + {q})')} - {_XLNX.format(p)} - {_XLNX.format(q)})"
+
+
+_ENTROPY = _entropy_sql("{p}", "{q}")
+_KINDS = "(({0} > 0)::int + ({1} > 0)::int)"
+_WORTH = "((fall / (p + q)) >= (ln(p + q - 1) + ln(pow(3, {k}) - 2) - ({k} * {e} - {k1} * {e1} - {k2} * {e2})) / (p + q))".format(
+    k=_KINDS.format("p", "q"), k1=_KINDS.format("p1", "q1"), k2=_KINDS.format("(p - p1)", "(q - q1)"),
+    e=f"{_entropy_sql('p', 'q')} / (p + q)", e1=f"{_entropy_sql('p1', 'q1')} / (p1 + q1)", e2=f"{_entropy_sql('(p - p1)', '(q - q1)')} / (p + q - p1 - q1)",
+)
+
+
+@register(f"WITH counts AS (SELECT 1 AS z, l_quantity AS value, sum((l_returnflag = 'R')::int)::double AS pos, sum((l_returnflag <> 'R')::int)::double AS neg FROM lineitem GROUP BY 2), {_grown('z', 4, _GINI, 'ceil(0.05 * sum(pos + neg))')} SELECT (i - 1)::bigint AS i, cuts[i] AS cut FROM grown, range(1, 100) r(i) WHERE i <= len(cuts)")
+def dt_cut_points(spark, d):
+    counts = evaluate.value_counts(lines(spark, d), ["l_quantity"], "y").select("value", "pos", "neg")
+    cuts = mdlp.gini_cuts(counts, [], max_depth=4).get((), [])
+    return spark.createDataFrame(list(enumerate(cuts)), "i long, cut double")
+
+
+@register(f"WITH x AS (SELECT f AS feature, v AS value, (l_quantity > 25)::int AS y FROM lineitem, LATERAL (VALUES ('l_quantity', l_quantity), ('l_tax', l_tax), ('l_extendedprice', l_extendedprice)) t(f, v)), counts AS (SELECT feature, value, sum(y)::double AS pos, (count(*) - sum(y))::double AS neg FROM x GROUP BY 1, 2), {_grown('feature', 6, _ENTROPY, '1', _WORTH)} SELECT feature, cut FROM (SELECT feature, unnest(cuts) AS cut FROM grown)")
 def mdlp_cut_points(spark, d):
     return mdlp.mdlp_cuts(lines(spark, d).withColumn("big", (F.col("l_quantity") > 25).cast("int")), ["l_quantity", "l_tax", "l_extendedprice"], "big")
 
@@ -139,9 +182,12 @@ def percentile_five_bins(spark, d):
     return mdlp.fifths(lines(spark, d), ["l_quantity", "l_tax"]).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
 
 
-@register()
+_AREA = "greatest(a, 1 - a)"
+
+
+@register(f"WITH {L}, o AS (SELECT *, (count(*) OVER (PARTITION BY y ORDER BY md5(l_orderkey || '-' || l_linenumber || '-7'), l_orderkey, l_linenumber) - 1) % 5 AS fold FROM l), x AS (SELECT fold, y, f AS feature, v AS value FROM o, LATERAL (VALUES ('l_quantity', l_quantity), ('l_discount', l_discount), ('l_tax', l_tax)) t(f, v)), counts AS (SELECT feature, r.k AS out, value, sum(y)::double AS pos, (count(*) - sum(y))::double AS neg FROM x JOIN range(5) r(k) ON r.k <> fold GROUP BY 1, 2, 3), {_grown('feature, out', 5, _GINI, 'ceil(0.05 * sum(pos + neg))')}, rates AS (SELECT feature, out, len(list_filter(cuts, lambda z: z < value)) AS leaf, sum(pos) / sum(pos + neg) AS rate FROM counts JOIN grown USING (feature, out) GROUP BY ALL), s AS (SELECT x.feature, rate, y FROM x JOIN grown g ON g.feature = x.feature AND g.out = x.fold JOIN rates r ON r.feature = x.feature AND r.out = x.fold AND r.leaf = len(list_filter(g.cuts, lambda z: z < x.value))), scores AS (SELECT 'tree' AS which, feature, rate AS v, sum(y)::double AS p, (count(*) - sum(y))::double AS q FROM s GROUP BY 1, 2, 3 UNION ALL SELECT 'raw', feature, value, sum(y), count(*) - sum(y) FROM x GROUP BY 1, 2, 3), c AS (SELECT *, sum(q) OVER (PARTITION BY which, feature ORDER BY v) AS cq FROM scores), a AS (SELECT which, feature, sum(p * (cq - q / 2)) / (sum(p) * sum(q)) AS a FROM c GROUP BY 1, 2) SELECT feature, max(round({_AREA}, 6)) FILTER (which = 'raw') AS raw, max(round({_AREA}, 6)) FILTER (which = 'tree') AS tree, max(round({_AREA}, 6)) AS auc FROM a GROUP BY 1")
 def tree_auc(spark, d):
-    return mdlp.tree_auc(lines(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"])
+    return mdlp.tree_auc(lines(spark, d), ["l_quantity", "l_discount", "l_tax"], "y", ["l_orderkey", "l_linenumber"])
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------

@@ -152,14 +152,18 @@ def bin_assign(spark, d):
     return binning.assign(long, binning.edges_of(long, ["feature"]), ["feature"]).groupBy("feature", "bin").agg(F.count("*").alias("n"))
 
 
-@register()
-def dt_cut_points(spark, d):
-    counts = evaluate.value_counts(lines(spark, d), ["l_quantity"], "y").select("value", (F.col("pos") + F.col("neg")).alias("n"), "pos").cache()
-    cuts = binning.tree_edges(counts)
-    return counts.select(F.posexplode(F.array(*(F.lit(c) for c in cuts)) if cuts else F.expr("array()").cast("array<double>")).alias("i", "cut")).distinct()
-
-
-@register()
+@register("""
+WITH RECURSIVE v AS (SELECT l_quantity AS value, count(*)::bigint AS n, row_number() OVER (ORDER BY l_quantity) AS i FROM lineitem GROUP BY 1),
+tries AS (SELECT b, CASE b WHEN 11 THEN ceil(t / 11) + 1 ELSE ceil(t / b) END AS least FROM range(10, 120) r(b), (SELECT sum(n) AS t FROM v)),
+fold AS (
+  SELECT b, least, i, value, n AS held, 0 AS grp, n >= least AS closed FROM tries, v WHERE i = 1
+  UNION ALL
+  SELECT f.b, f.least, v.i, v.value, CASE WHEN f.closed THEN v.n ELSE f.held + v.n END, CASE WHEN f.closed THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.closed THEN v.n ELSE f.held + v.n END >= f.least
+  FROM fold f JOIN v ON v.i = f.i + 1),
+sizes AS (SELECT b, max(grp) + 1 AS k FROM fold GROUP BY 1),
+chosen AS (SELECT coalesce((SELECT max(b) FROM sizes WHERE b > 10 AND b < coalesce((SELECT min(b) FROM sizes WHERE b > 10 AND k > 10), 1000)), 10) AS b)
+SELECT grp::bigint AS grp, min(value) AS low, max(value) AS high, max(held)::bigint AS n FROM fold WHERE b = (SELECT b FROM chosen) GROUP BY 1
+""")
 def optimal_split(spark, d):
     counts = lines(spark, d).groupBy(F.col("l_quantity").cast("double").alias("value")).agg(F.count("*").alias("n"))
     return binning.optimal_groups(counts)

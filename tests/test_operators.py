@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import md5_bucket
-from ledgerlens.operators import binning, evaluate, monitor, profile, rules
+from ledgerlens.operators import binning, evaluate, mdlp, monitor, profile, rules
 from ledgerlens.sources import files
 
 
@@ -18,8 +18,8 @@ def test_right_closed_bins_and_null(spark):
 
 
 def test_tree_edges_separate_classes(spark):
-    counts = spark.createDataFrame([(float(i), 10, 10 if i > 5 else 0) for i in range(10)], "value double, n long, pos long")
-    assert binning.tree_edges(counts) == [5.5]
+    counts = spark.createDataFrame([(float(i), 10 if i > 5 else 0, 0 if i > 5 else 10) for i in range(10)], "value double, pos long, neg long")
+    assert mdlp.gini_cuts(counts, []) == {(): [5.5]}
 
 
 def test_greedy_groups(spark):
