@@ -46,18 +46,25 @@ class BytePairs:
     def __init__(self, path: str | None = None, ordinary: bool = False):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = path or default_path()
-        with open(path, encoding="utf-8") as f:
+        self._path, self._ordinary, self._made = path or default_path(), ordinary, None
+        with open(self._path, encoding="utf-8") as f:
             file = json.load(f)
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items()}
         self._encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = ordinary
         self._special = [] if ordinary else [t["content"] for t in file.get("added_tokens", [])]
 
+    @property
+    def _whole(self):
+        """The ``tokenizers`` of the file, made where a text first needs it."""
+        if self._made is None:
+            from tokenizers import Tokenizer
+
+            self._made = Tokenizer.from_file(self._path)
+            self._made.encode_special_tokens = self._ordinary
+        return self._made
+
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self._special) or len(text) >= LONG_RUN and _long_run.search(text):
             found = self._whole.encode(text, add_special_tokens=False).ids
