@@ -21,6 +21,8 @@ RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most windows, and item ids in them, that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 300_000
+#: Most contaminated texts, named by two longs, that are broadcast.
+BROADCAST_TEXTS = 100_000
 
 
 def lowered(text: Column) -> Column:
@@ -131,7 +133,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Data
     Rows with null, empty or wordless texts stay; copies share their verdict.
     """
     keyed = docs.select(*_text_key(F.col("text")), "text")
-    bad = _hits(keyed, ["_key1", "_key2"], benchmark, n, keep_all=False).select("_key1", "_key2").distinct()
+    # Written first, so that documents are shuffled only where many texts go.
+    bad, seen = measured(_hits(keyed, ["_key1", "_key2"], benchmark, n, keep_all=False).select("_key1", "_key2").distinct(), "contaminated", n=F.count(F.lit(1)))
+    bad = F.broadcast(bad) if seen["n"] <= BROADCAST_TEXTS else bad
     left = docs.select(F.struct("*").alias("_doc"), *_text_key(F.col("text")))
     return left.join(bad, ["_key1", "_key2"], "left_anti").select("_doc.*")
 
