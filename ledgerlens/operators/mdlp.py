@@ -21,6 +21,7 @@ from ledgerlens.operators.evaluate import ks_auc, value_counts
 from ledgerlens.operators.profile import long_form
 from ledgerlens.operators.ranks import quantiles, running, value_table
 from ledgerlens.operators.split import stratified_folds
+from ledgerlens.session import written
 
 Key = tuple
 
@@ -39,7 +40,8 @@ def grow(counts: DataFrame, keys: list[str], classes: list[str], score: Callable
     n, n1, and class counts as lists c and c1. Both sides keep ``least(N)``
     rows, N those of the key.
     """
-    counts = counts.select(*keys, F.col("value").cast("double").alias("value"), *classes)
+    # Gone over once a level.
+    counts = written(counts.select(*keys, F.col("value").cast("double").alias("value"), *classes), "tree-counts")
     size = reduce(add, (F.col(c) for c in classes))
     totals = {tuple(r[:-1]): r[-1] for r in counts.groupBy(*keys).agg(F.sum(size)).collect()}
     floor = {k: float(least(n)) for k, n in totals.items()}
@@ -142,7 +144,7 @@ def tree_auc(df: DataFrame, features: list[str], label: str, ident: list[str], f
     grow together, a job a level; leaves score by their training event rate.
     """
     dealt = stratified_folds(df.where(F.col(label).isNotNull()).select(*ident, label, *features), label, ident, folds)
-    counts = value_counts(dealt, features, label, ["fold"])
+    counts = written(value_counts(dealt, features, label, ["fold"]), "fold-counts")
     others = counts.join(F.broadcast(df.sparkSession.range(folds).select(F.col("id").alias("out"))), F.col("fold") != F.col("out"))
     training = others.groupBy("feature", "out", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cuts = _cut_table(training, ["feature", "out"], gini_cuts(training, ["feature", "out"], max_depth, least_share))

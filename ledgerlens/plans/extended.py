@@ -11,6 +11,7 @@ from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
 from ledgerlens.session import scratch, table
 from ledgerlens.sources import files
+from ledgerlens.streaming.monitor import drained
 
 L = "l AS (SELECT *, (l_returnflag = 'R')::int AS y, nullif(l_discount, 0.0) AS discount_or_null FROM lineitem)"
 LONG = "long AS (SELECT l_linestatus, y, f AS feature, v AS value FROM l, LATERAL (VALUES ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) t(f, v))"
@@ -371,6 +372,14 @@ def json_feature_stats(spark, d):
     return monitor.monitor(events(spark, d), "event_type", "value", "props", "bench", "day", "passed")["features"]
 
 
+@register("WITH e AS (SELECT *, ts < TIMESTAMP '2024-01-11' AS bench FROM events), g AS (SELECT event_type, list_sort(list_distinct(list_concat([0.0], quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])))) AS q FROM e WHERE bench GROUP BY 1) SELECT ts::date::varchar AS day, e.event_type, greatest(len(list_filter(q, lambda x: x < value)), 1)::bigint AS bin, count(*) AS n FROM e JOIN g USING (event_type) GROUP BY 1, 2, 3")
+def drift_stream(spark, d):
+    """Counts by day, type and benchmark bin, by a stream over the events' files."""
+    edges = monitor.psi_edges(events(spark, d).where("bench"), "event_type", "value")
+    # A pattern, since a stream takes a path without one for a folder.
+    return drained(spark, f"{d}/[e]vents.parquet", edges, "event_type", "value", "ts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", F.col("bin").cast("long").alias("bin"), "n")
+
+
 # --- rows of sets, predicates, tables ---------------------------------------------------------------------------------
 
 

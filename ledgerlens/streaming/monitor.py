@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
+from ledgerlens.session import scratch
 
 
 def binned_counts(stream: DataFrame, edges: DataFrame, hue: str, score: str, ts: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -13,3 +14,13 @@ def binned_counts(stream: DataFrame, edges: DataFrame, hue: str, score: str, ts:
     rows = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).join(F.broadcast(edges), hue)
     at = F.greatest(bin_of(F.col(score), F.col("edges")), F.lit(1)).alias("bin")
     return rows.groupBy(F.window("_ts", width).alias("window"), hue, at).agg(F.count("*").alias("n"))
+
+
+def drained(spark: SparkSession, source: str, edges: DataFrame, hue: str, score: str, ts: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
+    """The counts of all files that a folder of parquet holds now, as the stream leaves them in the shared folder."""
+    out, state = scratch(spark, "drift"), scratch(spark, "drift-state")
+    counts = binned_counts(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), edges, hue, score, ts, late, width)
+    counts = counts.select(F.col("window.start").alias("start"), hue, "bin", "n")
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
