@@ -9,11 +9,12 @@ from ledgerlens.functions.stats import bin_of
 from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.evaluate import value_counts
 from ledgerlens.operators.ranks import running
+from ledgerlens.session import written
 
 
 def _counts(df: DataFrame, score: str | Column, label: str) -> DataFrame:
     y, score = F.col(label) > 0, F.col(score) if isinstance(score, str) else score
-    return df.where(score.isNotNull()).groupBy(score.cast("double").alias("score")).agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
+    return written(df.where(score.isNotNull()).groupBy(score.cast("double").alias("score")).agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg")), "scores")
 
 
 def _rounded(a: Column, b: Column) -> Column:
@@ -77,7 +78,7 @@ def first_rows(df: DataFrame, score: str, label: str, order: list[str], shares:
     with a numeric, date or time column.
     """
     y = (F.col(label) > 0).cast("long")
-    counts = df.groupBy(F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("n"), F.sum(y).alias("bad"))
+    counts = written(df.groupBy(F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("n"), F.sum(y).alias("bad")), "scores")
     known = running(counts, [], ["_s"], ["n", "bad"])
     total = df.agg(F.count("*").alias("_total")).scalar()
     grid = shares.select("pct", F.floor(F.col("pct") * total / 100).cast("long").alias("k")).where("k > 0")

@@ -10,13 +10,14 @@ from ledgerlens.functions.stats import bin_of, iv_part, woe
 from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.profile import long_form
 from ledgerlens.operators.ranks import running
+from ledgerlens.session import written
 
 
 def value_counts(df: DataFrame, features: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, feature, value, pos, neg) of non-null values and labels."""
+    """(keys, feature, value, pos, neg) of non-null values and labels; written once, as what reads it does so several times."""
     rows = long_form(df, features, "double", [*(keys or []), label]).where(F.col("value").isNotNull() & F.col(label).isNotNull())
     y = F.col(label) > 0
-    return rows.groupBy(*(keys or []), "feature", "value").agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg"))
+    return written(rows.groupBy(*(keys or []), "feature", "value").agg(F.count(F.when(y, 1)).alias("pos"), F.count(F.when(~y, 1)).alias("neg")), "counts")
 
 
 def woe_table(counts: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
 from ledgerlens.operators.ranks import quantiles, running, value_table
+from ledgerlens.session import written
 
 #: Added to each actual count, and bound of a bin's log ratio (fixed values).
 SMOOTH, LIMIT = 1e-4, 10.0
@@ -49,10 +50,11 @@ def ks_by_time(df: DataFrame, hue: str, value: str, is_benchmark: str, time: str
     and looked up by the days. Between two values of a day its distribution
     stands still, so the distance is greatest at a value or just below one.
     """
-    known = df.where(F.col(value).isNotNull()).select(F.col(hue).alias("hue"), F.col(value).alias("v"), F.col(is_benchmark).alias("b"), F.col(time).alias("day"))
-    bench = running(known.groupBy("hue", "v").agg(F.count_if("b").alias("n")), ["hue"], ["v"], ["n"])
+    known = df.where(F.col(value).isNotNull()).groupBy(F.col(hue).alias("hue"), F.col(value).alias("v"), F.col(is_benchmark).alias("b"), F.when(~F.col(is_benchmark), F.col(time)).alias("day")).agg(F.count("*").alias("n"))
+    known = written(known, "daily-values")
+    bench = running(known.groupBy("hue", "v").agg(F.coalesce(F.sum(F.when(F.col("b"), F.col("n"))), F.lit(0)).alias("n")), ["hue"], ["v"], ["n"])
     bench = bench.select("hue", "v", F.try_divide("cum_n", "all_n").alias("at"), F.try_divide(F.col("cum_n") - F.col("n"), F.col("all_n")).alias("below"))
-    days = running(known.where(~F.col("b")).groupBy("hue", "day", "v").agg(F.count("*").alias("n")), ["hue", "day"], ["v"], ["n"])
+    days = running(known.where(~F.col("b")).select("hue", "day", "v", "n"), ["hue", "day"], ["v"], ["n"])
     met = days.join(bench, ["hue", "v"])
     gap = F.greatest(F.abs(F.col("cum_n") / F.col("all_n") - F.col("at")), F.abs((F.col("cum_n") - F.col("n")) / F.col("all_n") - F.col("below")))
     return met.groupBy("hue", "day").agg(F.round(F.max(gap), 6).alias("ks"), F.sum("n").alias("volume")).withColumnRenamed("hue", hue)

@@ -7,18 +7,24 @@ window sees one part of one group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import written
 
-#: Groups of more rows are cut, into so many parts. The cuts sent to all tasks are at most rows / LARGE groups.
+#: Groups of more rows are cut into parts of about that many, PARTS of them at most. The cuts sent to all tasks are of at most rows / LARGE groups.
 LARGE, PARTS = 50_000, 64
 
 
 def in_parts(df: DataFrame, keys: list[str], by: str, large: int | None = None, parts: int = PARTS) -> DataFrame:
     """``_part``: a number that grows with ``by`` (numeric, date or time) within each group of more than ``large`` rows; else 0."""
-    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")).where(F.col("_n") > (LARGE if large is None else large)).drop("_n")
+    large = LARGE if large is None else large
+    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")).where(F.col("_n") > large)
+    wanted = F.least(F.lit(parts), F.ceil(F.col("_n") / large)).cast("int")
+    cuts = cuts.select(*keys, F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("_cuts", F.floor(i * parts / wanted).cast("int") - 1)).alias("_cuts"))
     if keys:
         on = [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys]
         cuts = cuts.select(*(F.col(k).alias(f"_cut_{k}") for k in keys), "_cuts")
@@ -57,7 +63,9 @@ def quantiles(counts: DataFrame, keys: list[str], shares: list[float], value: st
     place = lambda p: (F.col("all__n") - 1) * F.lit(float(p))
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), place(p).alias("at"), rank(place(p)).cast("long").alias("r"), F.lit(high).alias("high")) for i, p in enumerate(shares) for rank, high in ((F.floor, False), (F.ceil, True))))
     here = F.filter(wanted, lambda x: (x["r"] >= F.col("cum__n") - F.col("_n")) & (x["r"] < F.col("cum__n")))
-    found = run.select(*keys, "_v", "all__n", F.explode(here).alias("w"))
+    # Compiled, so that few rows come to the array functions: a value holds the rank at or just above a place.
+    near = reduce(or_, ((F.floor(place(p)) + 1 >= F.col("cum__n") - F.col("_n")) & (F.floor(place(p)) < F.col("cum__n")) for p in shares))
+    found = run.where(near).select(*keys, "_v", "all__n", F.explode(here).alias("w"))
     pick = lambda high, what: F.max(F.when(F.col("w.high") == high, F.col(what)))
     ends = found.groupBy(*keys, F.col("w.i").alias("i")).agg(pick(False, "_v").alias("a"), pick(True, "_v").alias("b"), F.max("w.at").alias("at"), F.max("all__n").alias("total"))
     q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
@@ -65,8 +73,8 @@ def quantiles(counts: DataFrame, keys: list[str], shares: list[float], value: st
 
 
 def value_table(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """(keys, value, n): how often each value occurs."""
-    return long.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """(keys, value, n): how often each value occurs; written once, as what reads it does so several times."""
+    return written(long.groupBy(*keys, value).agg(F.count("*").alias("n")), "values")
 
 
 def numbered(df: DataFrame, order: list[Column | str], out: str = "number") -> DataFrame:
