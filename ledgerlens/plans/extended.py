@@ -214,6 +214,15 @@ def oriented_sweep(spark, d):
     return curves.oriented_points(lines(spark, d), "l_tax", "y")
 
 
+@register("SELECT column_name AS feature, CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'TIMESTAMP') THEN 'INT' WHEN data_type = 'DOUBLE' THEN 'FLOAT' ELSE 'STRING' END AS kind, column_name IN ('l_extendedprice', 'l_discount', 'l_tax') AS continuous FROM duckdb_columns() WHERE table_name = 'lineitem'")
+def column_kinds(spark, d):
+    """Each column's kind, and whether it is a number with values that aren't whole."""
+    x = table(spark, d, "lineitem")
+    numeric, _ = transform.by_type(x)
+    broken = set(mdlp.continuous_columns(x, numeric))
+    return spark.createDataFrame([(name, kind, name in broken) for name, kind in structure.kinds_of(x).items()], "feature string, kind string, continuous boolean")
+
+
 # --- profiles --------------------------------------------------------------------------------------------------------
 
 _PROFILE = """
