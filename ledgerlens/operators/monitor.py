@@ -15,7 +15,7 @@ SMOOTH, LIMIT = 1e-4, 10.0
 
 def psi_edges(benchmark: DataFrame, hue: str, score: str, bins: int = 10) -> DataFrame:
     """(hue, edges): 0, then the benchmark's quantiles but the last, without repeats. Scores below 0 are refused."""
-    edges = quantiles(value_table(benchmark, [hue], score), [hue], [i / bins for i in range(bins)], score).withColumn("least", F.col("q")[0])
+    edges = quantiles(value_table(benchmark, [hue], score), [hue], [i / bins for i in range(bins)], score, once=True).withColumn("least", F.col("q")[0])
     return edges.select(hue, F.when(F.col("least") >= 0, F.array_distinct(F.concat(F.array(F.lit(0.0)), "q"))).otherwise(F.raise_error(F.lit("scores must not be negative"))).alias("edges"))
 
 

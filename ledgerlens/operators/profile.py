@@ -43,7 +43,7 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, standard deviation, least, quartiles and greatest of numeric columns, and the share missing."""
     v, long = F.col("value"), long_form(df, columns, "double")
     rows = long.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.avg(v.isNull().cast("int")).alias("missing"))
-    rows = rows.join(quantiles(value_table(long, ["feature"]), ["feature"], [0.25, 0.5, 0.75]), "feature", "left")
+    rows = rows.join(quantiles(value_table(long, ["feature"]), ["feature"], [0.25, 0.5, 0.75], once=True), "feature", "left")
     r = lambda c: F.round(c, 6)
     return rows.select("feature", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "least", r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), "greatest", r("missing").alias("missing"))
 
@@ -95,7 +95,7 @@ def histogram(df: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame
 
 def quantile_buckets(df: DataFrame, columns: list[str]) -> DataFrame:
     """Ten buckets between exact deciles."""
-    q = quantiles(value_table(long_form(df, columns, "double"), ["feature"]), ["feature"], [i / 10 for i in range(11)]).withColumnRenamed("total", "n")
+    q = quantiles(value_table(long_form(df, columns, "double"), ["feature"]), ["feature"], [i / 10 for i in range(11)], once=True).withColumnRenamed("total", "n")
     return q.select("feature", "q", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("feature", F.col("i").cast("long").alias("bucket"), F.round(F.get("q", F.col("i")), 6).alias("low"), F.round(F.get("q", F.col("i") + 1), 6).alias("high"), (F.col("n") / 10).alias("sample_count"))
 
 

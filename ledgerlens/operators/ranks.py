@@ -20,52 +20,49 @@ LARGE, PARTS = 50_000, 64
 
 
 def in_parts(df: DataFrame, keys: list[str], by: str, large: int | None = None, parts: int = PARTS) -> DataFrame:
-    """``_part``: a number that grows with ``by`` (numeric, date or time) within each group of more than ``large`` rows; else 0."""
+    """``_group``, the keys as one (nulls are alike), and ``_part``, which grows with ``by`` (numeric, date or time) in a group of more than ``large`` rows; else 0."""
     large = LARGE if large is None else large
-    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")).where(F.col("_n") > large)
+    df = df.withColumn("_group", F.struct(*keys) if keys else F.lit(0))
+    cuts = df.groupBy("_group").agg(F.count("*").alias("_n"), F.percentile_approx(by, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")).where(F.col("_n") > large)
     wanted = F.least(F.lit(parts), F.ceil(F.col("_n") / large)).cast("int")
-    cuts = cuts.select(*keys, F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("_cuts", F.floor(i * parts / wanted).cast("int") - 1)).alias("_cuts"))
-    if keys:
-        on = [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys]
-        cuts = cuts.select(*(F.col(k).alias(f"_cut_{k}") for k in keys), "_cuts")
-    else:
-        on = F.lit(True)
+    cuts = cuts.select("_group", F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("_cuts", F.floor(i * parts / wanted).cast("int") - 1)).alias("_cuts"))
     number = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(by))), F.lit(0))
-    return df.join(F.broadcast(cuts), on, "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(number)).drop("_cuts", *(f"_cut_{k}" for k in keys))
+    return df.join(F.broadcast(cuts), "_group", "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(number)).drop("_cuts")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: list[str], large: int | None = None) -> DataFrame:
     """The rows with ``cum_x`` and ``all_x`` for each x of ``sums``: its sum up to the row (rows that tie included), and in the group.
 
-    ``order`` begins with a numeric, date or time column; null keys are a group.
+    ``order`` begins with a numeric, date or time column; null keys are a
+    group. The window and the join with what comes before a part share one
+    partitioning.
     """
     cut = in_parts(df, keys, order[0], large)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    totals = cut.groupBy(*keys, "_part").agg(*(F.sum(x).alias(x) for x in sums))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_group")
     # One row for each part of a group.
-    totals = totals.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_part").alias("_of_part"), *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_before_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_part") == F.col("_of_part")]
-    w = Window.partitionBy(*keys, "_part").orderBy(*order)
-    met = cut.withColumns({f"cum_{x}": F.sum(x).over(w) for x in sums}).join(totals, on)
-    return met.withColumns({f"cum_{x}": F.col(f"cum_{x}") + F.col(f"_before_{x}") for x in sums}).drop("_part", "_of_part", *(f"_of_{k}" for k in keys), *(f"_before_{x}" for x in sums))
+    totals = cut.groupBy("_group", "_part").agg(*(F.sum(x).alias(x) for x in sums))
+    totals = totals.select("_group", "_part", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_before_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
+    w = Window.partitionBy("_group", "_part").orderBy(*order)
+    met = cut.withColumns({f"cum_{x}": F.sum(x).over(w) for x in sums}).join(totals, ["_group", "_part"])
+    return met.withColumns({f"cum_{x}": F.col(f"cum_{x}") + F.col(f"_before_{x}") for x in sums}).drop("_group", "_part", *(f"_before_{x}" for x in sums))
 
 
-def quantiles(counts: DataFrame, keys: list[str], shares: list[float], value: str = "value", n: str | Column = "n", large: int | None = None) -> DataFrame:
+def quantiles(counts: DataFrame, keys: list[str], shares: list[float], value: str = "value", n: str | Column = "n", large: int | None = None, once: bool = False) -> DataFrame:
     """(keys, q, total): exact interpolated quantiles, as an array, of a table of values and how often each occurs.
 
-    Nulls don't count; a group of nulls only is missing. Values that occur in
-    several rows are added up by order.
+    Nulls don't count; a group of nulls only is missing. Rows of a value are
+    added up first, unless each has one row only (``once``).
     """
     n = F.col(n) if isinstance(n, str) else n
     rows = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), n.cast("long").alias("_n")).where("_n > 0")
-    run = running(rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n")), keys, ["_v"], ["_n"], large)
+    run = running(rows if once else rows.groupBy(*keys, "_v").agg(F.sum("_n").alias("_n")), keys, ["_v"], ["_n"], large)
     place = lambda p: (F.col("all__n") - 1) * F.lit(float(p))
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), place(p).alias("at"), rank(place(p)).cast("long").alias("r"), F.lit(high).alias("high")) for i, p in enumerate(shares) for rank, high in ((F.floor, False), (F.ceil, True))))
     here = F.filter(wanted, lambda x: (x["r"] >= F.col("cum__n") - F.col("_n")) & (x["r"] < F.col("cum__n")))
     # Compiled, so that few rows come to the array functions: a value holds the rank at or just above a place.
     near = reduce(or_, ((F.floor(place(p)) + 1 >= F.col("cum__n") - F.col("_n")) & (F.floor(place(p)) < F.col("cum__n")) for p in shares))
-    found = run.where(near).select(*keys, "_v", "all__n", F.explode(here).alias("w"))
+    found = run.where(near).select(*keys, "_v", "all__n", F.explode_outer(here).alias("w")).where("w is not null")
     pick = lambda high, what: F.max(F.when(F.col("w.high") == high, F.col(what)))
     ends = found.groupBy(*keys, F.col("w.i").alias("i")).agg(pick(False, "_v").alias("a"), pick(True, "_v").alias("b"), F.max("w.at").alias("at"), F.max("all__n").alias("total"))
     q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
