@@ -12,7 +12,7 @@ from ledgerlens.plans.registry import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow to fit without SQL; their operators are held against plain versions in test_supervised.
-SLOW = {"gbt_cv", "train_service", "imbalance_cv"}
+SLOW = {"gbt_cv", "lr_cv", "train_service", "imbalance_cv"}
 
 
 @pytest.fixture(scope="module")
