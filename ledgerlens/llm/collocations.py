@@ -23,14 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.llm import kernels
-from ledgerlens.llm.common import arrow_job, discard, measured, table, written
+from ledgerlens.llm.common import arrow_job, discard, looked_up, measured, table, written
 
 #: Least count of a phrase, phrases of a language, and the share in percent of a phrase's places from which a longer one replaces it.
 LEAST_COUNT, TOP, SHARE = 10, 2000, 50
 #: Bytes of text whose edges are added up before they are dealt out, and bytes of text for each partition they are dealt to.
 BLOCK, DEALT = 1 << 23, 1 << 24
-#: Phrases that are at least one in so many are looked up by a broadcast table, which so has at most as many rows.
-OFTEN = 1000
 
 _byte = np.arange(256)
 #: 0 for a byte of a word, 1 for a blank, 2 for the end of a piece.
@@ -132,13 +130,6 @@ def unary_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return now.where("not going").drop("going")
 
 
-def _looked_up(parts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """The parts (lang, part, ...) with their count n; common ones from a small table, so that no task gets all parts of one phrase."""
-    often = F.broadcast(counts.where(F.col("n") * OFTEN >= total))
-    rest = parts.join(often.select("lang", "part"), ["lang", "part"], "left_anti")
-    return parts.join(often, ["lang", "part"]).unionByName(rest.join(counts.hint("merge"), ["lang", "part"]))
-
-
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, share: int = SHARE, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, path_words): the first ``top`` phrases of two and three words of each lang.
 
@@ -172,7 +163,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, shar
     counts = words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), "n").unionByName(nodes.withColumnRenamed("node", "part"))
     total = totals.agg(F.sum("total")).first()[0] or 0
     side = lambda right: F.max(F.when(F.col("right") == right, F.col("n")))
-    cuts = _looked_up(parts, counts, total).groupBy("lang", "phrase", "a", "node", "cut").agg(side(False).alias("l"), side(True).alias("r"))
+    cuts = looked_up(parts, counts, ["lang", "part"], "n", total).groupBy("lang", "phrase", "a", "node", "cut").agg(side(False).alias("l"), side(True).alias("r"))
     whole = lambda c: F.col(c).cast("decimal(15,0)")
     cuts = cuts.withColumn("up", whole("a") * whole("a") * F.lit(1_000_000).cast("decimal(7,0)")).withColumn("down", whole("l") * whole("r"))
     cuts = cuts.withColumn("score", F.expr("up div down"))

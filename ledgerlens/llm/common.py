@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ledgerlens.session import ship, table
 
-__all__ = ["arrow_job", "checkpoint_dir", "crc_of_id", "discard", "labelled_sample", "measured", "sample_of", "shared_dir", "table", "written"]
+__all__ = ["arrow_job", "checkpoint_dir", "crc_of_id", "discard", "labelled_sample", "looked_up", "measured", "sample_of", "shared_dir", "table", "written"]
 
 
 def arrow_job(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -55,6 +55,22 @@ def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, di
     return found, seen.get
 
 
+#: Keys that hold at least one row in so many are looked up in a broadcast table.
+OFTEN = 1000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """The rows with the facts of their key; ``facts`` has a key once, with how many of ``total`` rows hold it.
+
+    Keys of at least one row in OFTEN, of which there are OFTEN at most, come
+    from a broadcast table; so no task gets all rows of a common key. Rows are
+    read twice, so they should be a written table. Keys aren't null.
+    """
+    often = F.broadcast(facts.where(F.col(weight) * OFTEN >= total))
+    rest = rows.join(often.select(*on), on, "left_anti")
+    return rows.join(often, on).unionByName(rest.join(facts.where(F.col(weight) * OFTEN < total).hint("merge"), on, how))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the folders of a table that ``written`` made and nothing reads any more."""
     spark = df.sparkSession

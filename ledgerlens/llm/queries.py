@@ -14,6 +14,7 @@ from ledgerlens.llm.spelling import OP13_SQL, op13_asymmetric_chunks
 from ledgerlens.llm.token_counts import op1_separator_scan
 from ledgerlens.llm.tool_calls import OP4_SQL, op4_tool_call_linking
 from ledgerlens.llm.toxicity import op10_naive_bayes_ngrams
+from ledgerlens.llm.urls import OP11_SQL, op11_path_templates
 
 QUERIES = {
     f.__name__: f
@@ -28,8 +29,9 @@ QUERIES = {
         op8_power_of_two_packing,
         op9_fuzzy_notices,
         op10_naive_bayes_ngrams,
+        op11_path_templates,
         op12_de_bruijn_phrases,
         op13_asymmetric_chunks,
     )
 }
-SQL = {"op2_benchmark_windows": OP2_SQL, "op4_tool_call_linking": OP4_SQL, "op12_de_bruijn_phrases": OP12_SQL, "op13_asymmetric_chunks": OP13_SQL}
+SQL = {"op2_benchmark_windows": OP2_SQL, "op4_tool_call_linking": OP4_SQL, "op11_path_templates": OP11_SQL, "op12_de_bruijn_phrases": OP12_SQL, "op13_asymmetric_chunks": OP13_SQL}
