@@ -23,6 +23,12 @@ def bin_of(x: Column, edges: Column) -> Column:
     return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: e < x)).cast("long"))
 
 
+def bin_of_few(x: str, edges: str, most: int) -> Column:
+    """:func:`bin_of` for at most ``most`` edges: compiled, where an array function calls one for each element."""
+    below = " + ".join(f"CAST(ifnull(get({edges}, {i}) < {x}, false) AS BIGINT)" for i in range(most)) or "0L"
+    return F.expr(f"CASE WHEN {x} IS NOT NULL THEN {below} END")
+
+
 def md5_bucket(text: Column, buckets: int = 1_000_000) -> Column:
     """1 + (the 128-bit md5 modulo buckets - 1), from two 64-bit halves."""
     m = F.lit(buckets - 1).cast("decimal(20,0)")

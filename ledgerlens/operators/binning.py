@@ -14,10 +14,10 @@ def equal_width(x: Column, bins: int = 10) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.min(x) + i * (F.max(x) - F.min(x)) / bins)
 
 
-def inner_quantiles(counts: DataFrame, keys: list[str], bins: int = 10, value: str = "value", n: str | Column = "n") -> DataFrame:
+def inner_quantiles(counts: DataFrame, keys: list[str], bins: int = 10, value: str = "value", n: str | Column = "n", most: int | None = None) -> DataFrame:
     """(keys, edges): exact interpolated quantiles without repeats, but the first and the last, of a table with one row a value."""
     q = F.array_distinct("q")
-    return quantiles(counts, keys, [i / bins for i in range(bins + 1)], value, n, once=True).select(*keys, F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))).alias("edges"))
+    return quantiles(counts, keys, [i / bins for i in range(bins + 1)], value, n, once=True, most=most).select(*keys, F.slice(q, 2, F.greatest(F.size(q) - 2, F.lit(0))).alias("edges"))
 
 
 def edges_of(long: DataFrame, keys: list[str], method: str = "qcut", bins: int = 10) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import chi2_p
-from ledgerlens.functions.stats import bin_of, iv_part, woe
+from ledgerlens.functions.stats import bin_of_few, iv_part, woe
 from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.profile import long_form
-from ledgerlens.operators.ranks import running
+from ledgerlens.operators.ranks import group_sizes, running, small
 from ledgerlens.session import written
 
 
@@ -29,22 +29,23 @@ def woe_table(counts: DataFrame, keys: list[str], by: str) -> DataFrame:
     return groups.select(*keys, by, "pos", "neg", F.round(woe(*c), 6).alias("woe"), F.round(iv_part(*c), 6).alias("iv"))
 
 
-def binned(counts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+def binned(counts: DataFrame, keys: list[str], bins: int = 10, sizes: tuple[int, int] | None = None) -> DataFrame:
     """The counts with a quantile bin, edges weighted by the counts."""
-    edges = inner_quantiles(counts, keys, bins, n=F.col("pos") + F.col("neg"))
-    return counts.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"))).drop("edges")
+    most, groups = sizes or group_sizes(counts, keys)
+    edges = inner_quantiles(counts, keys, bins, n=F.col("pos") + F.col("neg"), most=most)
+    return counts.join(small(edges, groups), keys).withColumn("bin", bin_of_few("value", "edges", bins - 1)).drop("edges")
 
 
-def information_value(counts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    groups = binned(counts, keys, bins).groupBy(*keys, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+def information_value(counts: DataFrame, keys: list[str], bins: int = 10, sizes: tuple[int, int] | None = None) -> DataFrame:
+    groups = binned(counts, keys, bins, sizes).groupBy(*keys, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     w = Window.partitionBy(*keys)
     groups = groups.withColumn("pos_all", F.sum("pos").over(w)).withColumn("neg_all", F.sum("neg").over(w))
     return groups.groupBy(*keys).agg(F.round(F.sum(iv_part(*(F.col(x) for x in ("pos", "neg", "pos_all", "neg_all")))), 6).alias("iv"))
 
 
-def ks_auc(counts: DataFrame, keys: list[str]) -> DataFrame:
+def ks_auc(counts: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """(keys, ks, auc): greatest distance of the class distributions; tie-aware area, turned to 0.5 or more."""
-    run = running(counts.select(*keys, "value", "pos", "neg"), keys, ["value"], ["pos", "neg"])
+    run = running(counts.select(*keys, "value", "pos", "neg"), keys, ["value"], ["pos", "neg"], most=most)
     run = run.withColumnsRenamed({"cum_pos": "cp", "cum_neg": "cn", "all_pos": "p", "all_neg": "n"})
     ks = F.max(F.abs(F.try_divide("cp", "p") - F.try_divide("cn", "n")))
     # Pairs in which the event has the greater value, ties one half.
@@ -57,7 +58,8 @@ def evaluate(df: DataFrame, features: list[str], label: str, hue: list[str] | No
     """(hue, feature, iv, ks, auc); bins are fitted within each hue."""
     keys = [*(hue or []), "feature"]
     counts = value_counts(df, features, label, hue)
-    return information_value(counts, keys, bins).join(ks_auc(counts, keys), keys)
+    sizes = group_sizes(counts, keys)
+    return information_value(counts, keys, bins, sizes).join(ks_auc(counts, keys, sizes[0]), keys)
 
 
 def null_woe(df: DataFrame, feature: str, label: str, least: float = 0.01) -> DataFrame:

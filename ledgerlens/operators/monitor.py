@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import bin_of
-from ledgerlens.operators.ranks import quantiles, running, value_table
+from ledgerlens.functions.stats import bin_of_few
+from ledgerlens.operators.ranks import row_quantiles, running, small
 from ledgerlens.session import written
 
 #: Added to each actual count, and bound of a bin's log ratio (fixed values).
@@ -15,7 +15,7 @@ SMOOTH, LIMIT = 1e-4, 10.0
 
 def psi_edges(benchmark: DataFrame, hue: str, score: str, bins: int = 10) -> DataFrame:
     """(hue, edges): 0, then the benchmark's quantiles but the last, without repeats. Scores below 0 are refused."""
-    edges = quantiles(value_table(benchmark, [hue], score), [hue], [i / bins for i in range(bins)], score, once=True).withColumn("least", F.col("q")[0])
+    edges = row_quantiles(benchmark, [hue], [i / bins for i in range(bins)], score).withColumn("least", F.col("q")[0])
     return edges.select(hue, F.when(F.col("least") >= 0, F.array_distinct(F.concat(F.array(F.lit(0.0)), "q"))).otherwise(F.raise_error(F.lit("scores must not be negative"))).alias("edges"))
 
 
@@ -25,15 +25,16 @@ def psi_by_time(df: DataFrame, hue: str, score: str, is_benchmark: str, time: st
     Bins are right-closed with the lowest closed, expected counts are as they
     are, actual ones smoothed; every day gets every bin.
     """
-    edges = psi_edges(df.where(F.col(is_benchmark) & F.col(score).isNotNull()), hue, score, bins)
-    rows = df.join(F.broadcast(edges), hue).where(F.col(score) >= 0)
-    at = F.greatest(bin_of(F.col(score), F.col("edges")), F.lit(1)).alias("bin")
+    # One row for each hue, and counts of its bins and days: both are read several times.
+    edges = written(psi_edges(df.where(F.col(is_benchmark) & F.col(score).isNotNull()), hue, score, bins), "psi-edges")
+    rows = df.join(small(edges, edges.count()), hue).where(F.col(score) >= 0)
+    at = F.greatest(bin_of_few(f"`{score}`", "edges", bins + 1), F.lit(1)).alias("bin")
     rows = rows.select(hue, time, is_benchmark, passed, at, F.size("edges").alias("k"))
-    counts = rows.groupBy(hue, F.when(F.col(is_benchmark), None).otherwise(F.col(time)).alias("day"), is_benchmark, "bin").agg(F.count("*").alias("n"))
+    counts = written(rows.groupBy(hue, F.when(F.col(is_benchmark), None).otherwise(F.col(time)).alias("day"), is_benchmark, "bin").agg(F.count("*").alias("n")), "psi-counts")
     expected = counts.where(is_benchmark).select(hue, "bin", F.col("n").alias("e"))
     expected = edges.select(hue, F.explode(F.sequence(F.lit(1).cast("long"), F.size("edges").cast("long"))).alias("bin")).join(expected, [hue, "bin"], "left").fillna(0, ["e"])
     actual = counts.where(~F.col(is_benchmark)).select(hue, "day", "bin", "n")
-    frame = actual.select(hue, "day").distinct().join(F.broadcast(expected), hue).join(actual, [hue, "day", "bin"], "left")
+    frame = actual.select(hue, "day").distinct().join(expected, hue).join(actual, [hue, "day", "bin"], "left")
     n = F.coalesce("n", F.lit(0)) + SMOOTH
     w = Window.partitionBy(hue, "day")
     a, e = n / F.sum(n).over(w), F.col("e") / F.sum("e").over(w)
@@ -80,7 +81,7 @@ def feature_stats_by_time(long: DataFrame, hue: str, is_benchmark: str, time: st
     ks = ks_by_time(keyed, "k", "value", "b", "day").select("k", "day", F.round("ks", 3).alias("ks"))
 
     def figures(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        middle = quantiles(value_table(rows, keys), keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias(f"{prefix}_median"))
+        middle = row_quantiles(rows, keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias(f"{prefix}_median"))
         return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_volume"), F.round(F.stddev_samp("value"), 6).alias(f"{prefix}_std"), F.round(F.avg("value"), 6).alias(f"{prefix}_mean")).join(middle, keys, "left")
 
     days = figures(keyed.where("not b"), ["k", "day"], "day")

@@ -385,7 +385,7 @@ def feature_ks_by_day(spark, d):
 @register(f"WITH {EV} SELECT event_type, day, round(median(value), 6) AS middle, round(stddev_samp(value), 6) AS std, round(avg(value), 6) AS mean FROM e WHERE NOT bench GROUP BY 1, 2")
 def feature_stats_by_day(spark, d):
     e, keys = events(spark, d).where("not bench"), ["event_type", "day"]
-    middle = ranks.quantiles(ranks.value_table(e, keys), keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias("middle"))
+    middle = ranks.row_quantiles(e, keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias("middle"))
     return e.groupBy(*keys).agg(F.round(F.stddev_samp("value"), 6).alias("std"), F.round(F.avg("value"), 6).alias("mean")).join(middle, keys)
 
 
