@@ -19,7 +19,8 @@ import numpy as np
 
 #: White space in a row that is left to ``tokenizers``.
 LONG_RUN = 100_000
-_long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+#: Tried only where a run begins, so that a text is passed over once.
+_long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 
 
 def default_path() -> str:

@@ -91,19 +91,27 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc_of_id(column), F.lit(modulus)) == remainder, F.lit(False))
 
 
+#: Values of a sampling hash, and most kinds that a sample tells apart.
+DRAWS, KINDS = 1 << 62, 1000
+
+
+def below(n: int, most: int) -> int:
+    """The threshold below which a hash of DRAWS values falls for about ``most`` of n rows; exact whatever n."""
+    return DRAWS if n <= most else DRAWS * most // n
+
+
 def sample_of(df: DataFrame, most: int, by: str = "doc_id", kind: str | None = None) -> DataFrame:
     """About ``most`` rows, or ``most`` of each ``kind``, chosen by a hash of ``by`` alone; all rows if there are fewer.
 
     ``by`` must not repeat (within a kind), else what is chosen has no bound.
+    Of more than KINDS kinds, the commonest are sampled, by the first value of those that tie.
     """
-    counts = {r[0]: r[1] for r in (df.groupBy(kind).count() if kind else df.select(F.lit(0), F.lit(df.count())).limit(1)).collect()}
-    chance = lambda n: int(1_000_000 * min(1.0, most / n)) if n else 1_000_000
-    draw = F.pmod(F.xxhash64(F.col(by), F.lit(17)), F.lit(1_000_000))
+    draw = F.xxhash64(F.col(by), F.lit(17)).bitwiseAND(F.lit(DRAWS - 1))
     if not kind:
-        return df.where(draw < chance(counts.get(0, 0)))
-    least = F.lit(0)
-    for value, n in counts.items():
-        least = F.when(F.col(kind).eqNullSafe(F.lit(value)), chance(n)).otherwise(least)
+        return df.where(draw < below(df.count(), most))
+    least = F.lit(0).cast("long")
+    for value, n in df.groupBy(kind).count().orderBy(F.desc("count"), kind).limit(KINDS).collect():
+        least = F.when(F.col(kind).eqNullSafe(F.lit(value)), below(n, most)).otherwise(least)
     return df.where(draw < least)
 
 

@@ -25,6 +25,8 @@ SIZES = (1, 2, 3, 4)
 BITS = 16
 #: Bounds of the training sample: ids and landmarks of each language.
 SAMPLE, LANDMARKS = 750, 48
+#: Languages that are learned at most, the commonest of them; and ids and landmarks of all together, dealt out evenly where they are many.
+LANGUAGES, ALL_SAMPLE, ALL_LANDMARKS = 100, 24_000, 1000
 RIDGE = 1e-2
 
 
@@ -53,7 +55,8 @@ def train(texts: list[np.ndarray], languages: list[str]) -> Model:
     if not names:
         return Model()
     y = np.array([names.index(x) for x in languages])
-    landmarks = np.concatenate([np.flatnonzero(y == c)[:LANDMARKS] for c in range(len(names))])
+    each = min(LANDMARKS, ALL_LANDMARKS // len(names))
+    landmarks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(names))])
     spread = np.zeros((1 << BITS, len(landmarks)), np.float32)
     for j, i in enumerate(landmarks):
         spread[texts[i], j] = 1 / np.sqrt(max(1, len(texts[i])))
@@ -102,11 +105,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the languages of rows with a lang, whose crc32(doc_id) modulo 4 is not 2.
 
     About ``sample`` ids of each language are taken, by a hash of the id, so
-    that a rare one is learned too; all if there are fewer. Of an id with
+    that a rare one is learned too; all if there are fewer. The LANGUAGES
+    commonest langs are learned, by ids; the more there are, the fewer ids and
+    landmarks each has, so that the driver's memory is bounded. Of an id with
     several texts in a language, that of the least hash counts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2) & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
-    chosen = sample_of(known.select("doc_id", "lang").distinct(), sample, kind="lang")
+    ids = known.select("doc_id", "lang").distinct()
+    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    chosen = sample_of(ids.where(F.col("lang").isin(common)), min(sample, ALL_SAMPLE // max(1, len(common))), kind="lang")
     # At most about `sample` ids of each language are broadcast.
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "lang").select("t.text", "lang").toArrow()

@@ -379,6 +379,28 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return written(keys.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
+def _dealt(named: DataFrame) -> DataFrame:
+    """(band, hash, i, j, side, node, label): blocks in which members of buckets with several labels meet; named is (band, hash, node, shingles, label).
+
+    Members of a bucket's commonest label need not meet each other. They are
+    dealt to blocks, and so are the others, the strays: a block of strays meets
+    each block of the label (i below 0), and each block of strays. So a
+    bucket of a million copies and one stray is a million rows and one for each block.
+    """
+    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    of_label = named.groupBy("band", "hash", "label").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    bucket = of_label.groupBy("band", "hash").agg(F.max(F.struct("n", "label", "shingles")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("n > main.n")
+    bucket = bucket.select("band", "hash", F.col("main.label").alias("main"), F.greatest(F.ceil(F.col("main.n") / BLOCK), F.ceil(F.col("main.shingles") / BLOCK_SHINGLES)).alias("mains"), (F.col("n") - F.col("main.n")).alias("n"), (F.col("shingles") - F.col("main.shingles")).alias("shingles"))
+    met = named.drop("shingles").join(bucket.select("band", "hash", "main", "mains", size.alias("strays")), ["band", "hash"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("strays")))
+    met = met.withColumn("own", own)
+    place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    main = upto("strays", lambda s: place(-1 - s, F.col("own"), F.lit(1)))
+    stray = F.concat(upto("mains", lambda m: place(-1 - F.col("own"), m, F.lit(0))), upto("strays", lambda s: place(F.least("own", s), F.greatest("own", s), F.col("own") > s)))
+    return met.select("band", "hash", "node", "label", F.inline(F.when(F.col("label") == F.col("main"), main).otherwise(stray)))
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links (u, v, similarity, plain) between nodes of different texts, enough to join each class of them.
 
@@ -394,7 +416,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     signed = written(signed.dropDuplicates(KEY).join(nodes, KEY).select("node", *KEY, "first_id", "shingles", "bands", "sig"), "signatures")
     banded = signed.select("node", "shingles", F.posexplode("bands").alias("band", "hash"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("blocks")
-    buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size"), blocks).where("size > 1").drop("size")
+    buckets = banded.groupBy("band", "hash").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
     # From here on only members of shared buckets move.
     grouped = written(banded.join(buckets, ["band", "hash"]), "buckets")
     names = signed.select("node", *KEY, "first_id")
@@ -409,15 +431,14 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     # A node's label: what it was joined with, two steps far.
     star = found.select(F.col("u").alias("node"), F.col("v").alias("near"))
     label = star.join(star.select(F.col("node").alias("near"), F.col("near").alias("far")), "near", "left").select("node", F.coalesce("far", "near").alias("label"))
-    named = grouped.join(label, "node", "left").select("band", "hash", "blocks", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "hash")
-    members = named.join(mixed, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    members = members.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label")
+    named = grouped.join(label, "node", "left").select("band", "hash", "node", "shingles", F.coalesce("label", "node").alias("label"))
+    members = _dealt(named)
     rows = "band int, hash long, i long, j long, side int, node long, label long, k1 long, k2 long, first_id " + dict(nodes.dtypes)["first_id"] + ", bands array<long>, sig array<int>"
     asked, seen = measured(_in_order(members.join(signed.drop("shingles"), "node").select(*(c.split()[0] for c in rows.split(", "))), _PLACE, _unsettled, rows), "pending", n=F.count(F.lit(1)))
-    if not seen["n"]:
-        return found
-    return found.union(written(_in_order(_with_texts(asked, seen["n"], texts), _PLACE, partial(_settle, idf=idf, least=least)), "links"))
+    if seen["n"]:
+        found = found.union(written(_in_order(_with_texts(asked, seen["n"], texts), _PLACE, partial(_settle, idf=idf, least=least)), "links"))
+    idf.destroy()
+    return found
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:

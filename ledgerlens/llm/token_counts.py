@@ -27,6 +27,13 @@ from ledgerlens.llm.common import arrow_job, shared_dir, table, written
 SEPARATOR = 50_256
 #: Ids per block: 2 MB of 16-bit ids.
 BLOCK = 1 << 20
+#: Bytes of token files that a task scans, at most.
+SCANNED = 64 << 20
+
+
+def scan_tasks(n_bytes: int, parallelism: int) -> int:
+    """Tasks of a scan: four for each core, or more where they would scan more than SCANNED bytes."""
+    return max(4 * parallelism, -(-n_bytes // SCANNED))
 
 
 def filesystem(uri: str):
@@ -103,7 +110,10 @@ def scan_token_files(files: DataFrame, separator: int = SEPARATOR, width: int =
     files = files.where("path is not null and size > 0").select("path", F.col("size").cast("long"))
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))))
     work = partial(_scan, separator=separator, width=width, block=block)
-    found = written(arrow_job(blocks.repartition("path", "block"), work, "path string, block long, size long, ends array<long>"), "token-blocks")
+    # A number of tasks from the files' sizes: rows of blocks are so short that adaptive execution would put them all into one task.
+    ids = files.agg(F.sum("size")).first()[0] or 0
+    blocks = blocks.repartition(scan_tasks(ids * width, files.sparkSession.sparkContext.defaultParallelism), "path", "block")
+    found = written(arrow_job(blocks, work, "path string, block long, size long, ends array<long>"), "token-blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     few = found.select("path", "block", F.size("ends").alias("n"), F.expr("try_element_at(ends, -1)").alias("end"))
     carried = few.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.max("end").over(before), F.lit(-1)).alias("previous"))
@@ -126,7 +136,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     other columns are left out.
     """
     manifest = write_token_files(docs, shared_dir(docs.sparkSession, "token-files"), tokenizer)
-    counts = scan_token_files(sizes(manifest))
+    counts = scan_token_files(written(sizes(manifest), "token-sizes"))
     # Both sides grow with the documents: neither is ever broadcast.
     return manifest.join(counts.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
 
