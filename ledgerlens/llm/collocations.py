@@ -90,23 +90,23 @@ def _word(node: Column) -> Column:
 
 
 def graph(docs: DataFrame, least: int = LEAST_COUNT, block: int = BLOCK) -> DataFrame:
-    """(lang, word, node, next, n), written once: edges of ``least`` weight, and what flows out of nodes.
+    """(edge, lang, word, node, next, n), written once: edges of ``least`` weight, those to an end among them, and what flows out of nodes.
 
-    Rows with ``next`` are edges. The others are nodes of ``least`` flow, and
-    with a null node the flow of all others that begin with ``word``. Edges
-    are dealt by their node, so both are added up from one shuffle.
+    Rows that are no edges are nodes of ``least`` flow, and with a null node
+    the flow of all others that begin with ``word``. Edges are dealt by their
+    node, so both are added up from one shuffle.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // DEALT))
     counted = arrow_job(rows, partial(_edges, block=block), "lang string, node string, next string, n long").repartition(parts, "lang", "node")
-    edges = counted.groupBy("lang", "node", "next").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & F.col("next").isNotNull())
-    # The ends are summed up apart so that both branches read the same columns, and so the same shuffle.
+    edges = counted.groupBy("lang", "node", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # The ends are summed up apart so that both branches read the same columns, and so the same shuffle; a filter by them here would go below it.
     going, ending = F.sum(F.when(F.col("next").isNotNull(), F.col("n"))), F.sum(F.when(F.col("next").isNull(), F.col("n")))
     flow = counted.groupBy("lang", "node").agg((F.coalesce(going, F.lit(0)) + F.coalesce(ending, F.lit(0))).alias("n"))
     kept = F.when((F.col("n") >= least) & F.col("node").contains(" "), F.col("node"))
     nodes = flow.groupBy("lang", _word(F.col("node")).alias("word"), kept.alias("node")).agg(F.sum("n").alias("n"))
-    both = edges.select("lang", _word(F.col("node")).alias("word"), "node", "next", "n").unionByName(nodes.withColumn("next", F.lit(None).cast("string")))
+    both = edges.select(F.lit(True).alias("edge"), "lang", _word(F.col("node")).alias("word"), "node", "next", "n").unionByName(nodes.withColumns({"next": F.lit(None).cast("string"), "edge": F.lit(False)}))
     return written(both, "phrase-graph")
 
 
@@ -145,8 +145,8 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, shar
     for counts below 10**15. One text is handled at once, whatever its length.
     """
     found = graph(docs, least, block)
-    edges, nodes = found.where("next is not null").select("lang", "node", "next", "n"), found.where("next is null and node is not null").select("lang", "node", "n")
-    words = written(found.where("next is null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
+    edges, nodes = found.where("edge and next is not null").select("lang", "node", "next", "n"), found.where("not edge and node is not null").select("lang", "node", "n")
+    words = written(found.where("not edge").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     paths = unary_paths(edges, nodes)
 
