@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import bin_of
-from ledgerlens.operators.ranks import quantiles, value_table
+from ledgerlens.operators.ranks import quantiles, running, value_table
+from ledgerlens.session import written
 
 
 def equal_width(x: Column, bins: int = 10) -> Column:
@@ -36,22 +37,51 @@ def assign(long: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return long.join(F.broadcast(edges), keys).withColumn("bin", bin_of(F.col("value"), F.col("edges"))).drop("edges")
 
 
-def greedy_groups(counts: DataFrame, least: int) -> DataFrame:
-    """(grp, low, high, n): values in order, merged until a group has ``least`` rows. ``counts`` is (value, n).
+#: Sizes of groups that are tried at once.
+TRIED = 40
+
 
-    One fold over the sorted counts of one feature.
+def _bounds(run: DataFrame, leasts: list[int], most: int | None = None) -> dict[int, list[int]]:
+    """For each least size, the running counts at which its groups end, at most ``most + 1`` of them; ``run`` is (value, n, cum__n).
+
+    A group ends at the first value whose running count reaches the last end
+    and the least size. One job looks up the next end for all sizes, so there
+    are as many jobs as the longest list is long, and no row holds the values.
     """
-    pairs = counts.where("value is not null").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("a"))
-    start = F.struct(F.expr("array()").cast("array<struct<low:double,high:double,n:bigint>>").alias("done"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("n"))
+    ends: dict[int, list[int]] = {x: [] for x in leasts}
+    going = list(leasts)
+    while going:
+        after = [(ends[x][-1] if ends[x] else 0) + x for x in going]
+        row = run.agg(F.max("cum__n").alias("all"), *(F.min(F.when(F.col("cum__n") >= a, F.col("cum__n"))).alias(f"e{i}") for i, a in enumerate(after))).first()
+        following = []
+        for i, x in enumerate(going):
+            reached = row[f"e{i}"] if row[f"e{i}"] is not None else row["all"]
+            if reached is not None and reached != (ends[x][-1] if ends[x] else 0):
+                ends[x].append(reached)
+                if reached < row["all"] and (most is None or len(ends[x]) <= most):
+                    following.append(x)
+        going = following
+    return ends
+
+
+def _groups(run: DataFrame, ends: list[int]) -> DataFrame:
+    """(grp, low, high, n) of running counts, cut at ``ends``."""
+    at = bin_of(F.col("cum__n"), F.array(*(F.lit(e) for e in ends)).cast("array<bigint>"))
+    return run.groupBy(at.alias("grp")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").cast("long").alias("n"))
 
-    def step(acc: Column, x: Column) -> Column:
-        low, n = F.coalesce(acc["low"], x["value"]), acc["n"] + x["n"]
-        full = n >= least
-        closed = F.struct(low.alias("low"), x["value"].alias("high"), n.alias("n"))
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"), F.when(~full, low).alias("low"), F.when(~full, x["value"]).alias("high"), F.when(full, F.lit(0)).otherwise(n).cast("long").alias("n"))
 
-    finish = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["low"].alias("low"), acc["high"].alias("high"), acc["n"].alias("n"))))).otherwise(acc["done"])
-    return pairs.select(F.posexplode(F.aggregate("a", start, step, finish)).alias("grp", "g")).select(F.col("grp").cast("long").alias("grp"), "g.low", "g.high", "g.n")
+def _run(counts: DataFrame) -> DataFrame:
+    rows = written(counts.where(F.col("value").isNotNull()).select(F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n")), "split-values")
+    return written(running(rows, [], ["value"], ["n"]).select("value", "n", F.col("cum_n").alias("cum__n")), "split-runs")
+
+
+def greedy_groups(counts: DataFrame, least: int) -> DataFrame:
+    """(grp, low, high, n): values in order, merged until a group has ``least`` rows. ``counts`` is (value, n).
+
+    As many jobs as there are groups, so ``least`` shouldn't be small.
+    """
+    run = _run(counts)
+    return _groups(run, _bounds(run, [least])[least])
 
 
 def optimal_groups(counts: DataFrame, bins: int = 10) -> DataFrame:
@@ -60,37 +90,45 @@ def optimal_groups(counts: DataFrame, bins: int = 10) -> DataFrame:
     With no more distinct values than ``bins``, or ``bins`` of -1, a group has
     as many rows as the rarest value. Else ceil(n/b) rows, b going up from
     ``bins`` until more groups appear; the first step up asks for one row
-    more, as in the reference. Groups never become fewer as b grows, so the
-    last b is found by halving. Nulls and NaN are a first group, which counts
-    among the groups but not in n.
+    more, as in the reference. Groups never become fewer as b grows, so TRIED
+    sizes at a time narrow the last b down, with ``bins`` jobs each. Nulls and
+    NaN are a first group, which counts among the groups but not in n.
     """
-    counts = counts.select(F.when(~F.isnan("value"), F.col("value")).alias("value"), "n").cache()
+    counts = written(counts.select(F.when(~F.isnan("value"), F.col("value")).alias("value"), "n"), "split-counts")
     known = F.col("value").isNotNull()
     about = counts.agg(F.count("value").alias("kinds"), F.sum(F.when(known, F.col("n"))).alias("n"), F.min(F.when(known, F.col("n"))).alias("rarest"), F.sum(F.when(~known, F.col("n"))).alias("nulls")).first()
-    sizes = counts.where(known).agg(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))), lambda x: x["n"]).alias("a")).cache()
+    run = _run(counts)
     first = 1 if about["nulls"] else 0
+    size = lambda b: -(-about["n"] // b)
 
-    def few(least: int) -> bool:
-        start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("n"))
-        step = lambda acc, x: F.when(acc["n"] + x >= least, F.struct((acc["g"] + 1).alias("g"), F.lit(0).cast("long").alias("n"))).otherwise(F.struct(acc["g"].alias("g"), (acc["n"] + x).alias("n")))
-        return sizes.select(F.aggregate("a", start, step, lambda acc: acc["g"] + (acc["n"] > 0).cast("long"))).first()[0] + first <= bins
+    def few(leasts: list[int]) -> list[bool]:
+        ends = _bounds(run, sorted(set(leasts)), bins)
+        return [len(ends[x]) + first <= bins for x in leasts]
 
     if about["kinds"] <= bins or bins == -1:
         least = about["rarest"] or 1
     else:
-        size = lambda b: -(-about["n"] // b)
-        least = size(bins)
-        if few(size(bins + 1) + 1):
+        # The last b of few groups lies in low..high, which are known.
+        low, high, least = bins + 1, about["n"] + 1, size(bins)
+        near = list(range(bins + 2, min(high, bins + 2 + TRIED)))
+        fine = few([size(bins + 1) + 1, *map(size, near)])
+        if fine[0]:
             least = size(bins + 1) + 1
-            low, high = bins + 1, bins + 2
-            while few(size(high)):
-                low, high = high, 2 * high
+            for b, f in zip(near, fine[1:], strict=True):
+                if not f:
+                    high = b
+                    break
+                low = b
             while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if few(size(mid)) else (low, mid)
+                tried = sorted({low + max(1, round((high - low) * i / (TRIED + 1))) for i in range(1, TRIED + 1)} - {high})
+                for b, f in zip(tried, few(list(map(size, tried))), strict=True):
+                    if not f:
+                        high = b
+                        break
+                    low = b
             if low > bins + 1:
                 least = size(low)
-    groups = greedy_groups(counts, least).withColumn("grp", F.col("grp") + first)
+    groups = _groups(run, _bounds(run, [least])[least]).withColumn("grp", F.col("grp") + first)
     if not first:
         return groups
     none = F.lit(None).cast("double")

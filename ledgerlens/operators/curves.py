@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import bin_of
+from ledgerlens.functions.stats import bin_of, bin_of_few
 from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.evaluate import value_counts
 from ledgerlens.operators.ranks import running
@@ -47,16 +47,25 @@ def oriented_points(df: DataFrame, score: str, label: str) -> DataFrame:
     return points.withColumn("turned", turned).withColumn("score", F.when(F.col("turned"), 0.0 - F.col("score")).otherwise(F.col("score")))
 
 
-def _bands(df: DataFrame, score: Column, label: str, bins: int) -> DataFrame:
-    """(band, n, bad) of quantile bands; the edges are one row."""
+def band_cuts(df: DataFrame, score: str, label: str, bins: int = 10) -> list[float]:
+    """Inner edges of quantile bands, for :func:`score_bands` on other rows."""
+    found = inner_quantiles(_counts(df, score, label), [], bins, "score", F.col("pos") + F.col("neg")).first()
+    return list(found["edges"]) if found else []
+
+
+def _bands(df: DataFrame, score: Column | str, label: str, bins: int, cuts: list[float] | None = None) -> DataFrame:
+    """(band, n, bad) of quantile bands, whose edges are one row, or of bands between given cuts."""
     counts = _counts(df, score, label)
-    edges = inner_quantiles(counts, [], bins, "score", F.col("pos") + F.col("neg"))
-    return counts.join(F.broadcast(edges)).groupBy(bin_of(F.col("score"), F.col("edges")).alias("band")).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("bad"))
+    if cuts is not None:
+        met = counts.withColumn("edges", F.array(*(F.lit(float(c)) for c in sorted(cuts))).cast("array<double>"))
+    else:
+        met = counts.join(F.broadcast(inner_quantiles(counts, [], bins, "score", F.col("pos") + F.col("neg"))))
+    return met.groupBy(bin_of_few("score", "edges", len(cuts) if cuts is not None else bins - 1).alias("band")).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("bad"))
 
 
-def score_bands(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
-    """Quantile bands from low to high: size, event rate, and running rates of events, recall and pass."""
-    g = _bands(df, F.col(score), label, bins)
+def score_bands(df: DataFrame, score: str, label: str, bins: int = 10, cuts: list[float] | None = None) -> DataFrame:
+    """Bands from low to high, of quantiles or between given ``cuts``: size, event rate, and running rates of events, recall and pass."""
+    g = _bands(df, F.col(score), label, bins, cuts)
     # Windows over at most ``bins`` rows.
     w, whole = Window.orderBy("band"), Window.partitionBy()
     good, r = F.col("n") - F.col("bad"), _rounded

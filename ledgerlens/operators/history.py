@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +41,8 @@ def _statistics(x: Column, first: Column) -> dict[str, Column]:
     return {"min": F.min(x), "max": F.max(x), "mean": r(F.avg(x)), "median": r(F.median(x)), "std": r(F.stddev_pop(x)), "sum": F.sum(x), "len": F.count(x), "latest": first, "share_positive": r(F.avg((x > 0).cast("int"))), "positive": F.count_if(x > 0)}
 
 
-def span_statistics(df: DataFrame, key: str, place: str, columns: list[str], spans: list[int | None]) -> DataFrame:
-    """Statistics of the first ``span`` rows of each key (None: all), as one aggregate.
+def span_statistics(df: DataFrame, key: str, place: str, columns: list[str], spans: list[int | None], statistics: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Statistics of the first ``span`` rows of each key (None: all), as one aggregate; ``statistics`` are further ones by name.
 
     A row of place 0 is a smoothing value: it counts in every span, and is the
     latest only where there is no other.
@@ -51,7 +52,7 @@ def span_statistics(df: DataFrame, key: str, place: str, columns: list[str], spa
         for span in spans:
             x = F.col(c) if span is None else F.when(F.col(place) <= span, F.col(c))
             latest = F.coalesce(F.max(F.when(F.col(place) == 1, F.col(c))), F.max(F.when(F.col(place) == 0, F.col(c))))
-            out += [e.alias(f"{c}_{span or 'all'}_{name}") for name, e in _statistics(x, latest).items()]
+            out += [e.alias(f"{c}_{span or 'all'}_{name}") for name, e in (_statistics(x, latest) | {n: s(x) for n, s in (statistics or {}).items()}).items()]
     return df.groupBy(key).agg(*out)
 
 
@@ -82,6 +83,7 @@ class HistoryFeatures:
     finish: str = "finish"
     columns: tuple[str, ...] = ("overdue_days", "gap_days")
     learned: dict[str, float] = field(default_factory=dict)
+    statistics: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def fit(self, ranked: DataFrame) -> HistoryFeatures:
         self.learned = medians(ranked, list(self.columns)) if self.smooth else {}
@@ -92,7 +94,7 @@ class HistoryFeatures:
         if self.smooth:
             every = (keys if keys is not None else ranked).select(self.key).distinct()
             rows = rows.unionByName(every.select(self.key, F.lit(0).cast("long").alias("place"), *(F.lit(self.learned.get(c)).cast("double").alias(c) for c in self.columns)))
-        out = span_statistics(rows, self.key, "place", list(self.columns), self.spans)
+        out = span_statistics(rows, self.key, "place", list(self.columns), self.spans, self.statistics)
         if clocks:
             for name in (self.created, self.finish):
                 out = out.join(clock_counts(ranked, self.key, name, f"{name}_"), self.key, "left")
@@ -108,11 +110,11 @@ def _differences(df: DataFrame, keys: list[str], column: str, tie: str | None, u
     return F.col(column) - F.lag(column).over(w)
 
 
-def time_spans(df: DataFrame, key: str, ts: str, hue: str | None = None, tie: str | None = None, unit: int = 1) -> DataFrame:
-    """Statistics of the time between a key's successive rows in units of so many seconds, or of a number's steps; per hue if given."""
+def time_spans(df: DataFrame, key: str, ts: str, hue: str | None = None, tie: str | None = None, unit: int = 1, statistics: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Statistics of the time between a key's successive rows in units of so many seconds, or of a number's steps; per hue if given. ``statistics`` are further ones by name."""
     keys = [key] + ([hue] if hue else [])
     d = df.select(*keys, _differences(df, keys, ts, tie, unit).alias("d"))
-    return d.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.median("d"), 6).alias("middle"), F.round(F.stddev_pop("d"), 6).alias("std"), F.sum("d").alias("total"), F.count("*").alias("len"))
+    return d.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.median("d"), 6).alias("middle"), F.round(F.stddev_pop("d"), 6).alias("std"), F.sum("d").alias("total"), F.count("*").alias("len"), *(s(F.col("d")).alias(n) for n, s in (statistics or {}).items()))
 
 
 SPANS = ["least", "most", "mean", "middle", "std", "total", "len"]
@@ -135,6 +137,7 @@ class TimeSpanFeatures:
     fill: float | None = None
     most: int = 100
     values: list = field(default_factory=list)
+    statistics: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> TimeSpanFeatures:
         if not self.margins and not self.hue:
@@ -147,13 +150,13 @@ class TimeSpanFeatures:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        parts = []
+        parts, figures = [], [*SPANS, *self.statistics]
         if self.margins:
-            whole = time_spans(df, self.key, self.ts, None, self.tie, self.unit)
-            parts.append(whole.select(self.key, *(F.col(s).cast("double").alias(f"all_{s}") for s in SPANS)))
+            whole = time_spans(df, self.key, self.ts, None, self.tie, self.unit, self.statistics)
+            parts.append(whole.select(self.key, *(F.col(s).cast("double").alias(f"all_{s}") for s in figures)))
         if self.hue:
-            each = time_spans(df, self.key, self.ts, self.hue, self.tie, self.unit)
-            parts.append(each.groupBy(self.key).agg(*(F.max(F.when(F.col(self.hue) == v, F.col(s))).cast("double").alias(f"{v}_{s}") for v in self.values for s in SPANS)))
+            each = time_spans(df, self.key, self.ts, self.hue, self.tie, self.unit, self.statistics)
+            parts.append(each.groupBy(self.key).agg(*(F.max(F.when(F.col(self.hue) == v, F.col(s))).cast("double").alias(f"{v}_{s}") for v in self.values for s in figures)))
         out = parts[0] if len(parts) == 1 else parts[0].join(parts[1], self.key, "full")
         names = [c for c in out.columns if c != self.key]
         if self.fill is not None:

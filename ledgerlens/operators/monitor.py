@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf, udtf
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ledgerlens.functions.stats import bin_of_few
 from ledgerlens.operators.ranks import row_quantiles, running, small
-from ledgerlens.session import written
+from ledgerlens.session import ship, written
 
 #: Added to each actual count, and bound of a bin's log ratio (fixed values).
 SMOOTH, LIMIT = 1e-4, 10.0
@@ -72,25 +82,114 @@ def parse_features(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(fields).alias("feature", "text")).select(*keys, "feature", F.nullif("text", F.lit("")).try_cast("double").alias("value"))
 
 
-def feature_stats_by_time(long: DataFrame, hue: str, is_benchmark: str, time: str) -> DataFrame:
+def numbers_of(text: str) -> Iterator[tuple[str, float | None]]:
+    """The default parser: the fields of a JSON object; what isn't a number is null, what isn't an object has none."""
+    try:
+        fields = json.loads(text)
+    except ValueError:
+        return
+    for name, value in fields.items() if isinstance(fields, dict) else ():
+        try:
+            yield name, None if isinstance(value, bool) else float(value)
+        except (TypeError, ValueError):
+            yield name, None
+
+
+def parse_with(df: DataFrame, column: str, keys: list[str], parser: Callable[[str], Iterable[tuple[str, float | None]]] = numbers_of) -> DataFrame:
+    """(keys, feature, value): what a parser makes of each row's text, by a table function in a lateral join.
+
+    The parser runs in the tasks, on a batch of rows at a time; a null text isn't parsed.
+    """
+    ship(df.sparkSession)
+
+    class Parse:
+        def eval(self, text: str) -> Iterator[tuple[str, float | None]]:
+            if text is not None:
+                yield from ((str(f), None if v is None else float(v)) for f, v in parser(text))
+
+    parse = udtf(Parse, returnType="_feature string, _value double", useArrow=True)
+    rows = df.select(*keys, F.col(column).alias("_text"))
+    return rows.lateralJoin(parse(F.col("_text").outer())).select(*keys, F.col("_feature").alias("feature"), F.col("_value").alias("value"))
+
+
+#: Named statistics: a function from a column to an aggregate, or one that takes the whole values of a group.
+Statistics = dict[str, "Callable[[Column], Column] | Gathered"]
+
+
+@dataclass(frozen=True)
+class Gathered:
+    """A statistic of all non-null values of a group as a float64 array, by a grouped Arrow function; each group must fit a task."""
+
+    work: Callable[[np.ndarray], float | None]
+
+
+def trimmed_mean(share: float = 0.1) -> Gathered:
+    """Mean without the floor(n share) least and greatest values; null without values."""
+
+    def mean(x: np.ndarray) -> float | None:
+        k = int(len(x) * share)
+        return float(np.sort(x)[k : len(x) - k].mean()) if len(x) - 2 * k > 0 else None
+
+    return Gathered(mean)
+
+
+def aggregated(rows: DataFrame, keys: list[str], value: str, statistics: Statistics, where: Column | None = None, prefix: str = "") -> DataFrame:
+    """(keys, statistics by name) of a column: column builders in one aggregate, gathered ones in one more, joined by the keys."""
+    x = F.col(value) if where is None else F.when(where, F.col(value))
+    plain = {n: s for n, s in statistics.items() if not isinstance(s, Gathered)}
+    gathered = {n: s for n, s in statistics.items() if isinstance(s, Gathered)}
+    parts = []
+    if plain:
+        parts.append(rows.groupBy(*keys).agg(*(s(x).alias(f"{prefix}{n}") for n, s in plain.items())))
+    if gathered:
+        ship(rows.sparkSession)
+        made = []
+        for n, s in gathered.items():
+
+            def whole(v: pa.Array, work=s.work) -> float:
+                return work(v.drop_null().cast(pa.float64()).to_numpy(zero_copy_only=False))
+
+            whole.__annotations__ = {"v": pa.Array, "return": float}
+            made.append(arrow_udf(whole, "double", ArrowUDFType.GROUPED_AGG)("_x").alias(f"{prefix}{n}"))
+        parts.append(rows.withColumn("_x", x.cast("double")).groupBy(*keys).agg(*made))
+    if len(parts) < 2:
+        return parts[0]
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return parts[0].alias("l").join(parts[1].alias("r"), reduce(and_, same)).select("l.*", *(f"r.{prefix}{n}" for n in gathered))
+
+
+def feature_stats_by_time(long: DataFrame, hue: str, is_benchmark: str, time: str, statistics: Statistics | None = None) -> DataFrame:
     """(hue, feature, day, ks, volume, and median, std and mean of the day and of the benchmark) of a table (hue, feature, value, ...).
 
-    Volume counts missing values too. A feature that the benchmark lacks has no ks.
+    Volume counts missing values too. A feature that the benchmark lacks has no
+    ks. ``statistics`` are further ones, as in :func:`aggregated`.
     """
     keyed = long.select(F.struct(hue, "feature").alias("k"), F.col("value"), F.col(is_benchmark).alias("b"), F.col(time).alias("day"))
     ks = ks_by_time(keyed, "k", "value", "b", "day").select("k", "day", F.round("ks", 3).alias("ks"))
 
     def figures(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         middle = row_quantiles(rows, keys, [0.5]).select(*keys, F.round(F.col("q")[0], 6).alias(f"{prefix}_median"))
-        return rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_volume"), F.round(F.stddev_samp("value"), 6).alias(f"{prefix}_std"), F.round(F.avg("value"), 6).alias(f"{prefix}_mean")).join(middle, keys, "left")
+        out = rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}_volume"), F.round(F.stddev_samp("value"), 6).alias(f"{prefix}_std"), F.round(F.avg("value"), 6).alias(f"{prefix}_mean")).join(middle, keys, "left")
+        return out.join(aggregated(rows, keys, "value", statistics, prefix=f"{prefix}_"), keys, "left") if statistics else out
 
     days = figures(keyed.where("not b"), ["k", "day"], "day")
     bench = figures(keyed.where("b"), ["k"], "bench").drop("bench_volume")
     out = days.join(ks, ["k", "day"], "left").join(bench, "k", "left")
-    return out.select(F.col("k")[hue].alias(hue), F.col("k")["feature"].alias("feature"), "day", "ks", F.col("day_volume").alias("volume"), *(f"{p}_{s}" for p in ("day", "bench") for s in ("median", "std", "mean")))
+    return out.select(F.col("k")[hue].alias(hue), F.col("k")["feature"].alias("feature"), "day", "ks", F.col("day_volume").alias("volume"), *(f"{p}_{s}" for p in ("day", "bench") for s in ("median", "std", "mean", *(statistics or {}))))
+
+
+def sketches_by_time(df: DataFrame, keys: list[str], value: str, ident: str | None = None) -> DataFrame:
+    """(keys, n, kinds, ranks): mergeable sketches of each group, of distinct values of ``ident`` (``value`` if not given) and of the order of ``value``."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col(ident or value).cast("string"), 12).alias("kinds"), F.kll_sketch_agg_double(F.col(value).cast("double"), 400).alias("ranks"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, n, distinct, quantiles): sketches of any groups merged, never their rows; quantiles are within 1 % of ranks."""
+    one = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_union_agg("kinds").alias("kinds"), F.kll_merge_agg_double("ranks").alias("ranks"))
+    return one.select(*keys, "n", F.hll_sketch_estimate("kinds").alias("distinct"), F.array(*(F.kll_sketch_get_quantile_double("ranks", F.lit(float(p))) for p in shares)).alias("quantiles"))
 
 
-def monitor(df: DataFrame, hue: str, score: str, features: str, is_benchmark: str, time: str, passed: str) -> dict[str, DataFrame]:
-    """The drift of a deployed model: psi of its score, and figures of the features in a JSON column, both by day."""
+def monitor(df: DataFrame, hue: str, score: str, features: str, is_benchmark: str, time: str, passed: str, parser: Callable | None = None, statistics: Statistics | None = None) -> dict[str, DataFrame]:
+    """The drift of a deployed model: psi of its score, and figures of the features in a column, both by day; JSON or what ``parser`` reads, with further ``statistics``."""
     keys = [hue, is_benchmark, time]
-    return {"psi": psi_by_time(df, hue, score, is_benchmark, time, passed), "features": feature_stats_by_time(parse_features(df, features, keys), hue, is_benchmark, time)}
+    return {"psi": psi_by_time(df, hue, score, is_benchmark, time, passed), "features": feature_stats_by_time(parse_with(df, features, keys, parser) if parser else parse_features(df, features, keys), hue, is_benchmark, time, statistics)}

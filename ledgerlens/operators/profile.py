@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ranks import quantiles, value_table
+from ledgerlens.session import written
 
 
 def long_form(df: DataFrame, columns: list[str], kind: str, keys: list[str] | None = None) -> DataFrame:
@@ -40,12 +41,14 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, standard deviation, least, quartiles and greatest of numeric columns, and the share missing."""
+    """Count, mean, standard deviation, least, quartiles and greatest of numeric columns, and the shares missing and of the commonest value."""
     v, long = F.col("value"), long_form(df, columns, "double")
     rows = long.groupBy("feature").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.avg(v.isNull().cast("int")).alias("missing"))
-    rows = rows.join(quantiles(value_table(long, ["feature"]), ["feature"], [0.25, 0.5, 0.75], once=True), "feature", "left")
+    values = value_table(long, ["feature"])
+    rows = rows.join(quantiles(values, ["feature"], [0.25, 0.5, 0.75], once=True), "feature", "left")
+    rows = rows.join(values.groupBy("feature").agg(F.max(F.when(v.isNotNull(), F.col("n"))).alias("most"), F.sum("n").alias("rows")), "feature")
     r = lambda c: F.round(c, 6)
-    return rows.select("feature", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "least", r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), "greatest", r("missing").alias("missing"))
+    return rows.select("feature", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "least", r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), "greatest", r("missing").alias("missing"), r(F.col("most") / F.col("rows")).alias("same"))
 
 
 def kinds(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
@@ -63,17 +66,78 @@ def prune_list(df: DataFrame, columns: list[str], nan_cut: float = 0.8, same_cut
     return d.select("feature", reason.alias("reason")).where("reason is not null")
 
 
+#: Ratios of equal columns, and their fingerprints, differ by no more than this.
+CLOSE = 1e-9
+
+
+def _same_up_to_ratio(a: str, b: str) -> Column:
+    """Aggregate: whether two columns have nulls and zeros in the same rows and one ratio elsewhere."""
+    x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
+    ratio = F.try_divide(y.cast("double"), x.cast("double"))
+    zeros = F.bool_and((F.coalesce(x, F.lit(0)) == 0) == (F.coalesce(y, F.lit(0)) == 0))
+    return F.bool_and(x.isNull() == y.isNull()) & zeros & F.coalesce(F.max(ratio) - F.min(ratio) <= CLOSE, F.lit(True))
+
+
+def duplicate_groups(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """For each numeric column the first one that it equals up to a constant ratio, itself if there is none.
+
+    A column's fingerprint is made of order-free sums over its rows: of hashes
+    of the rows where it is null and where it is zero, and of its values with
+    signs that a row's hash draws, over the first value that isn't zero. Only
+    columns whose fingerprints agree are compared, each with the first of its
+    kind; so the work is linear in columns, but where fingerprints agree by
+    chance. The rows are written once, as their numbers must not change.
+    """
+    rows = written(df.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").cast("double").alias(c) for c in columns)), "columns")
+    long = rows.unpivot(["_row"], [F.col(f"`{c}`") for c in columns], "feature", "value")
+    v, mark = F.col("value"), F.xxhash64("_row")
+    sign = lambda bit: F.when(F.shiftrightunsigned(mark, bit).bitwiseAND(F.lit(1)) == 0, v).otherwise(-v)
+    count = lambda where: F.sum(F.when(where, F.shiftrightunsigned(mark, 24)))
+    prints = long.groupBy("feature").agg(count(v.isNull()).alias("nulls"), count(v == 0).alias("zeros"), F.min(F.when(v != 0, F.struct("_row", v))).alias("first"), F.sum(F.abs(v)).alias("size"), *(F.sum(sign(bit)).alias(f"s{bit}") for bit in (3, 17))).collect()  # one row for each column
+    place = {c: i for i, c in enumerate(columns)}
+
+    def scaled(r) -> tuple[float, ...]:
+        first = r["first"]["value"] if r["first"] else 1.0
+        return (r["size"] or 0.0) / abs(first), (r["s3"] or 0.0) / first, (r["s17"] or 0.0) / first
+
+    exact: dict[tuple, list] = {}
+    for r in sorted(prints, key=lambda r: place[r["feature"]]):
+        exact.setdefault((r["nulls"], r["zeros"], r["first"]["_row"] if r["first"] else None), []).append((r["feature"], scaled(r)))
+    found, waiting = {c: c for c in columns}, []
+    for members in exact.values():
+        # In order of size, so that only neighbours can agree; a kind is named by its first column.
+        members.sort(key=lambda m: abs(m[1][0]))
+        kind: list = []
+        for name, mark in [*members, (None, None)]:
+            if kind and (name is None or abs(abs(mark[0]) - abs(kind[-1][1][0])) > 1e-6 * max(1.0, abs(mark[0]))):
+                waiting += _agreeing(kind, place)
+                kind = []
+            kind.append((name, mark))
+    for lo in range(0, len(waiting), 200):
+        part = waiting[lo : lo + 200]
+        row = rows.agg(*(_same_up_to_ratio(a, b).alias(f"p{i}") for i, (a, b) in enumerate(part))).first()
+        found |= {b: a for i, (a, b) in enumerate(part) if row[f"p{i}"]}
+    return found
+
+
+def _agreeing(kind: list, place: dict[str, int]) -> list[tuple[str, str]]:
+    """(first, other) of columns of about the same size whose signed sums agree too."""
+    heads: list[tuple[str, tuple]] = []
+    out = []
+    for name, mark in sorted(kind, key=lambda m: place[m[0]]):
+        near = next((h for h, m in heads if all(abs(x - y) <= 1e-6 * max(1.0, abs(mark[0])) for x, y in zip(m, mark, strict=True))), None)
+        if near is None:
+            heads.append((name, mark))
+        else:
+            out.append((near, name))
+    return out
+
+
 def duplicate_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of numeric columns that are equal up to a constant ratio, found in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    checks = []
-    for a, b in pairs:
-        ratio = F.try_divide(F.col(b).cast("double"), F.col(a).cast("double"))
-        same_nulls = F.bool_and(F.col(a).isNull() == F.col(b).isNull())
-        zeros = F.bool_and((F.coalesce(F.col(a), F.lit(0)) == 0) == (F.coalesce(F.col(b), F.lit(0)) == 0))
-        checks.append((same_nulls & zeros & F.coalesce(F.max(ratio) - F.min(ratio) <= 1e-9, F.lit(True))).alias(f"{a}={b}"))
-    names = [f"{a}={b}" for a, b in pairs]
-    return df.agg(*checks).unpivot([], names, "pair", "duplicate").select(F.split("pair", "=")[0].alias("left_column"), F.split("pair", "=")[1].alias("right_column"), "duplicate")
+    """Whether two numeric columns are equal up to a constant ratio, for each pair of them. For wide frames see :func:`duplicate_groups`."""
+    first = duplicate_groups(df, columns)
+    pairs = [(a, b, first[a] == first[b]) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return df.sparkSession.createDataFrame(pairs, "left_column string, right_column string, duplicate boolean")
 
 
 def target_by_segment(df: DataFrame, label: str, segment: str) -> DataFrame:

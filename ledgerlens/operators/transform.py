@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType, NumericType
@@ -16,7 +17,8 @@ from ledgerlens.operators.binning import edges_of
 from ledgerlens.operators.evaluate import null_woe, value_counts, woe_table
 from ledgerlens.operators.mdlp import gini_cuts
 from ledgerlens.operators.profile import describe_columns, kinds, long_form, prune_list
-from ledgerlens.operators.ranks import quantiles, value_table
+from ledgerlens.operators.ranks import numbered, quantiles, value_table
+from ledgerlens.session import ship
 
 
 def by_type(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -108,6 +110,29 @@ class CountEncoder(Encoder):
         return df.groupBy(F.col(column).cast("string").alias("value")).agg((F.ln(n) if self.log else n).alias("code")), 0.0 if self.log else 1.0
 
 
+#: Numbers that are drawn at once.
+DRAWN = 1 << 20
+
+
+def _with_noise(batches: Iterator[pa.RecordBatch], scale: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """(value, code) of rows in order of ``place``: the place'th normal number of the seed's sequence is added.
+
+    The sequence can't be entered in its middle, so a task draws all numbers
+    before its own, DRAWN at a time: 20 s for a billion.
+    """
+    draw, begin, block = np.random.RandomState(seed), 0, np.empty(0)
+    for batch in batches:
+        place, noise = batch["place"].to_numpy(), np.empty(batch.num_rows)
+        at = 0
+        while at < len(place):
+            while place[at] >= begin + len(block):
+                begin, block = begin + len(block), draw.normal(0, scale, DRAWN)
+            end = int(np.searchsorted(place, begin + len(block)))
+            noise[at:end] = block[place[at:end] - begin]
+            at = end
+        yield pa.RecordBatch.from_arrays([batch["value"], pa.array(batch["encoded"].to_numpy() + noise)], ["value", "code"])
+
+
 class TargetEncoder(Encoder):
     """Mean label drawn to the overall mean by a share of the value's rows, with seeded noise for each value in order; unseen: the mean."""
 
@@ -119,13 +144,9 @@ class TargetEncoder(Encoder):
         overall = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
         if not self.noise:
             return means.select("value", F.col("encoded").alias("code")), overall
-        from ledgerlens.operators.ranks import numbered
-
-        ranked = numbered(means, ["value"], "place")
-        # The drawn numbers are one for each value, in its order.
-        drawn = np.random.RandomState(self.seed).normal(0, self.noise, ranked.count()).tolist()
-        noise = df.sparkSession.createDataFrame(list(enumerate(drawn)), "place long, noise double")
-        return ranked.join(noise, "place").select("value", (F.col("encoded") + F.col("noise")).alias("code")), overall
+        ship(df.sparkSession)
+        ranked = numbered(means, ["value"], "place").select("value", "encoded", "place").repartitionByRange("place").sortWithinPartitions("place")
+        return ranked.mapInArrow(partial(_with_noise, scale=self.noise, seed=self.seed), "value string, code double"), overall
 
 
 class WoeEncoder(Encoder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
-from ledgerlens.operators import binning, curves, encode, evaluate, history, models, monitor, profile, ranks, rules, split
+from ledgerlens.operators import binning, curves, encode, evaluate, history, models, monitor, profile, ranks, rules, split, univariate
 from ledgerlens.plans.base import QUERIES, SQL, register
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
@@ -40,27 +40,12 @@ def overall_overdue(spark, d):
 
 @register("WITH o AS (SELECT o_orderpriority AS value, sum((o_orderstatus = 'F')::int)::double AS bad, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, sum(bad) OVER () AS b, sum(n - bad) OVER () AS g, sum(n) OVER () AS total FROM o) SELECT value, n, bad::bigint AS bad, round_even(100 * bad / n / (b / total), 0) AS idx, round(100.0 * n / total, 3) AS share, round(100 * bad / n, 3) AS rate, round(ln((bad / b) / ((n - bad) / g)), 6) AS woe, round((bad / b - (n - bad) / g) * ln((bad / b) / ((n - bad) / g)), 6) AS iv FROM t")
 def discrete_iv(spark, d):
-    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("bad"), F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy()
-    t = o.select("*", F.sum("bad").over(w).alias("b"), F.sum(F.col("n") - F.col("bad")).over(w).alias("g"), F.sum("n").over(w).alias("total"))
-    woe = F.ln((F.col("bad") / F.col("b")) / ((F.col("n") - F.col("bad")) / F.col("g")))
-    return t.select("value", "n", F.col("bad").cast("long").alias("bad"), F.bround(100 * F.col("bad") / F.col("n") / (F.col("b") / F.col("total")), 0).alias("idx"), F.round(100.0 * F.col("n") / F.col("total"), 3).alias("share"), F.round(100 * F.col("bad") / F.col("n"), 3).alias("rate"), F.round(woe, 6).alias("woe"), F.round((F.col("bad") / F.col("b") - (F.col("n") - F.col("bad")) / F.col("g")) * woe, 6).alias("iv"))
+    return univariate.discrete_table(table(spark, d, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int")), "o_orderpriority", "y")
 
 
 @register("WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem), b AS (SELECT CASE WHEN l_extendedprice <= lo THEN 1 WHEN l_extendedprice >= hi THEN 12 ELSE ceil((l_extendedprice - lo) / ((hi - lo) / 10)) + 1 END::bigint AS bin, l_extendedprice AS x, (l_returnflag = 'R')::int AS y FROM lineitem, q), g AS (SELECT bin, count(*) AS n, sum(y) AS bad, avg(x) AS m FROM b GROUP BY 1), t AS (SELECT *, sum(bad) OVER () AS b, sum(n - bad) OVER () AS g FROM g) SELECT bin, n, bad::bigint AS bad, round(m, 4) AS mean, round(ln((g / b) * (bad + 1) / (n - bad + 1)), 6) AS woe, round((bad / b - (n - bad) / g) * ln((g / b) * (bad + 1) / (n - bad + 1)), 6) AS iv FROM t")
 def continuous_bins(spark, d):
-    from pyspark.sql import Window
-
-    x = lines(spark, d).select(F.col("l_extendedprice").alias("x"), "y")
-    q = ranks.quantiles(ranks.value_table(x, [], "x"), [], [0.01, 0.99], "x").select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    at = F.when(F.col("x") <= F.col("lo"), 1).when(F.col("x") >= F.col("hi"), 12).otherwise(F.ceil((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)) + 1).cast("long")
-    g = x.join(F.broadcast(q)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.avg("x").alias("m"))
-    w = Window.partitionBy()
-    t = g.select("*", F.sum("bad").over(w).alias("b"), F.sum(F.col("n") - F.col("bad")).over(w).alias("g"))
-    woe = F.ln((F.col("g") / F.col("b")) * (F.col("bad") + 1) / (F.col("n") - F.col("bad") + 1))
-    return t.select("bin", "n", "bad", F.round("m", 4).alias("mean"), F.round(woe, 6).alias("woe"), F.round((F.col("bad") / F.col("b") - (F.col("n") - F.col("bad")) / F.col("g")) * woe, 6).alias("iv"))
+    return univariate.continuous_table(lines(spark, d), "l_extendedprice", "y")
 
 
 # --- profiles --------------------------------------------------------------------------------------------------------
@@ -78,7 +63,7 @@ def coverage(spark, d):
     return profile.coverage(lines(spark, d), ["discount_or_null", "l_tax"])
 
 
-@register(f"WITH {L}, {LONG} SELECT feature, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS greatest, round(avg((value IS NULL)::int), 6) AS missing FROM long GROUP BY 1")
+@register(f"WITH {L}, {LONG} SELECT feature, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS greatest, round(avg((value IS NULL)::int), 6) AS missing, round(any_value(same) / count(*), 6) AS same FROM long JOIN (SELECT feature, max(n) AS same FROM (SELECT feature, value, count(*) AS n FROM long GROUP BY ALL) GROUP BY 1) s USING (feature) GROUP BY 1")
 def describe(spark, d):
     return profile.numeric_summary(lines(spark, d), NUMERIC)
 
@@ -448,6 +433,6 @@ def gbt_cv(spark, d):
     return models.cross_validate(_model_frame(spark, d), NUMERIC, "y", ["l_orderkey", "l_linenumber"], "gbt", stop_early=True, maxIter=20, maxDepth=5, seed=7)
 
 
-from ledgerlens.plans import extended  # noqa: E402  registers the rest
+from ledgerlens.plans import extended, further  # noqa: E402  register the rest
 
-__all__ = ["QUERIES", "SQL", "extended"]
+__all__ = ["QUERIES", "SQL", "extended", "further"]

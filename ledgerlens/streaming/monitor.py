@@ -16,11 +16,22 @@ def binned_counts(stream: DataFrame, edges: DataFrame, hue: str, score: str, ts:
     return rows.groupBy(F.window("_ts", width).alias("window"), hue, at).agg(F.count("*").alias("n"))
 
 
-def drained(spark: SparkSession, source: str, edges: DataFrame, hue: str, score: str, ts: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """The counts of all files that a folder of parquet holds now, as the stream leaves them in the shared folder."""
+def drained(spark: SparkSession, source: str, edges: DataFrame, hue: str, score: str, ts: str, late: str = "1 day", width: str = "1 day", files: int | None = None, progress: list | None = None) -> DataFrame:
+    """The counts of all files that a folder of parquet holds now, as the stream leaves them in the shared folder.
+
+    Each batch writes the counts that it changed below its own number, so a
+    repeated batch overwrites itself, and the last batch of a count holds. The
+    state of a window ends once the watermark, ``late`` behind the newest row
+    of the batches before, has passed it; rows that come a batch later are dropped.
+    ``files`` are read a batch; ``progress`` takes the batches' figures.
+    """
     out, state = scratch(spark, "drift"), scratch(spark, "drift-state")
-    counts = binned_counts(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), edges, hue, score, ts, late, width)
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    counts = binned_counts((reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source), edges, hue, score, ts, late, width)
     counts = counts.select(F.col("window.start").alias("start"), hue, "bin", "n")
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    if progress is not None:
+        progress += query.recentProgress
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in counts.schema)}, batch long").parquet(out)
+    return rows.groupBy("start", hue, "bin").agg(F.max_by("n", "batch").alias("n"))

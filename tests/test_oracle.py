@@ -11,8 +11,6 @@ from ledgerlens.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow to fit without SQL; their operators are held against plain versions in test_supervised.
-SLOW = {"gbt_cv", "lr_cv", "train_service", "imbalance_cv"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +31,7 @@ def rows(frame):
     return columns, sorted(tuple(plain(getattr(v, "item", lambda v=v: v)()) for v in r) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     if name not in SQL:
