@@ -86,7 +86,7 @@ def record_source(spark, d):
 # --- tables of a feature, given cuts, data sets ------------------------------------------------------------------------
 
 
-@register("WITH x AS (SELECT nullif(l_discount, 0.0) AS x, (l_returnflag = 'R')::int AS y FROM lineitem), q AS (SELECT quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM x), b AS (SELECT CASE WHEN x IS NULL THEN 0 WHEN x <= lo THEN 1 WHEN x >= hi THEN 12 ELSE ceil((x - lo) / ((hi - lo) / 10)) + 1 END::bigint AS bin, x, y FROM x, q), g AS (SELECT bin, count(*) AS n, sum(y) AS bad, avg(x) AS m FROM b GROUP BY 1), t AS (SELECT *, sum(bad) OVER () AS b, sum(n - bad) OVER () AS g FROM g) SELECT bin, n, bad::bigint AS bad, round(m, 4) AS mean, round(ln((g / b) * (bad + 1) / (n - bad + 1)), 6) AS woe, round((bad / b - (n - bad) / g) * ln((g / b) * (bad + 1) / (n - bad + 1)), 6) AS iv FROM t")
+@register("WITH x AS (SELECT nullif(l_discount, 0.0) AS x, (l_returnflag = 'R')::int AS y FROM lineitem), q AS (SELECT quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM x), b AS (SELECT CASE WHEN x IS NULL THEN 0 WHEN x <= lo THEN 1 WHEN x >= hi THEN 12 ELSE ceil((x - lo) / ((hi - lo) / 10)) + 1 END::bigint AS bin, x, y FROM x, q), g AS (SELECT bin, count(*) AS n, sum(y) AS bad, avg(x) AS m FROM b GROUP BY 1), t AS (SELECT *, sum(bad) OVER () AS b, sum(n - bad) OVER () AS g FROM g) SELECT bin, n, bad::bigint AS bad, round(m, 4) AS mean, round(ln((g / b) * (bad + 1) / (n - bad + 1)), 6) AS woe, coalesce(nullif(round((bad / b - (n - bad) / g) * ln((g / b) * (bad + 1) / (n - bad + 1)), 6), 0.0), 0.0) AS iv FROM t")
 def null_bin(spark, d):
     return univariate.continuous_table(lines(spark, d), "discount_or_null", "y")
 
