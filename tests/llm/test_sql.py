@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerlens.llm.queries import QUERIES, SQL
@@ -13,9 +14,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    plain = lambda f: sorted(tuple("null" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    plain = lambda f: sorted(tuple("null" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
