@@ -4,7 +4,9 @@ Texts become words (A-Z lower-cased; digits, letters and all non-ASCII
 characters are word characters). Every run of ``n`` consecutive benchmark
 words is a window; a benchmark item of fewer words is one window. The windows
 are a broadcast hash set, document windows are looked up by their hash, each
-hit is verified word by word, and documents or spans are removed.
+hit is verified word by word, and documents or spans are removed. Too many
+windows for a broadcast are a bitmap of hashes, of bounded size, that document
+windows must pass before they are shuffled to the windows themselves.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import measured, table
+from ledgerlens.llm.common import measured, table, written
 
 #: Everything that separates words, as a character class.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -21,6 +23,10 @@ RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most windows, and item ids in them, that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 300_000
+#: Most bytes of windows and item ids that are broadcast, as words may be very long.
+BROADCAST_BYTES = 64 << 20
+#: Bits of a row of the bitmap; bits for each window; most bits, 32 MB of them, that are broadcast.
+ROW_BITS, WINDOW_BITS, MOST_BITS = 32_768, 32, 1 << 28
 #: Most contaminated texts, named by two longs, that are broadcast.
 BROADCAST_TEXTS = 100_000
 
@@ -60,9 +66,36 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _bit(of_hash: Column, n_bits: int) -> Column:
+    """A hash's place in a bitmap, from 1 as Spark numbers bits."""
+    return F.pmod(F.xxhash64(of_hash), F.lit(n_bits)) + 1
+
+
+def hash_bits(windows: DataFrame, n_bits: int) -> DataFrame:
+    """(bits_row, bits): the windows' hashes as a bitmap of n_bits, ROW_BITS of them a row, as longs."""
+    bit = _bit(F.col("hash"), n_bits)
+    rows = windows.groupBy(F.bitmap_bucket_number(bit).alias("bits_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    long_at = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return rows.select("bits_row", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), long_at).alias("bits"))
+
+
+def may_hit(rows: DataFrame, bits: DataFrame, n_bits: int, stays: Column) -> DataFrame:
+    """Rows whose hash has its bit set, and those that stay in any case; false hits are about one in WINDOW_BITS."""
+    at = F.bitmap_bit_position(_bit(F.col("hash"), n_bits))
+    # Bytes lie in a long from the highest, bits in a byte from the lowest.
+    shift = (56 - F.floor(at % 64 / 8) * 8 + at % 8).cast("int")
+    is_set = F.call_function("shiftright", F.get("bits", F.floor(at / 64).cast("int")), shift).bitwiseAND(F.lit(1).cast("long")) == 1
+    met = rows.withColumn("bits_row", F.bitmap_bucket_number(_bit(F.col("hash"), n_bits))).join(F.broadcast(bits), "bits_row", "left")
+    return met.where(F.coalesce(is_set, F.lit(False)) | stays).drop("bits_row", "bits")
+
+
 def _hits(docs: DataFrame, keys: list[str], benchmark: DataFrame, n: int, keep_all: bool) -> DataFrame:
     """Rows (keys, n_words, place, length, items) of verified hits; with ``keep_all`` one more row per document."""
-    windows, size = measured(benchmark_windows(benchmark, n), "windows", n=F.count(F.lit(1)), m=F.coalesce(F.sum(F.size("items")), F.lit(0)), lengths=F.collect_set("length"))
+    octets = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x))
+    none = F.lit(0).cast("long")
+    windows, size = measured(
+        benchmark_windows(benchmark, n), "windows", n=F.count(F.lit(1)), m=F.coalesce(F.sum(F.size("items")), none), octets=F.coalesce(F.sum(octets("window") + octets("items")), none), lengths=F.collect_set("length")
+    )
     lengths = sorted(size["lengths"]) or [n]
     rows = docs.select(*keys, words(F.col("text")).alias("_w"))
     runs = F.concat(*(_windows_of(F.col("_w"), k) for k in lengths))
@@ -72,11 +105,16 @@ def _hits(docs: DataFrame, keys: list[str], benchmark: DataFrame, n: int, keep_a
     rows = rows.select(*keys, "n_words", "_w", F.posexplode_outer("_runs").alias("_at", "_run"))
     rows = rows.select(*keys, "n_words", "_w", "_at", "_run.place", "_run.length", "_run.hash")
     how = "left" if keep_all else "inner"
-    if max(size["n"], size["m"]) <= BROADCAST_WINDOWS:
+    if max(size["n"], size["m"]) <= BROADCAST_WINDOWS and size["octets"] <= BROADCAST_BYTES:
         found = rows.join(F.broadcast(windows.select("hash", "window", "items")), "hash", how)
         there = F.slice("_w", F.col("place"), F.col("length"))
     else:
-        # The document's words must not travel with each of its windows.
+        # Only windows whose hash may be there, and each document's first, travel; with their own words alone.
+        n_bits = ROW_BITS
+        while n_bits < min(WINDOW_BITS * size["n"], MOST_BITS):
+            n_bits *= 2
+        bits = written(hash_bits(windows, n_bits), "window-bits")
+        rows = may_hit(rows, bits, n_bits, F.coalesce(F.col("_at") == 0, F.lit(True)) if keep_all else F.lit(False))
         found = rows.withColumn("_there", F.slice("_w", F.col("place"), F.col("length"))).drop("_w").join(windows.select("hash", "window", "items"), "hash", how)
         there = F.col("_there")
     found = found.select(*keys, "n_words", "_at", "place", "length", F.when(F.col("window").isNotNull() & (F.col("window") == there), F.col("items")).alias("items"))
