@@ -23,7 +23,7 @@ Schema = dict[str, dict[str, dict[str, Any]]]
 #: How a variant reports each JSON type.
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL%", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "null": ["VOID"], "object": ["OBJECT%"], "array": ["ARRAY%"]}
 #: Dependencies of a call that are looked at for ones that others imply; longest wait list that is passed on; longest that grows.
-IMPLIED, PASSED, GROWING = 16, 4, 64
+IMPLIED, PASSED, GROWING = 16, 16, 64
 
 
 def _is(kind: Column, types: list[str]) -> Column:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, common, language, near_dups, token_counts
+from ledgerlens.llm import bpe, common, decontaminate, language, near_dups, token_counts, tool_calls
 
 
 def test_chances_at_ten_billion_rows():
@@ -71,3 +71,30 @@ def test_every_pair_of_different_labels_meets_once(spark, monkeypatch):
         pairs = [(a, b) for a in g.itertuples() for b in g.itertuples() if (a.side == 0 and b.side == 1 if across else a.node < b.node)]
         met += [tuple(sorted((a.node, b.node))) for a, b in pairs if a.label != b.label]
     assert sorted(met) == sorted((a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 % 4 != b % 7 % 4)
+
+
+def test_windows_beyond_the_broadcast(spark, monkeypatch):
+    """The bitmap lets every hit pass and few others; both ways give the same rows on the given tables."""
+    windows = spark.range(5_000).select(F.xxhash64("id").alias("hash"))
+    n_bits = 1 << 18
+    bits = decontaminate.hash_bits(windows, n_bits)
+    assert bits.count() == n_bits // decontaminate.ROW_BITS and {r.n for r in bits.select(F.size("bits").alias("n")).collect()} == {decontaminate.ROW_BITS // 64}
+    passed = lambda first, last: decontaminate.may_hit(spark.range(first, last).select(F.xxhash64("id").alias("hash")), bits, n_bits, F.lit(False)).count()
+    assert passed(0, 5_000) == 5_000
+    assert passed(5_000, 105_000) < 100_000 * 5_000 / n_bits * 1.2
+    docs, bench = (common.table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
+    figures = lambda: sorted(map(str, decontaminate.scan(docs, bench).select("doc_id", "n_words", "n_hit", "items_sha256").collect()))
+    want = figures()
+    assert any("n_hit=0" not in r for r in want)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert figures() == want
+
+
+def test_layers_of_many_waits(spark, monkeypatch):
+    """Layers 8 wide and 200 deep are halved in each round, not settled one by one."""
+    wide, deep, rounds = 8, 200, []
+    write = tool_calls.measured
+    monkeypatch.setattr(tool_calls, "measured", lambda df, name, **figures: rounds.append(name) or write(df, name, **figures))
+    rows = spark.range(wide * deep).select(F.col("id").cast("string").alias("call_id"), F.transform(F.sequence(F.lit(1), F.lit(wide)), lambda k: ((F.floor(F.col("id") / wide) - 1) * wide + k - 1).cast("string")).alias("after"))
+    assert {int(r.call_id): r.level for r in tool_calls.levels(rows).collect()} == {i: i // wide for i in range(wide * deep)}
+    assert len(rounds) <= 11
