@@ -13,6 +13,7 @@ from ledgerlens.operators.binning import inner_quantiles
 from ledgerlens.operators.evaluate import ks_auc, value_counts
 from ledgerlens.operators.profile import long_form
 from ledgerlens.operators.ranks import running, value_table
+from ledgerlens.session import written
 
 
 def iv_or_zero(pos: Column, neg: Column, pos_all: Column, neg_all: Column) -> tuple[Column, Column]:
@@ -102,6 +103,27 @@ def labels_by_bin(df: DataFrame, feature: str, labels: list[str], special: str,
     return g.select("label", "bin", range_text(F.col("low"), F.col("high")).alias("range"), "n", F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"), "positives", F.round(F.try_divide("positives", F.sum("positives").over(w)), 6).alias("positive_share"), F.round("mean", 6).alias("mean"))
 
 
+def reused_splits(df: DataFrame, features: list[str], labels: list[str], special: str, bins: int = 10) -> DataFrame:
+    """(label, feature, bin, n, positives): the values that rows with ``special`` give to quantile bins, applied to rows of every label.
+
+    A bin is a list of values, so a value that no row with the special label
+    holds is in none: its rows are counted with a null bin, as unseen. Nulls
+    of a feature are bin -1 if such a row has one, else unseen. Rows without a
+    label don't count for it; bins that a label has no rows of are left out,
+    so an empty table gives none. Each value meets its bin once, after its rows
+    are counted.
+    """
+    rows = long_form(df, features, "double", list(dict.fromkeys([special, *labels])))
+    of_label = [(y, F.count(F.col(y)).alias(f"n_{i}"), F.count_if(F.col(y) > 0).alias(f"pos_{i}")) for i, y in enumerate(labels)]
+    # Read for the edges and for the bins.
+    counts = written(rows.groupBy("feature", "value").agg(F.count(F.col(special)).alias("fitted"), *(c for _, n, pos in of_label for c in (n, pos))), "split-values")
+    edges = inner_quantiles(counts.where("value is not null and fitted > 0"), ["feature"], bins, n="fitted")
+    at = F.when(F.col("fitted") > 0, F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(-1).cast("long")))
+    g = counts.join(edges, "feature", "left").groupBy("feature", at.alias("bin")).agg(*(F.sum(f"{c}_{i}").alias(f"{c}_{i}") for i in range(len(labels)) for c in ("n", "pos")))
+    each = F.array(*(F.struct(F.lit(y).alias("label"), F.col(f"n_{i}").alias("n"), F.col(f"pos_{i}").alias("positives")) for i, y in enumerate(labels)))
+    return g.select("feature", "bin", F.inline(each)).where("n > 0").select("label", "feature", "bin", "n", "positives")
+
+
 def kinds_by_bin(df: DataFrame, feature: str, kind: str, bins: int = 10) -> DataFrame:
     """(bin, kind, n, share, running_share): how a kind fills each bin, and all bins up to it."""
     v = df.select(F.col(feature).cast("double").alias("value"), F.col(kind).alias("kind")).where("value is not null and kind is not null")

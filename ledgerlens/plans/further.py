@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import curves, ffm, history, models, monitor, profile, structure, univariate
-from ledgerlens.plans.base import register
-from ledgerlens.plans.extended import _IDS, _frame
+from ledgerlens.operators import curves, ffm, history, labels, models, monitor, profile, structure, univariate
+from ledgerlens.plans.base import SQL, register
+from ledgerlens.plans.extended import _IDS, _edges, _frame, _late
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
 from ledgerlens.session import scratch, table
@@ -113,6 +113,28 @@ def wide_duplicates(spark, d):
     return spark.createDataFrame(list(found.items()), "feature string, same_as string")
 
 
+_OF_LABEL = "SELECT '{0}' AS label, feature, coalesce(bin, -2)::bigint AS bin, count({0}) AS n, coalesce(sum(({0} > 0)::int), 0)::bigint AS positives FROM b GROUP BY feature, bin HAVING count({0}) > 0"
+
+
+@register(
+    "WITH x AS (SELECT f AS feature, v, (l_returnflag = 'R')::int AS y, CASE WHEN l_linestatus = 'O' THEN (l_returnflag = 'R')::int END AS late FROM lineitem, LATERAL (VALUES ('l_extendedprice', l_extendedprice), ('discount_or_null', nullif(l_discount, 0.0))) t(f, v)), "
+    f"e AS ({_edges('v', 'x WHERE late IS NOT NULL', 'feature')}), s AS (SELECT DISTINCT feature, v FROM x WHERE late IS NOT NULL), "
+    "b AS (SELECT x.feature, CASE WHEN s.feature IS NULL THEN NULL WHEN x.v IS NULL THEN -1 ELSE len(list_filter(e, lambda z: z < x.v)) END AS bin, y, late FROM x JOIN e USING (feature) LEFT JOIN s ON s.feature = x.feature AND s.v IS NOT DISTINCT FROM x.v) "
+    f"{_OF_LABEL.format('y')} UNION ALL {_OF_LABEL.format('late')}"
+)
+def reused_splits(spark, d):
+    """Bins of values that open lines hold, applied to all lines; those of other values, unseen, are bin -2 here."""
+    return labels.reused_splits(_late(spark, d), ["l_extendedprice", "discount_or_null"], ["y", "late"], "late").fillna(-2, ["bin"])
+
+
+@register(f"SELECT event_type, feature, day, 'ks' AS figure, ks AS drift, volume FROM ({SQL['json_feature_stats']}) UNION ALL SELECT event_type, 'value', day, 'psi', psi, volume FROM ({SQL['psi_by_day']})")
+def monitor_whole(spark, d):
+    """All of a deployed model's drift by day: PSI of its score and KS of the features in its JSON column."""
+    found = monitor.monitor(events(spark, d), "event_type", "value", "props", "bench", "day", "passed")
+    stats = found["features"].select("event_type", "feature", "day", F.lit("ks").alias("figure"), F.col("ks").alias("drift"), "volume")
+    return stats.union(found["psi"].select("event_type", F.lit("value"), "day", F.lit("psi"), "psi", "volume"))
+
+
 # --- models ----------------------------------------------------------------------------------------------------------
 
 

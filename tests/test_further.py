@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import binning, ffm, models, monitor, profile, ranks, transform
+from ledgerlens.operators import binning, ffm, labels, models, monitor, profile, ranks, transform
 from ledgerlens.sources import records
 from ledgerlens.streaming import monitor as streaming
 
@@ -207,3 +207,17 @@ def test_parts_grow_with_the_rows(spark):
     parts = ranks.in_parts(df, ["k"], "v", 3000, 50).groupBy("_part").count().collect()
     assert len(parts) >= 50 and max(r["count"] for r in parts) <= 150
     assert ranks.row_quantiles(df, ["k"], [0.5], "v").first()["q"] == [1499.5]
+
+
+def test_reused_splits_count_unseen_values(spark):
+    """Values that no row with the special label holds, nulls too, have no bin; a null that one holds is bin -1."""
+    rows = [(float(i % 8), 1.0 if i % 8 < 4 else None, i % 2, None if i % 8 < 4 else 1) for i in range(80)] + [(None, None, 1, 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "x double, z double, y int, w int").withColumn("special", F.when(F.col("x") < 4, F.col("y")))
+    got = {(r.label, r.feature, r.bin): (r.n, r.positives) for r in labels.reused_splits(df, ["x", "z"], ["y", "w", "special"], "special", 4).collect()}
+    assert got["y", "x", None] == (41, 21) and got["w", "x", None] == (41, 41) and ("special", "x", None) not in got
+    assert [got["y", "x", i] for i in range(4)] == [(10, 0), (10, 10), (10, 0), (10, 10)]
+    # Of z only the value 1 was seen with the special label, in one bin; its nulls were not.
+    assert got["y", "z", 0] == (40, 20) and got["y", "z", None] == (41, 21)
+    nulls = df.withColumn("special", F.coalesce("special", F.lit(0)))
+    assert {r.bin for r in labels.reused_splits(nulls, ["z"], ["y"], "special").collect()} == {-1, 0}
+    assert labels.reused_splits(df.where("false"), ["x"], ["y"], "special").count() == 0
