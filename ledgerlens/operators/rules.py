@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -17,12 +17,29 @@ from ledgerlens.operators.ranks import quantiles, value_table
 
 Condition = tuple[str, str, object]
 Rule = list[Condition]
+
+
+@dataclass(frozen=True)
+class Level:
+    """A value of an ordered category: ``order`` lists all of them, the least first. Others, and nulls, are neither at least nor at most it."""
+
+    value: str
+    order: tuple[str, ...]
+
+
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: ~a.eqNullSafe(b), ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 
+def _holds(column: str, op: str, value: object) -> Column:
+    if not isinstance(value, Level):
+        return _COMPARE[op](F.col(column), F.lit(value))
+    at = value.order.index(value.value)
+    return F.col(column).isin(*{">=": value.order[at:], "<=": value.order[: at + 1], "==": [value.value]}[op])
+
+
 def covers(rules: list[Rule]) -> Column:
     """Whether any rule holds; no rules hold nothing, comparisons with null fail but != holds."""
-    one = lambda rule: reduce(and_, (F.coalesce(_COMPARE[op](F.col(c), F.lit(v)), F.lit(False)) for c, op, v in rule), F.lit(True))
+    one = lambda rule: reduce(and_, (F.coalesce(_holds(*condition), F.lit(False)) for condition in rule), F.lit(True))
     return reduce(or_, (one(r) for r in rules), F.lit(False))
 
 
@@ -31,8 +48,15 @@ def remove_cases(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.where(~covers(rules))
 
 
-def conditions(df: DataFrame, columns: list[str], q: int = 10, most: int = 100) -> dict[str, list[Condition]]:
-    """Conditions by column: equal to a value of two, equal or unequal to a text (of ``most`` commonest), at least or at most a quantile."""
+def conditions(df: DataFrame, columns: list[str], q: int = 10, most: int = 100, ordered: dict[str, list[str]] | None = None) -> dict[str, list[Condition]]:
+    """Conditions by column.
+
+    Equal to a value of two; equal or unequal to a text (of ``most``
+    commonest); at least or at most one of q + 1 quantiles, the ends among
+    them; at least or at most a value that occurs of an ``ordered`` category,
+    whose values are given from the least to the greatest.
+    """
+    ordered = ordered or {}
     counts = long_form(df, columns, "string").where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
     kinds = {r["feature"]: r["k"] for r in counts.groupBy("feature").agg(F.count("*").alias("k")).collect()}
     numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
@@ -41,17 +65,29 @@ def conditions(df: DataFrame, columns: list[str], q: int = 10, most: int = 100)
         number = c in numeric
         if number and kinds.get(c, 0) > 2:
             continue
+        if c in ordered and kinds.get(c, 0) > 2:
+            order = tuple(ordered[c])
+            there = {r["value"] for r in counts.where((F.col("feature") == c) & F.col("value").isin(*order)).select("value").collect()}
+            found[c] = [(c, op, Level(v, order)) for v in order if v in there for op in (">=", "<=")]
+            continue
         values = [r["value"] for r in counts.where(F.col("feature") == c).orderBy(F.desc("n"), "value").limit(most).select("value").collect()]
         values = [float(v) for v in values] if number else values
         found[c] = [(c, op, v) for v in values for op in (("==",) if kinds.get(c, 0) <= 2 else ("==", "!="))]
     many = [c for c in columns if c not in found]
     if many:
-        edges = quantiles(value_table(long_form(df, many, "double"), ["feature"]), ["feature"], [i / q for i in range(1, q)])
+        edges = quantiles(value_table(long_form(df, many, "double"), ["feature"]), ["feature"], [i / q for i in range(q + 1)])
         for r in edges.select("feature", F.array_distinct("q").alias("q")).collect():
             found[r["feature"]] = [(r["feature"], op, e) for e in r["q"] for op in (">=", "<=")]
     return found
 
 
+def condition_rows(spark: SparkSession, found: dict[str, list[Condition]]) -> DataFrame:
+    """(feature, op, text, number): the conditions as a table, with a text or a number each."""
+    plain = lambda v: v.value if isinstance(v, Level) else v
+    rows = [(c, op, plain(v)) for each in found.values() for c, op, v in each]
+    return spark.createDataFrame([(c, op, v if isinstance(v, str) else None, None if isinstance(v, str) else float(v)) for c, op, v in rows], "feature string, op string, text string, number double")
+
+
 def _tally(df: DataFrame, positive: Column, tests: list[Column]) -> tuple[int, int, list[tuple[int, int]]]:
     """Positives and negatives of the frame and of each test's rows, in one job."""
     sums = [e for i, t in enumerate(tests) for e in (F.count_if(t & positive).alias(f"p{i}"), F.count_if(t & ~positive).alias(f"n{i}"))]
@@ -119,6 +155,7 @@ class Ripper:
     length is above the least one so far by ``dl_threshold``; there is no
     other bound on their number. Each is then held ``k`` times against a
     replacement and a revision, by the description length of the whole set.
+    ``ordered`` gives the values of ordered categories from the least on.
     """
 
     prune_ratio: float = 0.2
@@ -126,6 +163,7 @@ class Ripper:
     k: int = 2
     least: int = 100
     q: int = 10
+    ordered: dict[str, list[str]] = field(default_factory=dict)
     rules: list[tuple[object, list[Rule]]] = field(default_factory=list)
     default: object = None
 
@@ -170,7 +208,7 @@ class Ripper:
         try:
             counts = rows.groupBy(label).count().orderBy("count", label).collect()
             self.default, self.rules = (counts[-1][0] if counts else None), []
-            candidates, rest = conditions(rows, columns, self.q), rows
+            candidates, rest = conditions(rows, columns, self.q, ordered=self.ordered), rows
             for value, _ in counts[:-1]:
                 positive = F.col(label) == F.lit(value)
                 rules = self._learn(rest, positive, candidates)

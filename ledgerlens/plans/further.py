@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import curves, ffm, history, labels, models, monitor, profile, structure, univariate
+from ledgerlens.operators import curves, ffm, history, labels, models, monitor, profile, rules, structure, univariate
 from ledgerlens.plans.base import SQL, register
 from ledgerlens.plans.extended import _IDS, _edges, _frame, _late
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
 from ledgerlens.session import scratch, table
-from ledgerlens.sources import records
+from ledgerlens.sources import files, records
 
 H = "h AS (SELECT o_orderkey, o_custkey, finish, o_orderdate::date + 30 AS expected FROM orders JOIN (SELECT l_orderkey AS o_orderkey, max(l_shipdate)::date AS finish FROM lineitem GROUP BY 1) USING (o_orderkey))"
 HR = "r AS (SELECT o_custkey, (finish - expected)::bigint AS overdue_days, row_number() OVER (PARTITION BY o_custkey ORDER BY finish DESC, o_orderkey) AS place FROM h)"
@@ -83,6 +84,47 @@ def record_source(spark, d):
     return records.read_framed(spark, path, "c_custkey long, c_name string, c_acctbal double, segment string")
 
 
+@register("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0")
+def catalogue_append(spark, d):
+    """A file made a table of the catalogue, and a second one appended to it."""
+    s, name, where = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), f"uploaded_{uuid.uuid4().hex}", scratch(spark, "uploaded")
+    for rows, anew in ((s, True), (s.where("s_suppkey % 2 = 0"), False)):
+        path = f"{scratch(spark, 'upload')}.csv"
+        rows.write.option("header", True).csv(path)
+        files.table_from_file(spark, name, path, overwrite=anew, location=where)
+    # The rows stay at their location.
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema("s_suppkey long, s_name string, s_acctbal string").parquet(where).withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+# --- rules over ordered categories -----------------------------------------------------------------------------------
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register(
+    "WITH o AS (SELECT *, (o_totalprice > 100000)::int AS big FROM orders), ways AS (SELECT unnest(['>=', '<=']) AS op) "
+    "SELECT 'o_orderpriority' AS feature, op, o_orderpriority AS text, NULL::double AS number FROM (SELECT DISTINCT o_orderpriority FROM o), ways "
+    "UNION ALL SELECT 'o_orderstatus', unnest(['==', '!=']), o_orderstatus, NULL FROM (SELECT DISTINCT o_orderstatus FROM o) "
+    "UNION ALL SELECT 'big', '==', NULL, big FROM (SELECT DISTINCT big FROM o) "
+    "UNION ALL SELECT 'o_totalprice', op, NULL, round(number, 4) FROM (SELECT DISTINCT unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS number FROM o), both"
+)
+def rule_conditions(spark, d):
+    """The conditions that rules are made of: of an ordered category, a text, two values and a number."""
+    o = table(spark, d, "orders").withColumn("big", (F.col("o_totalprice") > 100000).cast("int"))
+    found = rules.conditions(o, ["o_orderpriority", "o_orderstatus", "big", "o_totalprice"], ordered={"o_orderpriority": PRIORITIES})
+    return rules.condition_rows(spark, found).withColumn("number", F.round("number", 4))
+
+
+@register("WITH o AS (SELECT CASE WHEN o_orderpriority <= '2-HIGH' THEN 'soon' WHEN o_orderpriority = '5-LOW' THEN 'late' ELSE 'middle' END AS kind FROM orders) SELECT kind, kind AS predicted, count(*) AS n FROM o GROUP BY 1")
+def ripper_ordered(spark, d):
+    """Classes that are ranges of an ordered category: the rules learned among it, a text and a number meet them in every row."""
+    kind = F.when(F.col("o_orderpriority") <= "2-HIGH", "soon").when(F.col("o_orderpriority") == "5-LOW", "late").otherwise("middle")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", kind.alias("kind"))
+    learned = rules.Ripper(ordered={"o_orderpriority": PRIORITIES}).fit(o, "kind", ["o_orderstatus", "o_totalprice", "o_orderpriority"], ["o_orderkey"])
+    return learned.predict(o).groupBy("kind", "predicted").agg(F.count("*").alias("n"))
+
+
 # --- tables of a feature, given cuts, data sets ------------------------------------------------------------------------
 
 

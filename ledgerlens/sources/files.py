@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructType
@@ -20,8 +22,26 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
     return spark.read.schema(schema).option("sep", separator).option("nullValue", "\\N").csv(path)
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header, `?` for null and blanks around fields."""
+#: Bytes of the greatest upload, and the ends of its name: fixed values.
+UPLOAD_BYTES, UPLOAD_TYPES = 16 * 1024 * 1024, ("csv",)
+
+
+def _checked_file(spark: SparkSession, path: str, types: tuple[str, ...] = UPLOAD_TYPES, most: int | None = None) -> str:
+    """The path, if something is there, its name ends in one of the types, and it holds at most so many bytes."""
+    if "." not in path or path.rstrip("/").rsplit(".", 1)[1] not in types:
+        raise ValueError(f"{path}: the name must end in {' or '.join(types)}")
+    if not _there(spark, path):
+        raise FileNotFoundError(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    if most is not None and size > most:
+        raise ValueError(f"{path} has {size} bytes, {most} are allowed")
+    return path
+
+
+def read_upload(spark: SparkSession, path: str, most: int | None = UPLOAD_BYTES) -> DataFrame:
+    """A CSV with header, `?` for null and blanks around fields; other types, and files of more than ``most`` bytes, are refused."""
+    path = _checked_file(spark, path, most=most)
     return spark.read.option("header", True).option("inferSchema", True).option("nullValue", "?").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
@@ -71,6 +91,33 @@ def create_table(spark: SparkSession, name: str, query: str) -> DataFrame:
     return spark.table(name)
 
 
+def table_from_file(spark: SparkSession, name: str, path: str, separator: str = ",", overwrite: bool = False, encoding: str = "UTF-8", location: str | None = None) -> DataFrame:
+    """Adds the rows of a CSV with header to a table, by place, and reads the table.
+
+    The table is made if it isn't there, below ``location`` if one is given;
+    ``overwrite`` drops an earlier one. Whole numbers are bigint, all other
+    columns are the file's texts; a file of other columns than the table has
+    is refused.
+    """
+    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
+    guessed = reader.option("inferSchema", True).csv(_checked_file(spark, path)).schema
+    schema = ", ".join(f"`{f.name}` {'bigint' if isinstance(f.dataType, IntegralType) else 'string'}" for f in guessed)
+    name = name.lower()
+    if overwrite:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = " LOCATION '{}'".format(location.replace("'", "\\'")) if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{place}")
+    if len(spark.table(name).columns) != len(guessed):
+        raise ValueError(f"{name} has {len(spark.table(name).columns)} columns, {path} has {len(guessed)}")
+    reader.option("inferSchema", False).schema(schema).csv(path).write.insertInto(name)
+    return spark.table(name)
+
+
+def settings_of(spark: SparkSession, path: str, name: str) -> dict:
+    """The entry of that name in a JSON file of settings, such as one for ``models.TrainService``."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])[name]
+
+
 def first_rows(spark: SparkSession, paths: list[str], most: int = 10_000) -> DataFrame:
     """At most so many rows over all files."""
     return spark.read.parquet(*paths).limit(most)

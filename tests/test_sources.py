@@ -21,6 +21,40 @@ def test_upload_with_question_marks_and_blanks(spark, tmp_path):
     assert df.columns == ["a", "b", "c"] and [tuple(r) for r in df.collect()] == [(1, "x", None), (None, "y", 2.5)]
 
 
+def test_uploads_of_other_types_or_sizes_are_refused(spark, tmp_path):
+    for name in ("u.txt", "csv"):
+        (tmp_path / name).write_text("a\n1\n")
+        with pytest.raises(ValueError, match="must end in csv"):
+            files.read_upload(spark, str(tmp_path / name))
+    (tmp_path / "u.csv").write_text("a\n1\n")
+    assert files.read_upload(spark, str(tmp_path / "u.csv"), most=4).count() == 1
+    with pytest.raises(ValueError, match="has 4 bytes, 3 are allowed"):
+        files.read_upload(spark, str(tmp_path / "u.csv"), most=3)
+    with pytest.raises(FileNotFoundError):
+        files.read_upload(spark, str(tmp_path / "none.csv"))
+
+
+def test_table_from_files(spark, tmp_path):
+    where = str(tmp_path / "t")
+    for name, text in {"a.csv": "i,x\n1,1.50\n2,\n", "b.csv": "k,other\n3,z\n", "c.csv": "i\n1\n", "d.csv": "i\tx\n7\té\n"}.items():
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    read = lambda name, **how: sorted(map(tuple, files.table_from_file(spark, "From_File", str(tmp_path / name), location=where, **how).collect()))
+    assert read("a.csv", overwrite=True) == [(1, "1.50"), (2, None)]
+    assert read("b.csv") == [(1, "1.50"), (2, None), (3, "z")]
+    assert dict(spark.table("from_file").dtypes) == {"i": "bigint", "x": "string"}
+    with pytest.raises(ValueError, match="has 2 columns, .* has 1"):
+        read("c.csv")
+    assert (7, "é") in read("d.csv", separator="\t", encoding="ISO-8859-1")
+    spark.sql("DROP TABLE from_file")
+
+
+def test_settings_by_name(spark, tmp_path):
+    (tmp_path / "chains.json").write_text(json.dumps({"one": {"label": "y"}, "two": {}}, indent=2))
+    assert files.settings_of(spark, str(tmp_path / "chains.json"), "one") == {"label": "y"}
+    with pytest.raises(KeyError):
+        files.settings_of(spark, str(tmp_path / "chains.json"), "three")
+
+
 def test_numbers_in_text_columns(spark):
     df = spark.createDataFrame([("1", "1", "x"), ("2.5", None, "2"), (None, "-3", None)], "a string, b string, c string")
     assert dict(files.numeric_where_possible(df).dtypes) == {"a": "double", "b": "double", "c": "string"}

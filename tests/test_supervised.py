@@ -103,6 +103,23 @@ def test_rules_find_what_the_classes_hang_on(spark):
     assert rules.Ripper().fit(df.where("y = 0"), "y", ["a"], ["id"]).predict(df).select("predicted").distinct().collect()[0][0] == 0
 
 
+def test_rules_over_ordered_categories(spark):
+    order = ["low", "mid", "high"]
+    rows = [(i, [*order, "odd", None][i % 5], i % 7) for i in range(350)]
+    df = spark.createDataFrame(rows, "id long, s string, x long")
+    found = rules.conditions(df, ["s", "x"], q=2, ordered={"s": [*order, "never"]})
+    assert [(c, op, v.value) for c, op, v in found["s"]] == [("s", op, v) for v in order for op in (">=", "<=")]
+    assert found["x"] == [("x", op, float(v)) for v in (0, 3, 6) for op in (">=", "<=")]
+    hit = lambda rule: {r.s for r in df.where(rules.covers([rule])).select("s").distinct().collect()}
+    level = {v.value: v for _, _, v in found["s"]}
+    assert hit([("s", ">=", level["mid"])]) == {"mid", "high"} and hit([("s", "<=", level["mid"])]) == {"low", "mid"}
+    two = df.where("s in ('low', 'high')")
+    assert {c[1] for c in rules.conditions(two, ["s"], ordered={"s": order})["s"]} == {"=="}
+    marked = df.withColumn("y", F.coalesce(F.col("s").isin("mid", "high"), F.lit(False)).cast("int"))
+    learned = rules.Ripper(least=20, ordered={"s": order}).fit(marked, "y", ["s", "x"], ["id"])
+    assert learned.predict(marked).where("y <> predicted").count() == 0 and learned.rules[0][1] == [[("s", ">=", rules.Level("mid", tuple(order)))]]
+
+
 def test_description_lengths():
     assert rules.rule_length(2, 10) == int(0.5 * (1 + 2 * math.log2(5) + 8 * math.log2(1 / 0.8)))
     assert rules.set_length([], 10, 5, 5, 0, 0) == pytest.approx(math.log2(math.comb(10, 5)))
