@@ -107,7 +107,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     "SELECT 'o_orderpriority' AS feature, op, o_orderpriority AS text, NULL::double AS number FROM (SELECT DISTINCT o_orderpriority FROM o), ways "
     "UNION ALL SELECT 'o_orderstatus', unnest(['==', '!=']), o_orderstatus, NULL FROM (SELECT DISTINCT o_orderstatus FROM o) "
     "UNION ALL SELECT 'big', '==', NULL, big FROM (SELECT DISTINCT big FROM o) "
-    "UNION ALL SELECT 'o_totalprice', op, NULL, round(number, 4) FROM (SELECT DISTINCT unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS number FROM o), both"
+    "UNION ALL SELECT 'o_totalprice', op, NULL, round(number, 4) FROM (SELECT DISTINCT unnest(quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS number FROM o), ways"
 )
 def rule_conditions(spark, d):
     """The conditions that rules are made of: of an ordered category, a text, two values and a number."""
