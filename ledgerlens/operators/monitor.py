@@ -82,29 +82,42 @@ def parse_features(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(fields).alias("feature", "text")).select(*keys, "feature", F.nullif("text", F.lit("")).try_cast("double").alias("value"))
 
 
+#: Objects become tuples of pairs, which keep repeated fields; integers of any length become doubles, -0 too is 0.
+_DECODER = json.JSONDecoder(object_pairs_hook=tuple, parse_int=lambda digits: float(digits) + 0.0)
+
+
+def _double(value: object) -> float | None:
+    try:
+        # Texts as bytes, so that only digits and blanks of ASCII count.
+        return None if isinstance(value, bool) else float(value.encode() if isinstance(value, str) else value)
+    except (TypeError, ValueError):
+        return None
+
+
 def numbers_of(text: str) -> Iterator[tuple[str, float | None]]:
-    """The default parser: the fields of a JSON object; what isn't a number is null, what isn't an object has none."""
+    """The default parser: the fields of a JSON object; what isn't a number is null, what isn't an object has none.
+
+    A repeated field comes as often as it stands there, with its first value; what is beyond doubles is infinite.
+    """
     try:
-        fields = json.loads(text)
+        fields = _DECODER.decode(text)
     except ValueError:
         return
-    for name, value in fields.items() if isinstance(fields, dict) else ():
-        try:
-            yield name, None if isinstance(value, bool) else float(value)
-        except (TypeError, ValueError):
-            yield name, None
+    first: dict[str, float | None] = {}
+    for name, value in fields if isinstance(fields, tuple) else ():
+        yield name, first.setdefault(name, _double(value))
 
 
-def parse_with(df: DataFrame, column: str, keys: list[str], parser: Callable[[str], Iterable[tuple[str, float | None]]] = numbers_of) -> DataFrame:
+def parse_with(df: DataFrame, column: str, keys: list[str], parser: Callable[[str], Iterable[tuple[str, float | None]]] = numbers_of, nulls: bool = False) -> DataFrame:
     """(keys, feature, value): what a parser makes of each row's text, by a table function in a lateral join.
 
-    The parser runs in the tasks, on a batch of rows at a time; a null text isn't parsed.
+    The parser runs in the tasks, on a batch of rows at a time; a null text is parsed only with ``nulls``.
     """
     ship(df.sparkSession)
 
     class Parse:
         def eval(self, text: str) -> Iterator[tuple[str, float | None]]:
-            if text is not None:
+            if nulls or text is not None:
                 yield from ((str(f), None if v is None else float(v)) for f, v in parser(text))
 
     parse = udtf(Parse, returnType="_feature string, _value double", useArrow=True)

@@ -22,16 +22,16 @@ HR = "r AS (SELECT o_custkey, (finish - expected)::bigint AS overdue_days, row_n
 # --- parsers and statistics of one's own -----------------------------------------------------------------------------
 
 
-def _with_sizes(text: str) -> Iterator[tuple[str, float | None]]:
-    """The numbers of a JSON object, and how many fields it has."""
-    found = list(monitor.numbers_of(text))
-    yield from found
-    yield "n_fields", float(len(found))
+def _with_sizes(text: str | None) -> Iterator[tuple[str, float | None]]:
+    """The numbers of a JSON object, and how many fields it has; null of a null text."""
+    found = None if text is None else list(monitor.numbers_of(text))
+    yield from found or ()
+    yield "n_fields", None if found is None else float(len(found))
 
 
 @register("SELECT event_id, k AS feature, try_cast(json_extract_string(props, '$.' || k) AS double) AS value FROM events, LATERAL (SELECT unnest(json_keys(props)) AS k) t UNION ALL SELECT event_id, 'n_fields', len(json_keys(props))::double FROM events")
 def custom_features(spark, d):
-    return monitor.parse_with(table(spark, d, "events"), "props", ["event_id"], _with_sizes)
+    return monitor.parse_with(table(spark, d, "events"), "props", ["event_id"], _with_sizes, nulls=True)
 
 
 def _quantile(share: float):

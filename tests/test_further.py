@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 import time
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import binning, ffm, labels, models, monitor, profile, ranks, transform
+from ledgerlens.plans.registry import QUERIES, SQL
 from ledgerlens.sources import records
 from ledgerlens.streaming import monitor as streaming
 
@@ -128,6 +133,24 @@ def test_parsers_and_statistics_of_ones_own(spark):
     assert (found["p"].most, found["p"].mid) == (24.0, 12.0) and found["q"].mid == 0.0 and found[None].mid == 1.0 and found["z"].mid is None and found["z"].most is None
 
 
+@pytest.mark.parametrize("name", ["base", "extended", "frames", "further", "registry"])
+def test_plans_are_imported_in_any_order(name):
+    """A task that unpickles a query's function imports its module first."""
+    work = f"import ledgerlens.plans.{name}; from ledgerlens.plans.base import QUERIES; assert {{'woe_qcut', 'json_features', 'custom_features', 'monitor_whole'}} <= set(QUERIES)"
+    subprocess.run([sys.executable, "-c", work], cwd=Path(__file__).parents[1], check=True, timeout=120)
+
+
+def test_custom_features_of_odd_texts(spark, tmp_path):
+    texts = [None, "null", "3", "[1]", "{}", '{"a": 1, "a": 2, "b": "x", "b": 3}', '{"a": true, "b": null, "c": {"d": 1}, "e": [1]}', '{"n_fields": 7}', '{"a": 1e400, "b": -0, "c": "-0", "d": -0.0, "e": NaN}']
+    texts += [json.dumps({"a": "9" * 5000}), '{"a": ' + "9" * 400 + ', "b": -' + "9" * 5000 + "}", '{"a": 9007199254740993, "b": "9007199254740993", "c": 123456789012345678901234567890}']
+    texts += [json.dumps({"a b": t}, ensure_ascii=False) for t in ("", " 2.5 ", "\t7\n", "1_000", "1__0", "nan", "-inf", "\u0661", "\u00a08", "0x10", "1.", ".5", "+5", "5d", "1e3", "\x1c5")]
+    spark.createDataFrame(list(enumerate(texts)), "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = QUERIES["custom_features"](spark, str(tmp_path)).collect(), con.sql(SQL["custom_features"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_merged_sketches_are_near(spark):
     df = spark.range(200_000).select((F.col("id") % 7).alias("day"), (F.col("id") % 50_000).cast("double").alias("v"))
     row = monitor.merged_sketches(monitor.sketches_by_time(df, ["day"], "v"), [], [0.05, 0.5, 0.99]).first()
