@@ -9,7 +9,7 @@ from ledgerlens.operators import curves, evaluate, history, labels, mdlp, models
 from ledgerlens.plans.base import register
 from ledgerlens.plans.frames import NUMERIC, events, lines
 from ledgerlens.plans.frames import history as loans
-from ledgerlens.session import scratch, table
+from ledgerlens.session import scratch, table, written
 from ledgerlens.sources import files
 from ledgerlens.streaming.monitor import drained
 
@@ -473,7 +473,7 @@ def train_service(spark, d):
 @register()
 def model_cost(spark, d):
     """The same model on subsets of columns, by training and test rows."""
-    marked = split.random_split(_frame(spark, d), _IDS)
+    marked = written(split.random_split(_frame(spark, d), _IDS).drop(*_IDS), "marked")
     return models.compare_columns(marked.where("not is_test"), marked.where("is_test"), "big", {"quantity": ["l_quantity"], "both": ["l_quantity", "l_extendedprice"], "taxes": ["l_tax", "l_discount"]})
 
 
@@ -488,6 +488,6 @@ def imbalance_cv(spark, d):
 @register()
 def fm_fit(spark, d):
     """A factorisation machine on two factors of a product, by training and test rows."""
-    marked = split.random_split(_frame(spark, d), _IDS)
+    marked = written(split.random_split(_frame(spark, d), _IDS).drop(*_IDS), "marked")
     model = models.fitted(marked.where("not is_test"), ["l_quantity", "l_extendedprice", "l_tax"], "big", "fm", factorSize=4, stepSize=0.05, seed=7)
     return models.figures(models.scored(model, marked.where("is_test")), "big", part="test")
