@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.weights import weighed
 from ledgerlens.session import ship, written
 
 #: Row of the gradients that holds losses and counts instead, and the bias's.
@@ -80,8 +81,8 @@ class Machine:
         return used, linear, latent
 
 
-def _log_loss(y: np.ndarray, margin: np.ndarray) -> float:
-    return float(np.logaddexp(0, np.where(y > 0, -margin, margin)).sum())
+def _log_loss(y: np.ndarray, margin: np.ndarray, n: np.ndarray | float = 1.0) -> float:
+    return float((n * np.logaddexp(0, np.where(y > 0, -margin, margin))).sum())
 
 
 def _epoch(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -91,10 +92,10 @@ def _epoch(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     linear, latent, touched = np.zeros(len(machine.linear)), np.zeros((len(machine.linear), width)), np.zeros(len(machine.linear), bool)
     for batch in batches:
         fields, indices, values = padded(batch)
-        y, held = batch["label"].to_numpy(zero_copy_only=False) > 0, batch["held"].to_numpy(zero_copy_only=False)
+        y, held, n = batch["label"].to_numpy(zero_copy_only=False) > 0, batch["held"].to_numpy(zero_copy_only=False), batch["n"].to_numpy()
         margin = machine.margins(fields, indices, values)
-        total += [_log_loss(y[~held], margin[~held]), (~held).sum(), _log_loss(y[held], margin[held]), held.sum()]
-        slope = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y)[~held]
+        total += [_log_loss(y[~held], margin[~held], n[~held]), n[~held].sum(), _log_loss(y[held], margin[held], n[held]), n[held].sum()]
+        slope = (n * (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y))[~held]
         bias += slope.sum()
         used, g, h = machine.gradient(fields[~held], indices[~held], values[~held], slope)
         linear[used] += g
@@ -108,17 +109,21 @@ def _epoch(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), *(pa.array(g[:, j]) for j in range(width + 1))], ["index", *(f"g{j}" for j in range(width + 1))])
 
 
-def ffm_fit(df: DataFrame, validation: DataFrame, line: str = "line", factors: int = 4, buckets: int = 1 << 16, epochs: int = 60, step: float = 0.1, decay: float = 1e-5, patience: int = 5, seed: int = 7) -> tuple[Machine, list[tuple[float, float]]]:
+def ffm_fit(df: DataFrame, validation: DataFrame, line: str = "line", factors: int = 4, buckets: int = 1 << 16, epochs: int = 60, step: float = 0.1, decay: float = 1e-5, patience: int = 5, seed: int = 7, count: str | None = None) -> tuple[Machine, list[tuple[float, float]]]:
     """(machine of the best validation epoch, (training, validation) loss by epoch). Rows without a label are left out.
 
     An epoch is one job: each partition works out its gradients, Spark adds
     them up by index, first where they are made, and the driver takes one row
     for each index in use for a step of Adam. Training ends ``patience`` epochs
-    after the best one. There must be training and validation rows.
+    after the best one. There must be training and validation rows. Equal texts
+    are one row with a count where that halves them; ``count`` names a column
+    of counts, if they are added up already.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = parsed(df, line, buckets).withColumn("held", F.lit(False)).select("label", "fields", "indices", "values", "held").union(parsed(validation, line, buckets).withColumn("held", F.lit(True)).select("label", "fields", "indices", "values", "held"))
+    texts = [x.select(line, F.lit(held).alias("held"), *([F.col(count).alias("_n")] if count else [])) for x, held in ((df, False), (validation, True))]
+    texts = texts[0].union(texts[1])
+    rows = parsed(texts if count else weighed(texts, [line, "held"]), line, buckets).select("label", "fields", "indices", "values", "held", F.col("_n").cast("double").alias("n"))
     rows = written(rows.where("label is not null"), "ffm-rows")
     fields = 1 + (rows.agg(F.max(F.array_max("fields"))).first()[0] or 0)
     width = max(3, fields * factors)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import curves, ffm, history, labels, models, monitor, profile, rules, structure, univariate
+from ledgerlens.operators.weights import weighed
 from ledgerlens.plans.base import SQL, register
 from ledgerlens.plans.extended import _IDS, _edges, _frame, _late
 from ledgerlens.plans.frames import NUMERIC, events, lines
@@ -186,10 +187,12 @@ def ffm_machine(spark, d):
     x = _frame(spark, d)
     token = lambda field, value: F.concat(F.lit(f"{field}:"), (F.lit(1000 * field) + value).cast("int").cast("string"), F.lit(":1"))
     line = F.concat_ws(" ", "big", token(0, F.floor(F.col("l_quantity") / 2.5)), token(1, F.floor(F.col("l_extendedprice") / 2500)), token(2, F.round(F.col("l_tax") * 100)))
-    rows = x.select(*_IDS, "big", line.alias("line"), F.pmod(F.xxhash64(*_IDS), F.lit(10)).alias("part"))
-    train, valid, test = (rows.where(w).drop("part") for w in ("part < 7", "part = 7", "part > 7"))
-    machine, _ = ffm.ffm_fit(train, valid, buckets=1 << 12)
-    return models.figures(ffm.ffm_scores(machine, test), "big", part="test")
+    part = F.pmod(F.xxhash64(*_IDS), F.lit(10))
+    # 0: training, 1: validation, 2: test.
+    rows = weighed(x.select("big", line.alias("line"), F.when(part < 7, 0).when(part == 7, 1).otherwise(2).alias("part")), ["big", "line", "part"])
+    train, valid, test = (rows.where(F.col("part") == i).drop("part") for i in range(3))
+    machine, _ = ffm.ffm_fit(train, valid, buckets=1 << 12, count="_n")
+    return models.figures(ffm.ffm_scores(machine, test), "big", "_n", part="test")
 
 
 @register()
